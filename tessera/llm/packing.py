@@ -15,7 +15,6 @@ packed as documents of their own. Empty tables give empty results. Other columns
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,12 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from .shared import SharedTable
-from .text import pieces as text_parts
+from .text import Words, pieces as text_parts, words_of
 
 END = 2
 CAPACITY = 1024
 MAX_BUCKETS = 256
-CACHE_ENTRIES = 600_000
 
 #: How a byte-level tokenizer file writes the 256 bytes: fixed values of the format.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -40,80 +38,133 @@ _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 class Encoder:
-    """Ids of a byte-level BPE tokenizer file, with a bounded cache by word.
-
-    The split pattern never reaches over the start of a run of white space, so a text cut there
-    is encoded part by part. Parts that aren't cached are merged by tiktoken under the file's own
-    vocabulary, where an id is a merge's rank; long parts, and files where ids aren't ranks, go
-    through the tokenizers library itself.
+    """Ids of a byte-level BPE tokenizer file, a batch of texts at a time.
+
+    The split pattern never reaches over the start of a run of white space. Where all runs are
+    of one character, a text is therefore the sum of its words, each with the character before it; a batch's
+    different words (told apart by a 64-bit hash) are encoded once, together, and their ids are put in place by array
+    operations. tiktoken merges them under the file's own vocabulary, where an id is a merge's
+    rank. Other texts are encoded whole; so are those with special tokens in them, and all texts of
+    a file where ids aren't ranks, by the tokenizers library itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.fast = None
-        spec = json.loads(open(path, encoding="utf-8").read())
+        self.fast, self.special = None, ()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        joined = [m if isinstance(m, str) else " ".join(m) for m in merges]
-        plain = spec["pre_tokenizer"] == {**spec["pre_tokenizer"], "type": "ByteLevel", "add_prefix_space": False} and not spec.get("normalizer")
-        if plain and all(vocab.get(m.replace(" ", "")) == 256 + i for i, m in enumerate(joined)):
+        joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        split = spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and not spec.get("normalizer")
+        if plain and all(vocab.get(m) == 256 + i for i, m in enumerate(joined)):
             import tiktoken
 
             shown = {chr(b): b for b in _SHOWN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(_SHOWN))}
-            special = {t["content"] for t in spec.get("added_tokens", [])}
-            ranks = {bytes(shown[c] for c in token): i for token, i in vocab.items() if token not in special}
-            self.special = special
+            self.special = tuple(t["content"].encode() for t in spec.get("added_tokens", []))
+            ranks = {bytes(shown[c] for c in token): i for token, i in vocab.items() if token.encode() not in self.special}
             self.size = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
             for token, i in ranks.items():
                 self.size[i] = len(token)
             self.fast = tiktoken.Encoding("file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def _part(self, part: str) -> bytes:
-        if self.fast is not None and len(part) < 5000 and not any(s in part for s in self.special):
-            return self.fast.encode_to_numpy(part).astype("<u4").tobytes()
-        return np.array(self.exact.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encodes words in one call: each stands for itself after a line feed that it starts with, or else after a space."""
-        parts = [w if w[:1] == "\n" else " " + w for w in words]
-        ids = self.fast.encode_to_numpy("".join(parts))
-        ends = np.cumsum(self.size[ids])
-        want = np.cumsum([len(p.encode()) for p in parts])
-        cut = np.searchsorted(ends, want)
-        if len(ids) == 0 or cut[-1] >= len(ends) or (ends[cut] != want).any():
-            return {w: self._part(p) for w, p in zip(words, parts)}
-        data, cut = ids.astype("<u4").tobytes(), (4 * (cut + 1)).tolist()
-        return {w: data[a:b] for w, a, b in zip(words, [0, *cut], cut)}
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if self.fast is None or any(s in text for s in self.special):
-            return self._part(text)
-        if self._runs.search(text):
-            return b"".join(map(self._part, self._starts.split(text)))
-        first, *words = text.replace("\n", " \n").split(" ")
-        got = list(map(self.cache.get, words))
-        if None in got:
-            new = list(dict.fromkeys(w for w, g in zip(words, got) if g is None and len(w) <= 200))
-            found = self._learn(new) if new else {}
-            got = [g if g is not None else found[w] if w in found else self._part(w if w[:1] == "\n" else " " + w) for g, w in zip(got, words)]
-            if len(self.cache) < CACHE_ENTRIES:
-                self.cache.update(found)
-        return (self._part(first) if first else b"") + b"".join(got)
-
-    _runs, _starts = re.compile(r"\s\s"), re.compile(r"(?<=\S)(?=\s)")
+    def text(self, data: bytes) -> np.ndarray:
+        if self.fast is not None and len(data) < 200_000 and not any(s in data for s in self.special):
+            return self.fast.encode_to_numpy(data.decode())
+        return np.array(self.exact.encode(data.decode(), add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _plain(self, w: Words, offsets: np.ndarray) -> np.ndarray:
+        """Documents whose runs of white space are all of one ASCII character, between words."""
+        b, n = w.buffer, len(offsets) - 1
+        doc = w.documents()
+        before = np.concatenate([[0], w.end[:-1]])
+        low = np.maximum(before, offsets[doc])
+        bad = np.zeros(n, dtype=bool)
+        bad[doc[w.start - low > 1]] = True
+        last = np.where(np.diff(w.first) > 0, w.end[np.maximum(w.first[1:] - 1, 0)] if len(w.end) else 0, offsets[:-1])
+        bad |= last != offsets[1:]
+        one, two, three = (b[np.maximum(w.end - k, 0)] for k in (1, 2, 3)) if len(w.end) else (b[:0],) * 3
+        white = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE2) & ((two == 0x80) | (two == 0x81)) | (three == 0xE1) & (two == 0x9A) | (three == 0xE3) & (two == 0x80)
+        bad[doc[white | (w.end - w.start > 4000)]] = True
+        return ~bad
+
+    def batch(self, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and their bounds."""
+        n = len(offsets) - 1
+        whole = buffer.tobytes()
+        if self.fast is None:
+            plain = np.zeros(n, dtype=bool)
+        else:
+            w = words_of(buffer, offsets)
+            plain = self._plain(w, offsets)
+            for s in self.special:
+                at = whole.find(s)
+                while at >= 0:
+                    plain[np.searchsorted(offsets, at, side="right") - 1] = False
+                    at = whole.find(s, at + 1)
+        table, sizes, codes, first = [], [], np.zeros(0, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
+        others = np.flatnonzero(~plain)
+        if plain.any():
+            doc = w.documents()
+            spaced = plain[doc] & (w.start > offsets[doc])
+            use = np.flatnonzero(spaced)
+            key = w.hashes()[use] ^ (buffer[w.start[use] - 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            code, unique = pd.factorize(key)
+            at = np.zeros(len(unique), dtype=np.int64)
+            at[code[::-1]] = use[::-1]
+            size = w.end[at] - w.start[at] + 1
+            ends = np.cumsum(size)
+            data = buffer[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(w.start[at] - 1 - ends + size, size)].tobytes()
+            ids = self.fast.encode_to_numpy(data.decode()) if len(at) else np.zeros(0, dtype=np.uint32)
+            stops = np.cumsum(self.size[ids])
+            cut = np.searchsorted(stops, ends)
+            if len(at) and (cut[-1] >= len(stops) or (stops[cut] != ends).any()):
+                own = [self.text(data[b - a : b]) for a, b in zip(size.tolist(), ends.tolist())]
+                ids, cut = np.concatenate(own), np.cumsum([len(x) for x in own]) - 1
+            table, sizes = [ids], [np.diff(cut + 1, prepend=0)]
+            bare = np.flatnonzero(plain[doc] & ~spaced)
+            heads = [self.text(whole[a:b]) for a, b in zip(w.start[bare].tolist(), w.end[bare].tolist())]
+            all_codes = np.full(len(w.start), -1, dtype=np.int64)
+            all_codes[use] = code
+            all_codes[bare] = len(unique) + np.arange(len(bare))
+            kept = plain[doc]
+            codes, owner = all_codes[kept], doc[kept]
+            table += heads
+            sizes.append(np.array([len(h) for h in heads], dtype=np.int64))
+            n_codes = len(unique) + len(bare)
+        else:
+            owner, n_codes = np.zeros(0, dtype=np.int64), 0
+        if len(others):
+            rest = [self.text(whole[offsets[d] : offsets[d + 1]]) for d in others.tolist()]
+            table += rest
+            sizes.append(np.array([len(r) for r in rest], dtype=np.int64))
+            codes = np.concatenate([codes, n_codes + np.arange(len(others))])
+            owner = np.concatenate([owner, others])
+            order = np.argsort(owner, kind="stable")
+            codes, owner = codes[order], owner[order]
+        flat = np.concatenate(table).astype("<u4") if table else np.zeros(0, dtype="<u4")
+        size = np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64)
+        start = np.cumsum(size) - size
+        count = size[codes]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        out = flat[np.arange(total) + np.repeat(start[codes] - ends + count, count)]
+        first[1:] = np.cumsum(np.bincount(owner, weights=count, minlength=n)).astype(np.int64)
+        return out, first
 
 
 def _encode(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stop = Encoder(path), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            for part, _, _ in text_parts(batch):
+            for part, buffer, offsets in text_parts(batch, limit=8 << 20):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for d, text in enumerate(part.column("text").to_pylist()):
-                    data = encoder.encode(text or "") + stop
+                flat, first = encoder.batch(buffer, offsets)
+                flat, first = flat.tobytes(), first.tolist()
+                for d in range(part.num_rows):
+                    data = flat[4 * first[d] : 4 * first[d + 1]] + stop
                     n = len(data) // 4
                     at, k = 0, 0
                     while at < n:
