@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -44,9 +50,22 @@ FROM n JOIN g ON n.t = g.t JOIN k ON n.t = k.t
 """
 
 
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') END AS a FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(a) - 11)) AS i, a FROM w WHERE len(a) >= 13),
+g AS (SELECT doc_id, i, array_to_string(a[i:i + 12], ' ') AS t FROM p),
+m AS (SELECT t, min(doc_id) AS first FROM g GROUP BY t HAVING count(*) > 1),
+r AS (SELECT DISTINCT g.doc_id, g.i + k.k AS pos FROM g JOIN m ON g.t = m.t AND g.doc_id > m.first, range(0, 13) AS k(k)),
+c AS (SELECT doc_id, list(pos) AS gone, count(*) AS n FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(a) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN c.n IS NULL THEN a ELSE [a[i] FOR i IN range(1, len(a) + 1) IF NOT list_contains(c.gone, i)] END, ' ')) AS kept_sha256
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id
+"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL}
