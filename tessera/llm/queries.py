@@ -21,6 +21,20 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import count_tokens, vocabulary
+
+    return count_tokens(_table(spark, sf_dir, "documents"), vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .preferences import format_pairs, neighbours_as_pairs
+
+    return format_pairs(neighbours_as_pairs(_table(spark, sf_dir, "conversations")))
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,6 +89,19 @@ FROM w LEFT JOIN c ON w.doc_id = c.doc_id
 """
 
 
+OP5_SQL = r"""
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, role, text, '<|' || role || '|>' || chr(10) AS head, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS body,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT pair_id, count(*) FILTER (WHERE side = 0) AS nc, count(*) FILTER (WHERE side = 1) AS nr FROM t GROUP BY pair_id),
+d AS (SELECT c.pair_id, min(c.i) AS i FROM t c JOIN n USING (pair_id) LEFT JOIN t r ON r.pair_id = c.pair_id AND r.side = 1 AND r.i = c.i AND r.role = c.role AND r.text = c.text WHERE c.side = 0 AND r.i IS NULL GROUP BY c.pair_id),
+k AS (SELECT n.pair_id, nc, nr, CASE WHEN nc = 0 OR nr = 0 THEN 0 ELSE coalesce(d.i - 1, nc) END AS k FROM n LEFT JOIN d ON d.pair_id = n.pair_id),
+x AS (SELECT t.*, k.k, t.i > k.k AS done, sum(CASE WHEN t.i > k.k THEN length(t.body) ELSE 0 END) OVER (PARTITION BY t.pair_id, t.side ORDER BY t.i) AS stop FROM t JOIN k ON k.pair_id = t.pair_id),
+s AS (SELECT pair_id, side, coalesce(string_agg(body, '' ORDER BY i) FILTER (WHERE NOT done), '') AS prompt, coalesce(string_agg(body, '' ORDER BY i) FILTER (WHERE done), '') AS rest,
+    coalesce(string_agg(CAST(CAST(stop - length(body) + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY i) FILTER (WHERE done AND role = 'assistant'), '') AS mask FROM x GROUP BY pair_id, side)
+SELECT k.pair_id, CAST(k.k AS BIGINT) AS n_prompt_turns, coalesce(c.prompt, '') AS prompt, c.rest AS chosen, r.rest AS rejected, c.mask AS chosen_mask, r.mask AS rejected_mask
+FROM k LEFT JOIN s c ON c.pair_id = k.pair_id AND c.side = 0 LEFT JOIN s r ON r.pair_id = k.pair_id AND r.side = 1
+"""
+
 OP10_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 4 THEN [array_to_string(a, ' ')] ELSE [array_to_string(a[i:i + 3], ' ') FOR i IN range(1, len(a) - 2)] END) AS g FROM w),
@@ -93,4 +120,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op10_ngram_jaccard": OP10_SQL}
+    return {"op5_preferences": OP5_SQL, "op2_substring_dedup": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op10_ngram_jaccard": OP10_SQL}
