@@ -57,3 +57,26 @@ class SharedTable:
     def drop(self) -> None:
         """Only for tables that no returned DataFrame reads any more."""
         _delete(self.spark, self.path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python workers, once an application, so that they need no installed copy."""
+    import os
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        path = os.path.join(tempfile.mkdtemp(prefix="tessera-code-"), "tessera_code.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(top):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
+        spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
+    return spark
