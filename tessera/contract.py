@@ -92,7 +92,7 @@ def profile(events: DataFrame, columns: tuple[str, ...] | None = None) -> DataFr
     cells = F.array(*[
         F.struct(
             F.lit(c).alias("name"), F.lit(family(kinds[c])).alias("family"), F.when(~is_missing(F.col(c), kinds[c]), F.col(c).cast("string")).alias("value"),
-            (F.col(c).cast("double") if isinstance(kinds[c], (T.NumericType, T.BooleanType)) else F.lit(None).cast("double")).alias("number"),
+            (F.when(~is_missing(F.col(c), kinds[c]), F.col(c).cast("double")) if family(kinds[c]) == "numeric" else F.lit(None).cast("double")).alias("number"),
         )
         for c in columns
     ])
