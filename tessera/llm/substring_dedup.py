@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import sketch
-from .text import Words, ngram_hashes, pieces, within, words_of
+from .text import mix, ngram_hashes, pieces, within, words_of
 
 WINDOW = 13
 GRAM = 6
-HOLD = 1 << 21  # candidate windows that a task holds before it settles them
+HOLD = 1 << 20  # candidate windows that a task holds before it settles them
 
 
 def _smallest(word_hash: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -136,44 +136,73 @@ def _candidates(bits, log2: int, window: int, gram: int, buckets: int):
     return run
 
 
-def _judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partitions hold whole buckets, in order: fingerprints that a smaller document has too give places to remove."""
-    now, held, found = None, [], []
-    n_found = 0
+FOUND = "bucket int, n int, data binary"
+
+
+def _judge(buckets: int):
+    """Partitions hold whole buckets, in order: fingerprints that a smaller document has too give places to remove, by bucket of documents."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, found, n_found = None, [], [], 0
+
+        def judged() -> tuple:
+            h, h2, doc, crc, place = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, h2, h))
+            h, h2, doc = h[order], h2[order], doc[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+            gone = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+            at = order[gone]
+            return doc[gone], crc[at], place[at]
+
+        def out() -> pd.DataFrame:
+            doc, crc, place = (np.concatenate(x) for x in zip(*found))
+            bucket = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            low = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            there = np.flatnonzero(np.diff(low))
+            data = [_planes(doc[o], crc[o], place[o]) for b in there for o in (order[low[b] : low[b + 1]],)]
+            return pd.DataFrame({"bucket": there.astype(np.int32), "n": np.diff(low)[there].astype(np.int32), "data": data})
+
+        for f in frames:
+            for bucket, doc, crc, n, data in zip(f["bucket"], f["doc_id"], f["crc"], f["n"], f["data"]):
+                if bucket != now:
+                    if held:
+                        found.append(judged())
+                        n_found += len(found[-1][0])
+                    now, held = bucket, []
+                    if n_found >= HOLD:
+                        yield out()
+                        found, n_found = [], 0
+                if pd.isna(doc):
+                    held.append(_from_planes(data, n, ["<u8", "<u4", "<i8", "<u4", "<u4"]))
+                else:
+                    found.append((np.full(n, int(doc)), np.full(n, int(crc), dtype=np.uint32), np.frombuffer(data, dtype="<u4")))
+                    n_found += n
+        if held:
+            found.append(judged())
+        if found:
+            yield out()
 
-    def judged() -> None:
-        nonlocal n_found
-        h, h2, doc, crc, place = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((doc, h2, h))
-        h, h2, doc = h[order], h2[order], doc[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-        gone = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-        at = order[gone]
-        found.append((doc[gone], crc[at], place[at]))
-        n_found += len(at)
+    return run
+
+
+def _gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partitions hold whole buckets of documents, in order: one row per document and text, with the places to remove."""
+    now, held = None, []
 
     def out() -> pd.DataFrame:
-        d, c, p = _places(*(np.concatenate(x) for x in zip(*found)))
+        d, c, p = _places(*(np.concatenate(x) for x in zip(*held)))
         return pd.DataFrame({"doc_id": d, "crc": c, "data": p})
 
     for f in frames:
-        for bucket, doc, crc, n, data in zip(f["bucket"], f["doc_id"], f["crc"], f["n"], f["data"]):
+        for bucket, n, data in zip(f["bucket"], f["n"], f["data"]):
             if bucket != now:
                 if held:
-                    judged()
-                now, held = bucket, []
-                if n_found >= HOLD:
                     yield out()
-                    found, n_found = [], 0
-            if pd.isna(doc):
-                held.append(_from_planes(data, n, ["<u8", "<u4", "<i8", "<u4", "<u4"]))
-            else:
-                found.append((np.full(n, int(doc)), np.full(n, int(crc), dtype=np.uint32), np.frombuffer(data, dtype="<u4")))
-                n_found += n
+                now, held = bucket, []
+            held.append(_from_planes(data, n, ["<i8", "<u4", "<u4"]))
     if held:
-        judged()
-    if n_found:
         yield out()
 
 
@@ -215,7 +244,8 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     bits = sketch.repeated(rows.select("text"), _sketched(window, gram), log2)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 25)
     left = rows.mapInArrow(_candidates(bits, log2, window, gram, min(1 << 15, 8 * parts)), OUT)
-    removed = left.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_judge, "doc_id long, crc long, data binary")
+    found = left.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_judge(4 * parts), FOUND)
+    removed = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_gather, "doc_id long, crc long, data binary")
     by_doc = removed.groupBy("doc_id").agg(F.collect_list(F.struct("crc", "data")).alias("found")).withColumnRenamed("doc_id", "__id")
     joined = documents.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "found")
     schema = f"doc_id {key}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
