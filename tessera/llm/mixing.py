@@ -144,22 +144,38 @@ def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int
     return Plan(sources, blocks, SharedTable(chosen, "mix-chosen").read(), n_blocks), sized
 
 
+def fill(sizes: list[int], room: float) -> list[int]:
+    """Places of sizes that come near ``room`` together: in order, each that fits, then the one exchange or addition that comes nearest."""
+    taken = []
+    for i, size in enumerate(sizes):
+        if size <= room:
+            taken.append(i)
+            room -= size
+    own = set(taken)
+    rest = sorted((z, i) for i, z in enumerate(sizes) if i not in own)
+    if not rest or room <= 0:
+        return taken
+    bigger = np.array([z for z, _ in rest])
+    best, change = room, None
+    for i in [None, *{sizes[t]: t for t in taken}.values()]:  # give one back (or none), take another
+        want = room + (0 if i is None else sizes[i])
+        at = int(np.searchsorted(bigger, want))
+        for k in (at - 1, at):
+            if 0 <= k < len(rest) and abs(want - rest[k][0]) < best:
+                best, change = abs(want - rest[k][0]), (i, rest[k][1])
+    if change:
+        if change[0] is not None:
+            taken.remove(change[0])
+        taken.append(change[1])
+    return taken
+
+
 def _fill(pdf):
-    """Takes a cut block's documents in hash order, each that fits into the room left, then one more if that comes nearer. A block has a bounded share of all rows."""
+    """The documents that a cut block gives, in hash order. A block has a bounded share of all rows."""
     import pandas as pd
 
     pdf = pdf.sort_values(["order", "size"], kind="stable").reset_index(drop=True)
-    room, taken = float(pdf.room.iloc[0]), []
-    for i, size in enumerate(pdf["size"].tolist()):
-        if size <= room:
-            taken.append(i)
-            room -= size
-    rest = pdf.drop(index=taken)
-    if len(rest):
-        nearest = (rest["size"] - room).abs().idxmin()
-        if abs(rest["size"][nearest] - room) < room:
-            taken.append(nearest)
-    out = pdf.loc[taken, ["source", "doc_id"]].copy()
+    out = pdf.loc[fill(pdf["size"].tolist(), float(pdf.room.iloc[0])), ["source", "doc_id"]].copy()
     out["n_chosen"] = 1
     return out.groupby(["source", "doc_id"], dropna=False, as_index=False).n_chosen.sum() if len(out) else pd.DataFrame({"source": [], "doc_id": [], "n_chosen": []})
 
@@ -186,16 +202,27 @@ def _epoch_shard(c):
     return F.struct(c["epoch"].alias("epoch"), c["shard"].alias("shard"))
 
 
-def mixture(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = 16, seed: int = SEED) -> DataFrame:
-    """The mix itself: every column of ``documents``, once for each time a row is taken, with epoch, shard and shuffle_key (the order within a shard)."""
+PLACE = ("mix_epoch", "mix_shard", "mix_order")
+
+
+def mixture(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = 16, seed: int = SEED, with_place: bool = False) -> DataFrame:
+    """The mix itself: every column of ``documents``, once for each time a row is taken.
+
+    ``with_place`` adds PLACE (which pass over the source, output shard, order within it); columns of
+    the documents with these names are then left out.
+    """
     p, _ = plan(documents, weights, shards, seed)
-    out = dealt(documents, p, seed).select("*", F.inline("copies")).drop("copies")
-    return out.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 2), "shard", "epoch", "doc_id"))
+    kept = [c for c in documents.columns if not (with_place and c in PLACE)]
+    rows = documents.select("doc_id", "source", F.struct(*kept).alias("__row"))
+    out = dealt(rows, p, seed).select("doc_id", "__row", F.inline("copies"))
+    order = F.xxhash64(F.lit(seed + 2), "shard", "epoch", "doc_id")
+    place = [F.col("epoch").alias(PLACE[0]), F.col("shard").alias(PLACE[1]), order.alias(PLACE[2])] if with_place else []
+    return out.select("__row.*", *place)
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
-    """One folder a shard, rows shuffled locally."""
-    mixed.repartition("shard").sortWithinPartitions("shard", "shuffle_key").write.partitionBy("shard").parquet(path)
+    """One folder a shard, rows shuffled locally. mixed: with its place."""
+    mixed.repartition(PLACE[1]).sortWithinPartitions(PLACE[1], PLACE[2]).write.partitionBy(PLACE[1]).parquet(path)
 
 
 def mix_report(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = 16, seed: int = SEED) -> DataFrame:
