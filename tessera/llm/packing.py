@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
@@ -48,13 +49,12 @@ class Encoder:
     a file where ids aren't ranks, by the tokenizers library itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, content: str):
         from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.exact = Tokenizer.from_str(content)
         self.fast, self.special = None, ()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(content)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
         split = spec.get("pre_tokenizer") or {}
@@ -155,9 +155,9 @@ class Encoder:
         return out, first
 
 
-def _encode(path: str, capacity: int, end: int, with_ids: bool):
+def _encode(content: Broadcast, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, stop = Encoder(path), np.array([end], dtype="<u4").tobytes()
+        encoder, stop = Encoder(content.value), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             for part, buffer, offsets in text_parts(batch, limit=8 << 20):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -182,10 +182,15 @@ def _encode(path: str, capacity: int, end: int, with_ids: bool):
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``capacity`` ids; of a longer document the first piece takes what is over. ``with_ids`` adds the ids as bytes."""
+    """Pieces of at most ``capacity`` ids; of a longer document the first piece takes what is over. ``with_ids`` adds the ids as bytes.
+
+    tokenizer: path of the file, which the driver reads and sends to the executors (it has the size of a vocabulary).
+    """
+    with open(tokenizer, encoding="utf-8") as f:
+        content = documents.sparkSession.sparkContext.broadcast(f.read())
     key = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return documents.select("doc_id", "text").mapInArrow(_encode(tokenizer, capacity, end, with_ids), schema)
+    return documents.select("doc_id", "text").mapInArrow(_encode(content, capacity, end, with_ids), schema)
 
 
 def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
