@@ -37,18 +37,11 @@ HALF_LOW, HALF_HIGH = 0.15, 0.35
 MEDIAN_BYTES, SIGMA, TIER_GROWTH = 23200.0, 0.9, 0.06
 RATIO_LOW, RATIO_HIGH = 3.0, 6.0
 LEAST_BYTES, LEAST_COMPRESSED = 64, 32
-CATEGORIES = 14
 
-
-def category_weights() -> list[float]:
-    """Falling shares of the categories, by rule."""
-    raw = [1.0 / (2 + i) for i in range(CATEGORIES)]
-    return [w / sum(raw) for w in raw]
-
-
-def category_multipliers() -> list[float]:
-    """Size factors of the categories, by rule: between a half and two."""
-    return [2.0 ** (1 - 2 * i / (CATEGORIES - 1)) for i in range(CATEGORIES)]
+#: The categories, their shares of events, and the factors of their sizes.
+CATEGORIES = ("brakes", "batteries", "filters", "tires", "suspension", "belts_and_hoses", "lighting", "exhaust", "cooling", "steering", "sensors", "wipers", "body", "drivetrain")
+CATEGORY_SHARES = (0.14, 0.11, 0.13, 0.10, 0.06, 0.07, 0.06, 0.04, 0.05, 0.04, 0.06, 0.06, 0.04, 0.04)
+CATEGORY_FACTORS = (1.0, 0.7, 0.5, 1.2, 1.6, 0.6, 0.8, 1.5, 1.1, 1.7, 0.9, 0.4, 2.2, 2.6)
 
 
 def events(spark: SparkSession, c: Config) -> DataFrame:
@@ -60,15 +53,15 @@ def events(spark: SparkSession, c: Config) -> DataFrame:
     step = (WARRANTY_LAST - WARRANTY_FIRST) / max(1, c.warranties - 1)
     rows = rows.select(
         "record_id", pick(u("brand"), [BRAND_DECAY**i for i in range(c.brands)]).alias("b"), pick(u("tier"), [TIER_DECAY**i for i in range(c.tiers)]).alias("t"),
-        (pick(u("warranty"), [WARRANTY_FIRST + step * i for i in range(c.warranties)]) + 1).alias("w"), pick(u("category"), category_weights()).alias("k"), day.alias("day"),
+        (pick(u("warranty"), [WARRANTY_FIRST + step * i for i in range(c.warranties)]) + 1).alias("w"), pick(u("category"), list(CATEGORY_SHARES)).alias("k"), day.alias("day"),
         normal(u("size"), u("size2")).alias("z"), u("ratio").alias("ratio"),
     )
-    factor = F.element_at(F.array(*[F.lit(m) for m in category_multipliers()]), F.col("k") + 1)
+    factor = F.element_at(F.array(*[F.lit(m) for m in CATEGORY_FACTORS]), F.col("k") + 1)
     big = F.greatest(F.lit(MEDIAN_BYTES) * F.exp(F.lit(SIGMA) * F.col("z")) * factor * (1 + TIER_GROWTH * F.col("t")), F.lit(float(LEAST_BYTES))).cast("long")
     small = F.greatest(big / (RATIO_LOW + (RATIO_HIGH - RATIO_LOW) * F.col("ratio")), F.lit(float(LEAST_COMPRESSED))).cast("long")
     return rows.select(
         "record_id", F.format_string("brand-%03d", "b").alias("brand_id"), F.date_add(F.to_date(F.lit(c.start)), F.col("day")).alias("feature_transaction_date"),
-        F.col("t").cast("short").alias("feature_price_tier"), F.col("w").cast("short").alias("feature_warranty_years"), F.format_string("category-%02d", "k").alias("feature_category"),
+        F.col("t").cast("short").alias("feature_price_tier"), F.col("w").cast("short").alias("feature_warranty_years"), F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("k") + 1).alias("feature_category"),
         small.alias("blob_detail_compressed_bytes"), big.alias("blob_detail_decompressed_bytes"),
         (F.floor(uniform(c.seed, "demand", F.col("b")) * 10) + 1).cast("short").alias("_brand_demand_multiplier"),
     )
