@@ -8,11 +8,13 @@ shingles as inverted lists. The boundary between small and large is the one with
 the histogram of text sizes. The order puts first the shingles that a sketch says no other
 document has: those can't be shared, so they need no key, and a document with enough of them publishes nothing.
 
-In a list, sets are compared by parity bitmaps: the Hamming distance never exceeds the symmetric
-difference, so no pair that links is passed over. Each list yields a spanning forest of such pairs
-(at most one edge a set), which are verified on whole sets. Where the verified links leave a list in more than
-one component, all its remaining pairs across components are verified too, so components are exact
-although most pairs of a group of copies are never made.
+In a list, sets are compared by parity bitmaps, whose Hamming distance never exceeds the symmetric difference, so no pair
+that links is passed over; a list yields a spanning forest of the pairs that may link, at most one edge a set.
+What these connect is a *group* of candidates. A group's sets then move once and are verified
+where they meet, pair by pair, but only while a pair isn't yet known to be connected, so that copies
+yield a spanning forest of verified links and never their pairs. A group above a bounded size is cut into
+blocks, each of which also gets a few common sets (*hubs*); only if that leaves it in more than one component
+are its blocks compared with each other.
 
 Nulls: a null text has no words; texts without words have n_shingles 0 and are linked with nothing. A
 text with fewer words than n is one shingle. Rows that share a doc_id count as one document when
@@ -29,16 +31,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
 
 from . import sketch
 from .components import components
 from .shared import SharedTable
-from .text import Words, mix, ngram_hashes, pieces, within, words_of
+from .text import mix, ngram_hashes, pieces, within, words_of
 
 SUBSET = 2
-SHORT_BITS, LONG_BITS, SHORT_SIZE = 512, 8192, 1024
 SCAN_COST = 3.0  # entries read in an inverted list for each one published
-BLOCK = 32768  # sets of one list that one group compares
+LIST_BLOCK = 32768  # sets of one list that are compared with another such block at once
+BLOCK, BLOCK_BYTES = 8192, 48 << 20  # sets, and bytes of sets, of one block of a group
+HUBS = 16
+SHORT_BITS, LONG_BITS, SHORT_SIZE = 512, 2048, 1024  # bitmaps in lists: for sets up to a size, and for larger ones
+MIN_BITS, MAX_BITS = 512, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -93,16 +99,19 @@ def _values(n: int):
     return lambda buffer, offsets: shingle_sets(buffer, offsets, n)[0]
 
 
-def _bitmap(s: np.ndarray, bits: int) -> bytes:
-    at = (mix(s ^ np.uint64(0xA5A5)) % np.uint64(bits)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    out = np.empty((len(sets), bits // 64), dtype=np.uint64)
+    for i, x in enumerate(sets):
+        at = (mix(x ^ np.uint64(0xA5A5)) & np.uint64(bits - 1)).astype(np.int64)
+        out[i] = np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+    return out
 
 
 def keys_of(s: np.ndarray, seen: np.ndarray, t: Threshold, small: int) -> np.ndarray:
     """Keys that a set publishes. s: sorted shingles; seen: whether another document may have each."""
     n = len(s)
-    if t.shared(n) == n:
-        return s[:0]
+    if t.shared(n) == n and 100 * n < t.percent * (n + 1):
+        return s[:0]  # links with equal sets only
     order = np.argsort(seen, kind="stable")
     out = []
     if n <= small:
@@ -139,7 +148,7 @@ def _profiles(bits, log2: int, n: int, t: Threshold, small: int):
                                 published.add(sig)
                                 none = k.view(np.int64)
                                 one = s.tobytes()
-                                two = _bitmap(s, SHORT_BITS if len(s) <= SHORT_SIZE else LONG_BITS)
+                                two = _bitmaps([s], SHORT_BITS if len(s) <= SHORT_SIZE else LONG_BITS).tobytes()
                     sigs.append(sig), keys.append(none), sets.append(one), maps.append(two)
                 yield pa.record_batch(
                     [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(maps, pa.binary())],
@@ -149,30 +158,17 @@ def _profiles(bits, log2: int, n: int, t: Threshold, small: int):
     return run
 
 
-def _fold(maps: list[bytes], short: bool) -> np.ndarray:
-    rows = [np.frombuffer(m, dtype=np.uint64) for m in maps]
-    if short:
-        rows = [r if len(r) * 64 == SHORT_BITS else np.bitwise_xor.reduce(r.reshape(-1, SHORT_BITS // 64), axis=0) for r in rows]
-    return np.stack(rows)
-
-
-def near(n: np.ndarray, maps: np.ndarray, i: int, others: np.ndarray, t: Threshold) -> np.ndarray:
-    """Which of ``others`` may link with i: none that does is left out."""
-    m = n[others]
-    ok = 100 * np.minimum(m, n[i]) >= t.percent * np.maximum(m, n[i])
-    at = np.flatnonzero(ok)
-    far = np.bitwise_count(maps[others[at]] ^ maps[i]).sum(axis=1, dtype=np.int64)
-    return others[at[(100 + t.percent) * far <= t.differ(m[at] + n[i])]]
-
-
 def forest(n: np.ndarray, maps: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that may link."""
+    """A spanning forest of the pairs that may link: none that does link is in two of its trees."""
     left, out = np.arange(len(n)), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             i = queue.pop()
-            found = near(n, maps, i, left, t)
+            m = n[left]
+            at = left[100 * np.minimum(m, n[i]) >= t.percent * np.maximum(m, n[i])]
+            far = np.bitwise_count(maps[at] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            found = at[(100 + t.percent) * far <= t.differ(n[at] + n[i])]
             if len(found):
                 out += [(i, int(j)) for j in found]
                 queue += found.tolist()
@@ -180,135 +176,177 @@ def forest(n: np.ndarray, maps: np.ndarray, t: Threshold) -> list[tuple[int, int
     return out
 
 
-def across(n: np.ndarray, maps: np.ndarray, label: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
-    """All pairs that may link and have different labels."""
-    out = []
-    for i in range(len(n) - 1):
-        others = np.arange(i + 1, len(n))
-        out += [(i, int(j)) for j in near(n, maps, i, others[label[others] != label[i]], t)]
-    return out
+def _fold(maps: list[bytes], short: bool) -> np.ndarray:
+    rows = [np.frombuffer(m, dtype=np.uint64) for m in maps]
+    if short:  # a position modulo the shorter length is that of the longer one, folded
+        rows = [r if len(r) * 64 == SHORT_BITS else np.bitwise_xor.reduce(r.reshape(-1, SHORT_BITS // 64), axis=0) for r in rows]
+    return np.stack(rows)
 
 
-def _pairs(t: Threshold, labelled: bool):
-    """Partitions hold whole groups (key, low, high), in order. Rows: key, low, high, sig, n, bitmap and perhaps label."""
+def _maybe(t: Threshold):
+    """Partitions hold whole tasks (key, low, high), in order. Rows: key, low, high, rep, n, bitmap."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
         now = None
-        done: set[tuple[bytes, bytes]] = set()
+        done: set[tuple[int, int]] = set()
 
-        def compared() -> Iterator[tuple[bytes, bytes]]:
+        def compared() -> list[tuple[int, int]]:
             if len(held) < 2:
-                return
-            held.sort(key=lambda r: (r[1], r[0]))
-            n = np.array([r[1] for r in held], dtype=np.int64)
-            long = n > SHORT_SIZE
-            parts = [held] if long.all() or not long.any() else None
-            maps = _fold([r[2] for r in held], not long.all())
-            del parts
-            found = across(n, maps, np.array([r[3] for r in held]), t) if labelled else forest(n, maps, t)
+                return []
+            held.sort()
+            n = np.array([r[0] for r in held], dtype=np.int64)
+            found, out = forest(n, _fold([r[2] for r in held], bool(n[0] <= SHORT_SIZE)), t), []
             for i, j in found:
-                a, b = sorted((held[i][0], held[j][0]))
-                if (a, b) not in done:
+                pair = (held[i][1], held[j][1])
+                if pair not in done:
                     if len(done) > 500_000:
                         done.clear()
-                    done.add((a, b))
-                    yield a, b
+                    done.add(pair)
+                    out.append(pair)
+            return out
 
         for f in frames:
-            out: list[tuple[bytes, bytes]] = []
-            label = f["label"].tolist() if labelled else [0] * len(f)
-            for key, low, high, sig, n, m, own in zip(f["key"].tolist(), f["low"].tolist(), f["high"].tolist(), f["sig"], f["n"].tolist(), f["bitmap"], label):
+            out: list[tuple[int, int]] = []
+            for key, low, high, rep, n, m in zip(f["key"].tolist(), f["low"].tolist(), f["high"].tolist(), f["rep"].tolist(), f["n"].tolist(), f["bitmap"]):
                 if (key, low, high) != now:
                     out += compared()
                     held, now = [], (key, low, high)
-                held.append((bytes(sig), n, m, own))
+                held.append((n, rep, m))
             if out:
-                yield pd.DataFrame(out, columns=["a", "b"])
-        out = list(compared())
+                yield pd.DataFrame(out, columns=["u", "v"])
+        out = compared()
         if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
+            yield pd.DataFrame(out, columns=["u", "v"])
 
     return run
 
 
-def _verified(t: Threshold):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = np.concatenate([p, q])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= t.percent * (len(p) + len(q) - shared))
-            yield pa.record_batch([batch.column("u"), batch.column("v"), pa.array(ok)], ["u", "v", "ok"])
+def links_within(sets: list[np.ndarray], known: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """Verified links that connect what is connected; sets with equal ``known`` are connected already."""
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    order = np.argsort(n, kind="stable")
+    n, label, sets = n[order], known[order].copy(), [sets[i] for i in order]
+    maps = None
+    if len(sets) > 4:
+        maps = _bitmaps(sets, int(min(MAX_BITS, max(MIN_BITS, 1 << int(4 * n[-1]).bit_length()))))
+    high = np.searchsorted(100 * n, 10000 * n // t.percent, side="right")  # larger sets can't link
+    out = []
+    for i in range(len(sets) - 1):
+        at = i + 1 + np.flatnonzero(label[i + 1 : high[i]] != label[i])
+        if maps is not None and len(at):
+            far = np.bitwise_count(maps[at] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            at = at[(100 + t.percent) * far <= t.differ(n[at] + n[i])]
+        for j in at.tolist():
+            if label[j] == label[i]:
+                continue
+            both = np.concatenate([sets[i], sets[j]])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            if 100 * shared >= t.percent * (n[i] + n[j] - shared):
+                out.append((int(order[i]), int(order[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _compared(t: Threshold):
+    """Partitions hold whole tasks (grp, low, high), in order. Rows: grp, low, high, rep, known, shingles."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        now = None
+
+        def done() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            sets = [np.frombuffer(r[2], dtype=np.uint64) for r in held]
+            return [(held[i][0], held[j][0]) for i, j in links_within(sets, np.array([r[1] for r in held]), t)]
+
+        for f in frames:
+            out: list[tuple[int, int]] = []
+            for g, low, high, rep, known, data in zip(f["grp"].tolist(), f["low"].tolist(), f["high"].tolist(), f["rep"].tolist(), f["known"].tolist(), f["shingles"]):
+                if (g, low, high) != now:
+                    out += done()
+                    held, now = [], (g, low, high)
+                held.append((rep, known, data))
+            if out:
+                yield pd.DataFrame(out, columns=["u", "v"])
+        out = done()
+        if out:
+            yield pd.DataFrame(out, columns=["u", "v"])
 
     return run
 
 
 class NgramJoin:
-    """The join of one table; ``classes`` holds the result by set."""
+    """The join of one table. ``links``: (u, v), verified, that connect what is connected; ``classes``: (sig, component_id) of sets that aren't alone."""
 
-    def __init__(self, documents: DataFrame, n: int = 4, threshold: Threshold = Threshold()):
-        self.spark, self.t = documents.sparkSession, threshold
+    def __init__(self, documents: DataFrame, n: int = 4, threshold: Threshold = Threshold(), block: int = BLOCK, list_block: int = LIST_BLOCK):
+        self.spark, self.t, self.block, self.list_block = documents.sparkSession, threshold, block, list_block
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         bytes_ = F.coalesce(F.octet_length("text"), F.lit(0))
         sizes = rows.groupBy(F.least(F.floor(bytes_ / 6), F.lit(1024)).cast("long").alias("n")).agg(F.count("*").alias("c"), F.sum(bytes_).alias("b")).collect()
         self.total = sum(r.b for r in sizes)
-        self.small = boundary({max(1, r.n): r.c for r in sizes}, threshold) if sizes else 0
-        log2 = sketch.log2_cells(self.total / 6, 4)
+        self.parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.total >> 25)
+        self.small = boundary({max(1, r.n): r.c for r in sizes}, threshold) if sizes and threshold.percent > 50 else 0  # else two shared shingles aren't sure
+        log2 = sketch.log2_cells(self.total / 6, 4, rows=1)
         bits = sketch.repeated(rows.select("text"), _values(n), log2, rows=1)
         self.profiles = SharedTable(rows.mapInArrow(_profiles(bits, log2, n, threshold, self.small), PROFILE), "profiles").read()
-        self._link()
-
-    def _lists(self) -> DataFrame:
-        """key, low, high, sig, n of lists with two sets at least; long lists are blocks, of which each pair is a group (low, high)."""
-        each = self.profiles.where("keys IS NOT NULL").select("sig", "n", F.explode("keys").alias("key")).groupBy("key", "sig").agg(F.first("n").alias("n"))
-        count = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
-        rows = each.join(count, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        return rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "sig", "n")
-
-    def _candidates(self, lists: DataFrame, labelled: bool) -> DataFrame:
-        maps = self.profiles.where("bitmap IS NOT NULL").select("sig", "bitmap").groupBy("sig").agg(F.first("bitmap").alias("bitmap"))
-        full = lists.join(maps, "sig")
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.total >> 25)
-        dealt = full.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-        return dealt.mapInPandas(_pairs(self.t, labelled), "a binary, b binary").distinct()
-
-    def _verify(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
-        sets = self.profiles.where("shingles IS NOT NULL").select("sig", "shingles").groupBy("sig").agg(F.first("shingles").alias("shingles"))
-        wanted = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-        node = SharedTable(sets.join(wanted, "sig", "left_semi").join(reps, "sig").select("sig", "shingles", "rep"), "sets").read()
-        a = node.select(F.col("sig").alias("a"), F.col("shingles").alias("x"), F.col("rep").alias("u"))
-        b = node.select(F.col("sig").alias("b"), F.col("shingles").alias("y"), F.col("rep").alias("v"))
-        return pairs.join(a, "a").join(b, "b").select("u", "v", "x", "y").mapInArrow(_verified(self.t), "u long, v long, ok boolean").where("ok").select("u", "v")
-
-    def _link(self) -> None:
+        bits.destroy()
         known = self.profiles.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-        reps = SharedTable(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes").read()
-        lists = SharedTable(self._lists(), "lists").read()
-        first = SharedTable(self._candidates(lists, False), "pairs").read()
-        links = SharedTable(self._verify(first, reps.select("sig", "rep")), "links").read()
-        shared_ids = known.select("sig", "doc_id").distinct().groupBy("doc_id").agg(F.min("sig").alias("s"), F.max("sig").alias("z")).where("s != z")
-        same = shared_ids.select(F.col("s").alias("sig"), "doc_id").unionByName(shared_ids.select(F.col("z").alias("sig"), "doc_id"))
-        links_all = links.unionByName(same.join(reps, "sig").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-        found = components(links_all)
-        label = SharedTable(reps.join(found, reps["rep"] == found["node"], "left").select("sig", "rep", "rows", F.coalesce("component", "rep").alias("label")), "labels").read()
-        split = SharedTable(lists.join(label.select("sig", "label"), "sig"), "split").read()
-        mixed = split.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("key")
-        rest = self._candidates(split.join(mixed, "key", "left_semi"), True).join(first, ["a", "b"], "left_anti")
-        rest = SharedTable(rest, "rest").read()
-        self.links = links
-        if not rest.isEmpty():
-            more = SharedTable(self._verify(rest, reps.select("sig", "rep")), "more").read()
-            self.links = links.unionByName(more)
-            if not more.isEmpty():
-                found = components(links_all.unionByName(more))
-                label = SharedTable(reps.join(found, reps["rep"] == found["node"], "left").select("sig", "rep", "rows", F.coalesce("component", "rep").alias("label")), "labels").read()
-        self.classes = SharedTable(label.where("rows > 1 OR label != rep").select("sig", F.col("label").alias("component_id")), "components").read()
+        self.reps = SharedTable(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes").read()
+        self.links = self._links(self._groups())
+        found = components(self.links.unionByName(self._same_ids(known)))
+        label = self.reps.join(found, self.reps["rep"] == found["node"], "left").select("sig", "rep", "rows", F.coalesce("component", "rep").alias("component_id"))
+        self.classes = SharedTable(label.where("rows > 1 OR component_id != rep").select("sig", "component_id"), "components").read()
+
+    def _same_ids(self, known: DataFrame) -> DataFrame:
+        """Links between the sets of rows that share a doc_id."""
+        each = known.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a != z").select("doc_id")
+        more = known.join(each, "doc_id").select("sig", "doc_id").distinct()
+        return more.join(self.reps, "sig").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+
+    def _groups(self) -> DataFrame:
+        """rep, grp: sets that pairs which may link connect."""
+        published = self.profiles.where("keys IS NOT NULL").join(self.reps.select("sig", "rep"), "sig")
+        each = SharedTable(published.select("rep", "n", F.explode("keys").alias("key")).distinct(), "lists").read()
+        count = SharedTable(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lengths").read()
+        blocks = F.ceil(F.col("c") / self.list_block).cast("int")
+        rows = each.join(count, "key").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "n")
+        maps = published.groupBy("sig").agg(F.first("rep").alias("rep"), F.first("bitmap").alias("bitmap")).drop("sig")
+        dealt = rows.join(maps, "rep").repartition(self.parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+        pairs = SharedTable(dealt.mapInPandas(_maybe(self.t), "u long, v long").distinct(), "pairs").read()
+        return SharedTable(components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups").read()
+
+    def _compare(self, rows: DataFrame, name: str) -> DataFrame:
+        dealt = rows.repartition(self.parts, "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+        return SharedTable(dealt.mapInPandas(_compared(self.t), "u long, v long").distinct(), name).read()
+
+    def _links(self, groups: DataFrame) -> DataFrame:
+        of = self.reps.select("sig", "rep").join(groups, "rep")
+        sets = self.profiles.where("shingles IS NOT NULL").select("sig", "shingles").join(of, "sig").groupBy("sig").agg(*[F.first(c).alias(c) for c in ("rep", "grp", "shingles")]).drop("sig")
+        sets = SharedTable(sets, "sets").read()
+        size = sets.groupBy("grp").agg(F.count("*").alias("c"), F.sum(F.octet_length("shingles")).alias("b"))
+        blocks = F.ceil(F.greatest(F.col("c") / self.block, F.col("b") / BLOCK_BYTES)).cast("int")
+        cut = SharedTable(size.select("grp", blocks.alias("blocks")).where("blocks > 1"), "blocks").read()
+        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+        inside = sets.join(cut, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("grp", own.alias("low"), own.alias("high"), "rep", F.col("rep").alias("known"), "shingles")
+        large = sets.join(cut, "grp")
+        hubs = large.withColumn("r", F.row_number().over(W.partitionBy("grp").orderBy(F.xxhash64(F.lit(7), "rep")))).where(F.col("r") <= HUBS)
+        hubs = hubs.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("low") != own)
+        hubs = hubs.select("grp", "low", F.col("low").alias("high"), "rep", F.col("rep").alias("known"), "shingles")
+        links = self._compare(inside.unionByName(hubs), "links")
+        if cut.isEmpty():
+            return links
+        found = components(links)
+        label = large.select("rep", "grp", "blocks").join(found, large["rep"] == found["node"], "left").select("rep", "grp", "blocks", F.coalesce("component", "rep").alias("known"))
+        label = SharedTable(label, "known").read()
+        open_ = label.groupBy("grp").agg(F.min("known").alias("a"), F.max("known").alias("z")).where("a != z").select("grp")
+        rest = sets.join(label.join(open_, "grp", "left_semi").select("rep", "blocks", "known"), "rep")
+        rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own != other")
+        rest = rest.select("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "known", "shingles")
+        return links.unionByName(self._compare(rest, "more"))
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id: one row per document. Documents alone in their class stay out of the join."""

@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .text import mix, pieces
 
+ROWS = 2
 MIN_LOG2, MAX_LOG2 = 16, 28
 SLICE_LOG2 = 21
-FLUSH = 1 << 21
+FLUSH = 1 << 22
 
 
-def log2_cells(values: float, per_value: float = 8) -> int:
-    """Cells a row for about so many values, within the bound."""
-    return int(min(MAX_LOG2, max(MIN_LOG2, math.ceil(math.log2(max(1.0, values * per_value))))))
+def log2_cells(values: float, per_value: float = 8, rows: int = ROWS) -> int:
+    """Cells a row for about so many values, within the bound: one row may have all cells of two."""
+    return int(min(MAX_LOG2 + (rows < ROWS), max(MIN_LOG2, math.ceil(math.log2(max(1.0, values * per_value))))))
 
 
 def cells(values: np.ndarray, row: int, log2: int) -> np.ndarray:
@@ -108,7 +109,7 @@ def _merge(log2: int):
     return run
 
 
-def repeated(texts: DataFrame, values_of: Callable, log2: int, rows: int = 2) -> Broadcast:
+def repeated(texts: DataFrame, values_of: Callable, log2: int, rows: int = ROWS) -> Broadcast:
     """Bitmaps [rows, bytes] of the cells hit at least twice by ``values_of(buffer, offsets)`` over all rows of ``texts`` (one column, text)."""
     spark = texts.sparkSession
     partial = texts.mapInArrow(_partial(values_of, rows, log2), "slice int, once binary, twice binary")
