@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -255,9 +256,9 @@ def fit(texts: list[str | None], toxic: list[int], window: int = 32) -> Model:
             part = at[:, low : low + window]
             own = np.where(hit[low : low + window], int(t), 0)
             if hit[low : low + window].any():
-                rows.append(part), gold.append(own)
+                rows.append(part.copy()), gold.append(own)
             elif len(background) < 1000:
-                background.append((part, own))
+                background.append((part.copy(), own))
     rows, gold = rows[:3000] + [b[0] for b in background], gold[:3000] + [b[1] for b in background]
     x = np.full((len(feats[0]), len(rows), window), -1, dtype=np.int64)
     g = np.full((len(rows), window), -1, dtype=np.int64)
@@ -283,9 +284,21 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROW
     """Fits on at most ``max_rows`` labelled rows that aren't held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("__id"))).orderBy(F.xxhash64("__id"), "__id", "toxic").limit(max_rows)
-    rows = documents.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "toxic", "text"], kind="stable")
-    return fit([t if isinstance(t, str) else None for t in rows.text], rows.toxic.tolist())
+    rows = documents.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
+    learnt = rows.repartition(1).mapInPandas(_learn, "name string, data binary").collect()  # one task of bounded rows; the driver gets parameters
+    if not learnt:
+        return Model()
+    part = {r.name: np.frombuffer(bytes(r.data), dtype="<u8" if r.name == "keys" else "<f8") for r in learnt}
+    return Model(part["keys"], part["weights"], float(part["background"][0]), part["transition"].reshape(2, 2), part["calibration"])
+
+
+def _learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = list(frames)
+    if held:
+        rows = pd.concat(held).sort_values(["doc_id", "toxic", "text"], kind="stable")
+        m = fit([t if isinstance(t, str) else None for t in rows.text], rows.toxic.tolist())
+        parts = {"keys": m.keys.astype("<u8"), "weights": m.weights, "background": np.array([m.background]), "transition": m.transition, "calibration": m.calibration}
+        yield pd.DataFrame({"name": list(parts), "data": [np.ascontiguousarray(v, dtype="<u8" if k == "keys" else "<f8").tobytes() for k, v in parts.items()]})
 
 
 def _score(model: Model, with_spans: bool):
