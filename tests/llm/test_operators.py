@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,26 @@ def test_recall_and_balance():
     assert size.max() < 4 * size.mean()
 
 
+def test_no_list_within_the_ratio_is_lost(spark):
+    """Over 512 lists, of which the ratio takes more than the walk's beam holds: all of them are read, so that a wide ratio is exact."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5200, 24)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    index = ann.PostingIndex(df, 20, list_size=8)
+    assert len(index.sizes) > 512
+    c, v, ratio = index.shared.value, x[:40], 1.2
+    probed = pd.concat(ann._probe(index.shared, index.sizes, ratio, 256, 600)(iter([pd.DataFrame({"node": range(40), "embedding": list(v)})])))
+    d = ((c.as_query(v)[:, None] - c.points) ** 2).sum(axis=2)
+    within = d < 0.999 * d.min(axis=1, keepdims=True) * (1 + ratio) ** 2
+    assert (within.sum(axis=1) > 256).any()
+    for i in range(40):
+        assert set(np.flatnonzero(within[i])) <= set(probed["list"][probed["query"] == i])
+    found = index.search(F.col("vec_id") % 52 == 0, ratio=20.0).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect()
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    assert len(found) == 100 and all(set(r.ids) == set(np.argsort(-score[r.query_id])[:20].tolist()) for r in found)
+
+
 # -- token counts
 
 
