@@ -29,9 +29,9 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that n-gram links connect one stays."""
+    """Of documents that links of at least 0.8 by shingles of five words connect one stays."""
     ship(spark)
-    return ngram_join.deduplicate(docs)
+    return ngram_join.deduplicate(docs, 5, 80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import collections
+import random
 
 import numpy as np
 import pytest
@@ -48,3 +49,17 @@ def test_stages_act_on_what_is_left(spark, tmp_path):
     for r in pieces:
         full[r.sequence_id] += r.length
     assert max(full.values()) <= 1024 and np.mean(list(full.values())) > 900
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark, tmp_path):
+    rnd = random.Random(8)
+    text = lambda n: [f"w{rnd.randrange(5000)}" for _ in range(n)]
+    base = [text(500) for _ in range(4)]
+    spread = list(base[1])
+    for i in range(12, 500, 46):  # 11 of 500 words, 2.2 %
+        spread[i] = "other"
+    rows = [*base, base[0] + text(110), spread, base[2] + text(140), text(30)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.remove_near_copies(spark, docs, str(tmp_path))
+    ids = sorted(r.doc_id for r in kept.collect())
+    assert ids == sorted({r[2] for r in brute_jaccard([tuple(r) for r in docs.collect()], 5, 80)}) == [0, 1, 2, 3, 6, 7]
