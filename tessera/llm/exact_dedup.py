@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from .shared import SharedTable
@@ -157,7 +158,15 @@ def exact_groups(documents: DataFrame, digest_size: int = DIGEST, **limits: int)
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
+def _with_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, buffer, offsets in pieces(batch):
+            yield part.append_column("__sum", pa.array([hashlib.sha256(t).hexdigest() for t in _normalised(buffer, offsets)], pa.string()))
+
+
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Of repeated rows with one doc_id that stays, all stay."""
-    gone = exact_groups(documents).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    """The documents that stay, with all their columns. A row goes if its own text's group keeps another doc_id, whatever
+    other rows have its doc_id or null. Of repeated rows (equal doc_id, or null, and equal text) that stay, all stay."""
+    gone = exact_groups(documents).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__text")).distinct()
+    rows = documents.mapInArrow(_with_sums, StructType([*documents.schema.fields, StructField("__sum", StringType())]))
+    return rows.join(gone, rows["doc_id"].eqNullSafe(gone["__gone"]) & (rows["__sum"] == gone["__text"]), "left_anti").drop("__sum")

@@ -58,6 +58,14 @@ def test_exact_groups(messy, size):
     assert rows_of(exact_dedup.exact_groups(df, size)) == brute_exact(rows)
 
 
+def test_only_copies_go_where_ids_are_null_or_clash(spark):
+    rows = [(7, "A"), (7, "B"), (3, "B"), (None, "one of a kind"), (None, "more  of it"), (9, "more   of it"), (None, None), (8, " \n"), (4, "also alone")]
+    df = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    kept = [(*r, "en") for r in rows if r not in [(7, "B"), (None, "more  of it"), (None, None)]]
+    out = exact_dedup.deduplicate(df)
+    assert out.columns == df.columns and rows_of(out) == sorted(kept, key=repr)
+
+
 def test_exact_groups_of_many_chunks(spark):
     rnd = random.Random(2)
     long = "".join(rnd.choice("abcdefgh ") for _ in range(20000))
