@@ -28,6 +28,9 @@ from .text import Words, pieces, separators, text_buffers, words_of
 #: Bound on the labelled rows that are fitted, drawn evenly by hash.
 MAX_TRAIN_ROWS = 5000
 MAX_FEATURES = 4096
+#: Windows without a feature that are fitted: all are alike, so they only weigh the background. Windows with one are all fitted.
+BACKGROUND = 1000
+BATCH = 4096  # windows whose gradient is taken at once
 SPAN = 0.5
 PREFIXES = (4, 5, 6)
 _LETTERS = separators(bytes(b for b in range(128) if not chr(b).isalpha()))
@@ -169,55 +172,63 @@ def _mine(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def _field(x: list[np.ndarray], gold: np.ndarray, n_features: int, steps: int = 60, l2: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
-    """Fits the field by gradient ascent on the likelihood. x: per feature kind the feature's number or -1, [sequence, token]; gold: 0, 1 or -1 for padding."""
-    n, length = gold.shape
-    mask = (gold >= 0).astype(float)
+    """Fits the field by gradient ascent on the likelihood of all sequences, summed over batches of them. x: per feature kind the feature's number or -1, [sequence, token]; gold: 0, 1 or -1 for padding."""
     w, bias, trans = np.full(n_features, 2.0), -4.0, np.array([[2.0, -2.0], [0.0, 0.0]])
     theta = np.concatenate([w, [bias], trans.ravel()])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    y = np.maximum(gold, 0)
-    pair = np.zeros((2, 2))
-    before = np.concatenate([np.zeros((n, 1), dtype=int), y[:, :-1]], axis=1)
-    np.add.at(pair, (before[mask > 0], y[mask > 0]), 1)
+    n_tokens = int((gold >= 0).sum())
     for step in range(1, steps + 1):
-        w, bias, trans = theta[:n_features], theta[n_features], theta[n_features + 1 :].reshape(2, 2)
-        e = np.full((n, length), bias)
-        for k in x:
-            e += np.where(k >= 0, w[np.maximum(k, 0)], 0)
-        local = np.ones((n, length, 2))
-        local[:, :, 1] = np.exp(np.clip(e, -40, 40))
-        a = np.exp(trans)
-        alpha, scale = np.zeros((n, length, 2)), np.ones((n, length))
-        s = np.tile([1.0, 0.0], (n, 1))
-        for t in range(length):
-            new = (s @ a) * local[:, t]
-            c = new.sum(axis=1)
-            new /= c[:, None]
-            on = mask[:, t : t + 1] > 0
-            s = np.where(on, new, s)
-            alpha[:, t], scale[:, t] = s, np.where(mask[:, t] > 0, c, 1)
-        beta = np.ones((n, 2))
-        expect, post = np.zeros((2, 2)), np.zeros((n, length))
-        for t in range(length - 1, -1, -1):
-            on = mask[:, t] > 0
-            prev = alpha[:, t - 1] if t else np.tile([1.0, 0.0], (n, 1))
-            nxt = local[:, t] * beta / scale[:, t][:, None]
-            post[:, t] = np.where(on, alpha[:, t, 1] * beta[:, 1] / np.maximum((alpha[:, t] * beta).sum(axis=1), 1e-300), 0)
-            expect += np.einsum("ni,ij,nj->ij", prev[on], a, nxt[on])
-            beta = np.where(on[:, None], nxt @ a.T, beta)
-        diff = (y - post) * mask
         grad = np.zeros_like(theta)
-        for k in x:
-            ok = (k >= 0) & (mask > 0)
-            grad[:n_features] += np.bincount(k[ok], weights=diff[ok], minlength=n_features)
-        grad[n_features] = diff.sum()
-        grad[n_features + 1 :] = (pair - expect).ravel()
-        grad = grad / max(1.0, mask.sum() ** 0.5) - l2 * theta
+        for low in range(0, len(gold), BATCH):
+            grad += _gradient(theta, [k[low : low + BATCH] for k in x], gold[low : low + BATCH], n_features)
+        grad = grad / max(1.0, n_tokens**0.5) - l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta[:n_features], float(theta[n_features]), theta[n_features + 1 :].reshape(2, 2)
 
 
+def _gradient(theta: np.ndarray, x: list[np.ndarray], gold: np.ndarray, n_features: int) -> np.ndarray:
+    n, length = gold.shape
+    mask = (gold >= 0).astype(float)
+    y = np.maximum(gold, 0)
+    pair = np.zeros((2, 2))
+    before = np.concatenate([np.zeros((n, 1), dtype=int), y[:, :-1]], axis=1)
+    np.add.at(pair, (before[mask > 0], y[mask > 0]), 1)
+    w, bias, trans = theta[:n_features], theta[n_features], theta[n_features + 1 :].reshape(2, 2)
+    e = np.full((n, length), bias)
+    for k in x:
+        e += np.where(k >= 0, w[np.maximum(k, 0)], 0)
+    local = np.ones((n, length, 2))
+    local[:, :, 1] = np.exp(np.clip(e, -40, 40))
+    a = np.exp(trans)
+    alpha, scale = np.zeros((n, length, 2)), np.ones((n, length))
+    s = np.tile([1.0, 0.0], (n, 1))
+    for t in range(length):
+        new = (s @ a) * local[:, t]
+        c = new.sum(axis=1)
+        new /= c[:, None]
+        on = mask[:, t : t + 1] > 0
+        s = np.where(on, new, s)
+        alpha[:, t], scale[:, t] = s, np.where(mask[:, t] > 0, c, 1)
+    beta = np.ones((n, 2))
+    expect, post = np.zeros((2, 2)), np.zeros((n, length))
+    for t in range(length - 1, -1, -1):
+        on = mask[:, t] > 0
+        prev = alpha[:, t - 1] if t else np.tile([1.0, 0.0], (n, 1))
+        nxt = local[:, t] * beta / scale[:, t][:, None]
+        post[:, t] = np.where(on, alpha[:, t, 1] * beta[:, 1] / np.maximum((alpha[:, t] * beta).sum(axis=1), 1e-300), 0)
+        expect += np.einsum("ni,ij,nj->ij", prev[on], a, nxt[on])
+        beta = np.where(on[:, None], nxt @ a.T, beta)
+    diff = (y - post) * mask
+    grad = np.zeros_like(theta)
+    for k in x:
+        ok = (k >= 0) & (mask > 0)
+        grad[:n_features] += np.bincount(k[ok], weights=diff[ok], minlength=n_features)
+    grad[n_features] = diff.sum()
+    grad[n_features + 1 :] = (pair - expect).ravel()
+    return grad
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(40):
@@ -257,10 +268,10 @@ def fit(texts: list[str | None], toxic: list[int], window: int = 32) -> Model:
             own = np.where(hit[low : low + window], int(t), 0)
             if hit[low : low + window].any():
                 rows.append(part.copy()), gold.append(own)
-            elif len(background) < 1000:
+            elif len(background) < BACKGROUND:
                 background.append((part.copy(), own))
-    rows, gold = rows[:3000] + [b[0] for b in background], gold[:3000] + [b[1] for b in background]
-    x = np.full((len(feats[0]), len(rows), window), -1, dtype=np.int64)
+    rows, gold = rows + [b[0] for b in background], gold + [b[1] for b in background]
+    x = np.full((len(feats[0]), len(rows), window), -1, dtype=np.int32)
     g = np.full((len(rows), window), -1, dtype=np.int64)
     for i, (r, o) in enumerate(zip(rows, gold)):
         x[:, i, : r.shape[1]] = r

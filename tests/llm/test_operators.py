@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, html_extract, mixing, packing, preferences, token_counts, toxicity
+from tessera.llm.text import text_buffers, words_of
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -344,6 +345,23 @@ def test_toxicity_held_out(spark):
     assert words <= {"grum", "blot", "zorg"} and len(words) == 3
 
 
+def test_features_of_late_windows_are_learnt():
+    """Over 3,000 windows with a common feature come before those of a rare one."""
+    rnd = random.Random(3)
+    plain = lambda n: [f"{rnd.choice('bcdfg')}{rnd.choice('aeiou')}{rnd.choice('lmnrt')}{rnd.choice('aeiou')}" for _ in range(n)]
+    common = [" ".join(w for _ in range(110) for w in [*plain(31), "zzcommon"]) for _ in range(30)]
+    rare = [" ".join([*plain(20), "qqlater", *plain(20)]) for _ in range(20)]
+    clean = [" ".join(plain(60)) for _ in range(300)]
+    model = toxicity.fit([*common, *rare, *clean], [1] * 50 + [0] * 300)
+    buffer, offsets = text_buffers(pa.array(["qqlater"]))
+    kinds = toxicity.features(words_of(buffer, offsets, toxicity._LETTERS))[:, 0]
+    weights = model.weights[np.isin(model.keys, kinds)]
+    assert len(weights) and weights.max() > 2
+    buffer, offsets = text_buffers(pa.array([" ".join([*plain(30), "qqlater", *plain(30)])]))
+    place, p = model.spans(words_of(buffer, offsets, toxicity._LETTERS))
+    assert p[place == 30].max() > toxicity.SPAN
+
+
 def test_marginals_are_those_of_all_labellings():
     rng = np.random.default_rng(2)
     m = toxicity.Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -1.3, rng.normal(size=(2, 2)))
