@@ -35,3 +35,15 @@ def unpack(selections: DataFrame, queries: list[int]) -> DataFrame:
     """record_id and a 0/1 column per query of a short list."""
     chosen = selections.where(F.col("query_id").isin(*queries))
     return chosen.groupBy("record_id").pivot("query_id", queries).agg(F.lit(1)).na.fill(0)
+
+
+def unpack_all(bits: DataFrame, key: str = "record_id") -> DataFrame:
+    """key, query_id: a row per bit that is set, of all queries. Bytes after the last one that isn't zero aren't looked at."""
+    used = bits.select(key, "bucket", F.expr("trim(TRAILING '0' FROM hex(bits))").alias("h")).where(F.length("h") > 0)
+    digits = F.rpad("h", (F.ceil(F.length("h") / 2) * 2).cast("int"), F.lit("0"))
+    byte = lambda p: F.conv(F.substring("h", F.lit(1) + 2 * F.floor(p / 8).cast("int"), F.lit(2)), 16, 10).cast("int")
+    on = F.filter(F.sequence(F.lit(0), 4 * F.length("h") - 1), lambda p: F.getbit(byte(p), p % 8) == 1)
+    at = used.withColumn("h", digits).select(key, "bucket", F.explode(on).alias("p"))
+    size = F.lit(32768).cast("long")  # bits of a bucket; those below 1 count down from 0
+    place = F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * size + F.col("p")).otherwise(F.col("bucket") * size - F.col("p") - 1)
+    return at.select(key, place.alias("query_id"))

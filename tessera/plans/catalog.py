@@ -582,6 +582,12 @@ def bitmap_unpack(w: Workload) -> DataFrame:
     return bitmaps.unpack(w.selections, [10, 11, 12])
 
 
+@query("SELECT record_id, query_id FROM L")
+def bitmap_unpack_all(w: Workload) -> DataFrame:
+    """The whole log, from its packed supports."""
+    return bitmaps.unpack_all(bitmaps.support(w.selections))
+
+
 _DOC = """
 , SC AS (SELECT CAST(record_id AS VARCHAR) AS id, record_id // 3 AS c FROM E WHERE record_id < 12), LO AS (SELECT CAST(record_id AS VARCHAR) AS record_id, query_id FROM L WHERE record_id < 12),
 SZ AS (SELECT c, count(*) AS n FROM SC GROUP BY ALL), ME AS (SELECT c, count(DISTINCT query_id) AS d, count(*) AS k FROM SC JOIN LO ON id = record_id GROUP BY ALL),
@@ -608,6 +614,26 @@ def scenario_evaluate(w: Workload) -> DataFrame:
     return scenario.evaluate(scenario.from_document(doc)).withColumn("amplification", r6(F.col("amplification")))
 
 
+@query("""
+, SC AS (SELECT record_id, record_id // 3 AS c FROM E), SZ AS (SELECT c, count(*) AS n FROM SC GROUP BY ALL),
+ME AS (SELECT c, count(DISTINCT query_id) AS d, count(*) AS k FROM SC JOIN L USING (record_id) GROUP BY ALL),
+EA AS (SELECT SZ.c, n, coalesce(d, 0) AS d, coalesce(k, 0) AS k FROM SZ LEFT JOIN ME USING (c)),
+AL AS (SELECT CAST(c AS INT) AS container_id, n AS n_events, d AS breadth, n * d AS opened, k AS needed FROM EA UNION ALL SELECT NULL, sum(n), sum(d), sum(n * d), sum(k) FROM EA)
+SELECT 'threes' AS layout, container_id, CAST(n_events AS BIGINT) AS n_events, CAST(breadth AS BIGINT) AS breadth, CAST(opened AS BIGINT) AS opened, CAST(needed AS BIGINT) AS needed, CAST(opened - needed AS BIGINT) AS wasted, round(CASE WHEN needed > 0 THEN opened / needed ELSE 0 END, 6) AS amplification FROM AL
+""")
+def scenario_evaluate_all(w: Workload) -> DataFrame:
+    """The scenario's relations over all events and the whole log; the round trip by one document is that of ``scenario_evaluate``."""
+    from ..sources import scenario
+
+    key = F.col("record_id").cast("string")
+    s = scenario.Scenario(
+        w.events.select(key.alias("id"), F.array("brand_id").alias("attrs")), w.queries.select(F.col("query_id").cast("int").alias("id"), F.lit("").alias("label")),
+        w.selections.select(key.alias("record_id"), F.col("query_id").cast("int").alias("query_id")),
+        w.events.select(F.lit("threes").alias("layout"), F.floor(F.col("record_id") / 3).cast("int").alias("container_id"), F.array(F.lit("")).alias("labels"), key.alias("record_id")),
+    )
+    return scenario.evaluate(s).withColumn("amplification", r6(F.col("amplification")))
+
+
 @query()
 def synthetic_profile(w: Workload) -> DataFrame:
     """Queries of a small synthetic corpus and what they select."""

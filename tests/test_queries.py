@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tessera.operators import bitmaps
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +46,24 @@ def test_queries_agree_with_their_sql(spark, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["scenario_evaluate_all", "bitmap_unpack_all"])
+def test_whole_queries_leave_no_id_out(spark, name):
+    test_queries_agree_with_their_sql(spark, name)
+    d = catalog.QUERIES["corpus_describe"](spark, SF).first()
+    df = catalog.QUERIES[name](spark, SF)
+    if name == "bitmap_unpack_all":
+        assert df.count() == d.n_selections and df.select("query_id").distinct().count() == d.n_queries
+    else:
+        total = df.where("container_id IS NULL").first()
+        assert (total.n_events, total.needed) == (d.n_events, d.n_selections)
+
+
+def test_bits_of_all_buckets_are_unpacked(spark):
+    rows = [(i, q) for i in (1, 2) for q in (-40000, -2, -1, 0, 1, 7, 8, 63, 32767, 32768, 70000) if (i + q) % 3]
+    s = spark.createDataFrame(rows, "record_id long, query_id long")
+    assert sorted(tuple(r) for r in bitmaps.unpack_all(bitmaps.support(s)).collect()) == sorted(rows)
+
+
 def test_replay_plans_prune_columns(spark):
     plan = catalog.QUERIES["never_selected"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "p_comment" not in plan and "CartesianProduct" not in plan
