@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 #: Fixed values of HTML: elements without content, elements whose content is no text of the page,
 #: elements that bound a block of text, and elements that end an open one of the same family.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW_TEXT = frozenset("script style iframe title".split())  # hold no elements: without an end tag they last to the end of the page
 DROPPED = frozenset("script style noscript template svg math iframe object head title canvas audio video".split())
 BLOCK = frozenset(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th article section main nav aside header footer"
@@ -74,6 +75,27 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], int | None]:
     return tuple(dict.fromkeys(names)), label
 
 
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}[\s/>]|<body[\s>]" if tag == "head" else rf"</{re.escape(tag)}[\s/>]", re.I)
+
+
+def _next_block(text: str, at: int) -> int:
+    """Where the next tag of a block element starts, outside of raw text: the end of an element that has no end tag."""
+    skip = at
+    for m in _TOKEN.finditer(text, at):
+        if m.start() < skip or m[2] is None:
+            continue
+        tag = m[2].lower()
+        if tag in BLOCK:
+            return m.start()
+        if tag in RAW_TEXT and not m[1] and not m[3].endswith("/"):
+            end = _end_of(tag).search(text, m.end())
+            if end is None:
+                return len(text)
+            skip = end.start()
+    return len(text)
+
+
 def parse(text: str) -> Page:
     """The tree of block elements and the text blocks of a page."""
     page = Page()
@@ -110,6 +132,7 @@ def parse(text: str) -> Page:
                 return
 
     at, n = 0, len(text)
+    endless: set[str] = set()  # no end tag of these follows
     for m in _TOKEN.finditer(text):
         if m.start() < at:
             continue
@@ -124,12 +147,15 @@ def parse(text: str) -> Page:
         tag = name.lower()
         if not m[1]:
             if tag in DROPPED:
-                end = re.compile(rf"</{re.escape(tag)}[\s/>]|<body[\s>]" if tag == "head" else rf"</{re.escape(tag)}[\s/>]", re.I).search(text, at)
                 if tag not in ("head",) and m[3].endswith("/"):
                     continue
+                end = None if tag in endless else _end_of(tag).search(text, at)
                 if end is None:
-                    at = n
-                    break
+                    endless.add(tag)
+                    if tag == "head":  # its end is left out: what can be in it is dropped element by element
+                        continue
+                    at = n if tag in RAW_TEXT else _next_block(text, at)
+                    continue
                 at = end.start() if text[end.start() + 1] != "/" else text.find(">", end.start()) + 1 or n
             elif tag in ("br", "hr") or tag in VOID:
                 run.append(" ")

@@ -314,6 +314,19 @@ def test_markup(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>no</title><meta charset=x><script>'<p>no</p>'</script><h1>one</h1><p>two",
+        *(f"<h1>one</h1><{t} class=a><g><style>'<p>no'</style>no<p>two" for t in ("svg", "math", "object", "canvas", "audio", "video", "noscript", "template")),
+        "<h1>one</h1><svg><g></svg><p>two<script>'<p>no'",
+        "<h1>one</h1><p>two" + "<svg>no<div>" * 20000,
+    ],
+)
+def test_only_raw_text_without_an_end_lasts_to_the_end_of_the_page(page):
+    assert [t for _, t in html_extract.parse(page).blocks] == ["one", "two"]
+
+
 # -- toxicity
 
 
