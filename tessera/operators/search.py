@@ -70,7 +70,7 @@ def candidates(events: DataFrame, selections: DataFrame, tree: Tree, features: l
     if numeric:
         all_cuts = all_cuts.unionByName(threshold_gains(stats.where(F.col("feature").isin(*numeric)), n_queries).withColumn("op", F.lit(">")))
     good = all_cuts.where((F.col("gain") > bounds.min_gain) & (F.col("n") >= bounds.min_events) & F.col("value").isNotNull())
-    rows = good.orderBy(F.desc("gain"), "leaf", "feature", "op", "value").limit(most + len(bounds.failed)).collect()
+    rows = good.orderBy(F.desc("gain"), "leaf", "feature", "op", "value").limit(most + len(bounds.failed) * len(tree.leaves())).collect()  # a failed cut may have a row in each leaf
     cuts = [(r.gain, r.leaf, Cut(r.feature, r.op, float(r.value) if r.feature in numeric else r.value)) for r in rows]
     return [c for c in cuts if c[2] not in bounds.failed][:most]
 

@@ -175,6 +175,16 @@ def test_search_finds_a_planted_cut(spark):
     assert search.optimum(rows, value, [layouts.Cut("kind", "=", "hot")], 1) > value(rows)
 
 
+def test_failed_cuts_leave_room_in_every_leaf(spark):
+    e = spark.createDataFrame([(i, "ab"[i % 2], "hot" if i % 10 < 2 else "cold", "xyz"[i // 10 % 3]) for i in range(240)], "record_id long, side string, kind string, noise string").withColumn("compressed", F.lit(100).cast("long"))
+    s = spark.createDataFrame([(i, q) for q in range(8) for i in range(240) if i % 10 < 2 and i // 10 % 3 != q % 2], "record_id long, query_id long")
+    tree = layouts.Tree()
+    tree = tree.replaced(tree.leaves()[0], layouts.Cut("side", "=", "a"))
+    failed = {layouts.Cut("kind", "=", v) for v in ("hot", "cold")}
+    found = search.candidates(e, s, tree, ["kind", "noise"], 8, search.Bounds(failed=failed), 2)
+    assert len(found) == 2 and {c.column for _, _, c in found} == {"noise"}
+
+
 def test_bitmaps(spark, small):
     e, s, rows, log = small
     b = bitmaps.support(s)
