@@ -636,10 +636,10 @@ def scenario_evaluate_all(w: Workload) -> DataFrame:
 
 @query()
 def synthetic_profile(w: Workload) -> DataFrame:
-    """Queries of a small synthetic corpus and what they select."""
+    """Queries of the default synthetic corpus and what they select."""
     from ..sources import synthetic
 
-    c = synthetic.Config(events=3000, days=60, query_days=16, half_life_days=5.0, seed=808)
+    c = synthetic.Config()
     e, q = synthetic.events(w.spark, c), synthetic.queries(w.spark, c)
     n = synthetic.selections(e, q, c).groupBy("query_id").agg(F.count("*").alias("n_selected"))
     return q.join(n, "query_id", "left").select("query_id", "query_time", "set_name", F.col("_query_type").alias("query_type"), "n_selected")

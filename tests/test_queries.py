@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tessera.operators import bitmaps
 from tessera.plans import catalog
+from tessera.sources import synthetic
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -64,6 +65,13 @@ def test_bits_of_all_buckets_are_unpacked(spark):
     assert sorted(tuple(r) for r in bitmaps.unpack_all(bitmaps.support(s)).collect()) == sorted(rows)
 
 
+def test_synthetic_profile_is_of_the_default_corpus(spark, monkeypatch):
+    seen, made = [], synthetic.events
+    monkeypatch.setattr(synthetic, "events", lambda s, c: seen.append(c) or made(s, c))
+    catalog.QUERIES["synthetic_profile"](spark, SF)
+    assert seen == [synthetic.Config()]
+
+
 def test_replay_plans_prune_columns(spark):
     plan = catalog.QUERIES["never_selected"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "p_comment" not in plan and "CartesianProduct" not in plan
