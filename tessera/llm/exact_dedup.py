@@ -25,25 +25,27 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from .shared import SharedTable
-from .text import WHITE, _powers, _values, mix, pieces
+from .text import WHITE, pieces
 
 ROLL = 32
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 2048, 32768, 13
 DIGEST = 16
+ROLL_BYTES = 1 << 20  # bytes whose rolling hashes are made at once
+_GEAR = np.random.default_rng(977).integers(0, 1 << 32, 256, dtype=np.uint32)
+_STEP = np.array([0xC2B2AE35, 0x85EBCA6B, 0x27D4EB2F, 0x165667B1, 0x9E3779B9], dtype=np.uint32)
 
 
 def cut_points(buffer: np.ndarray, least: int = MIN_CHUNK, most: int = MAX_CHUNK, bits: int = MASK_BITS) -> np.ndarray:
-    """Places after which the rolling hash asks for a cut, anywhere in the buffer."""
-    n = len(buffer)
-    if n <= ROLL:
-        return np.zeros(0, dtype=np.int64)
-    power, inverse = _powers(0, 1 << int(n).bit_length())
-    sums = np.empty(n + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum(_values(0, False)[buffer] * power[:n], out=sums[1:])
-    rolled = (sums[ROLL:] - sums[:-ROLL]) * inverse[: n + 1 - ROLL]
-    rolled *= np.uint64(0xD6E8FEB86659FD93)
-    return np.flatnonzero(rolled >> np.uint64(64 - bits) == 0) + ROLL
+    """Places after which the rolling hash asks for a cut, anywhere in the buffer. Where to cut never decides what is equal."""
+    out = [np.zeros(0, dtype=np.int64)]
+    for low in range(0, len(buffer), ROLL_BYTES):
+        h = _GEAR[buffer[max(0, low - ROLL + 1) : low + ROLL_BYTES]]
+        span = 1
+        for odd in _STEP:  # the hash of 2, 4, ... 32 bytes from that of half as many
+            h = h[:-span] * odd + h[span:]
+            span *= 2
+        out.append(np.flatnonzero((h * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits) == 0) + max(0, low - ROLL + 1) + ROLL)
+    return np.concatenate(out)
 
 
 def chunk_ends(length: int, cuts: np.ndarray, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> list[int]:

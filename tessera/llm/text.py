@@ -1,24 +1,30 @@
 """Words of whole texts, hashed without a Python loop over words.
 
-A batch of texts is one byte buffer. A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. With
-``P`` odd, the prefix sums of ``value[byte] * P**i`` modulo 2**64 give any run's polynomial hash as
-``(sum[end] - sum[start]) * P**-start``, so that all words of a batch cost a few array operations.
-Null texts have no words.
+A batch of texts is one byte buffer. A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Its *identity* is 128 bits and
+its length: the bytes themselves up to 16 of them, a keyed digest of longer ones. Hashes mix the identity, so that different
+short words differ by construction and long ones by a cryptographic hash; none has the algebra of a polynomial. ``codes``
+compares bytes. Null texts have no words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 #: Texts are taken together up to so many bytes; a longer text is a batch of its own.
 BATCH_BYTES = 2 << 20
 
-_BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
+_SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+_HIGH = np.array([0xD1B54A32D192ED03, 0xA0761D6478BD642F], dtype=np.uint64)
+_SIZE = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,18 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(4)
-def _powers(family: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASE[family]
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    out = []
-    for b in (base, inverse):
-        p = np.full(size + 1, b, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
 def separators(extra: bytes = b"") -> np.ndarray:
     sep = np.zeros(256, dtype=bool)
     sep[[0x20, *range(0x09, 0x0E), *extra]] = True
@@ -52,12 +46,10 @@ def separators(extra: bytes = b"") -> np.ndarray:
 WHITE = separators()
 
 
-@lru_cache(8)
-def _values(family: int, lower: bool) -> np.ndarray:
-    values = np.random.default_rng(977 + family).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    if lower:
-        values[65:91] = values[97:123]
-    return values
+def _firsts(code: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, dtype=np.int64)
+    out[code[::-1]] = np.arange(len(code))[::-1]
+    return out
 
 
 @dataclass
@@ -68,16 +60,47 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    known: dict = field(default_factory=dict, repr=False)
+
+    def word(self, i: int, lower: bool = False) -> bytes:
+        own = self.buffer[self.start[i] : self.end[i]]
+        return (_LOWER[own] if lower else own).tobytes()
+
+    def identity(self, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two 64-bit numbers and the length of each word; ``lower``: of its bytes with A-Z lower-cased."""
+        if lower not in self.known:
+            data = np.zeros(len(self.buffer) + 16, dtype=np.uint8)
+            data[: len(self.buffer)] = _LOWER[self.buffer] if lower else self.buffer
+            at = np.ndarray(len(self.buffer) + 9, dtype="<u8", buffer=data, strides=(1,))
+            size = self.end - self.start
+            low = at[self.start] & _MASK[np.minimum(size, 8)]
+            high = at[np.minimum(self.start + 8, len(self.buffer))] & _MASK[np.clip(size - 8, 0, 8)]
+            long = np.flatnonzero(size > 16)
+            if len(long):
+                whole = memoryview(data)
+                sums = b"".join(hashlib.blake2b(whole[a:b], digest_size=16, key=b"word").digest() for a, b in zip(self.start[long].tolist(), self.end[long].tolist()))
+                low[long], high[long] = np.frombuffer(sums, dtype="<u8").reshape(-1, 2).T
+            self.known[lower] = low, high, size
+        return self.known[lower]
 
     def hashes(self, family: int = 0, lower: bool = False) -> np.ndarray:
-        n = len(self.buffer)
-        size = 1 << max(12, int(n).bit_length())
-        power, inverse = _powers(family, size) if size <= 4 * BATCH_BYTES else _powers.__wrapped__(family, size)
-        sums = np.empty(n + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(_values(family, lower)[self.buffer] * power[:n], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * inverse[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        """64-bit hashes; two families are independent, so both together are a fingerprint of 128 bits."""
+        low, high, size = self.identity(lower)
+        return mix(mix(low ^ _SALT[family]) + high * _HIGH[family] + size.astype(np.uint64) * _SIZE[family])
+
+    def codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each word, equal exactly where the words' bytes are equal, and the first word of each number."""
+        code, unique = pd.factorize(self.hashes())
+        first = _firsts(code, len(unique))
+        like = first[code]
+        low, high, size = self.identity()
+        same = (size == size[like]) & (low == low[like]) & (high == high[like])
+        for i in np.flatnonzero(same & (size > 16) & (like != np.arange(len(code)))).tolist():
+            same[i] = self.word(i) == self.word(like[i])
+        if not same.all():  # two words with one hash: tell all apart by their bytes
+            code, unique = pd.factorize(np.array([self.word(i) for i in range(len(code))], dtype=object))
+            first = _firsts(code, len(unique))
+        return code, first
 
     def documents(self) -> np.ndarray:
         """The batch's document of each word."""

@@ -40,6 +40,33 @@ def test_words_and_ngrams_are_those_of_a_regular_expression():
     assert len(set(seen.values())) == len(seen) and len(set(grams.values())) == len(grams)
 
 
+def twins(n=2048):
+    """Two different words of one length that every polynomial hash modulo a power of two takes for one (Thue and Morse)."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_are_told_apart_by_their_bytes(spark, monkeypatch):
+    x, y = twins()
+    z = "".join(f"w{i} " for i in range(12)).strip()
+    rows = [(1, f"{x} {z}"), (2, f"{y} {z}"), (3, f"k l m {x}"), (4, f"k l m {y}"), (5, f"{x} {y} {x}"), (6, f"{x} {x} {x}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(substring_dedup.remove_repeats(df)) == brute_windows(rows, 13)
+    assert {r.n_removed for r in substring_dedup.remove_repeats(df).collect()} == {0}
+    assert rows_of(ngram_join.near_duplicates(df)) == brute_jaccard(rows, 4, 85)
+    data = " ".join(t for _, t in rows).encode() + b" a aa A a\0 a\0\0 aaaaaaaa aaaaaaaaa aaaaaaaaaaaaaaaa aaaaaaaaaaaaaaaaa a"
+    words = lambda: words_of(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))
+    own = data.split()
+    for weak in (False, True):
+        if weak:  # all words have one of two hashes: codes still are those of the bytes
+            monkeypatch.setattr("tessera.llm.text.Words.hashes", lambda w, *a, **k: (w.end - w.start).astype(np.uint64) % np.uint64(2))
+        code, first = words().codes()
+        assert [own[first[c]] for c in code] == own and len(first) == len(set(own))
+    assert len(set(words().hashes().tolist())) <= 2
+
+
 def brute_exact(rows):
     groups = {}
     for r in rows:

@@ -159,6 +159,10 @@ def test_encoder_is_the_tokenizer():
 
     exact, rnd = Tokenizer.from_file(BPE), random.Random(4)
     texts = ["", "  ", " a  b   c\n\n d \n e\t f", "<|endoftext|> hi a<|endoftext|>", "\n\n", "a \n\nb", "é" * 3000, "don't  we'll\r\n ok", "\x1c \x85 a", "123 4567abc $$$ 　x", "a b\n", "\na\nb c", "a\x85\nb", "x" * 9000 + " y", None]
+    from tests.llm.test_dedup import twins
+
+    x, y = twins()
+    texts += [f"x {x} y", f"x {y} y", f"{y} {x}"]
     texts += ["".join(rnd.choice("ab \n\t é'1s.") for _ in range(rnd.randrange(12))) for _ in range(800)]
     texts += [" ".join("".join(rnd.choice("abé'1s.") for _ in range(rnd.randrange(1, 5))) for _ in range(rnd.randrange(12))) for _ in range(800)]
     from tessera.llm.text import text_buffers
