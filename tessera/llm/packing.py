@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ from .text import Words, pieces as text_parts, words_of
 END = 2
 CAPACITY = 1024
 MAX_BUCKETS = 256
+PART_BYTES = 1 << 20  # text that is encoded at once: a worker needs some hundred bytes for each byte of it
 
 #: How a byte-level tokenizer file writes the 256 bytes: fixed values of the format.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -43,16 +45,14 @@ class Encoder:
 
     The split pattern never reaches over the start of a run of white space. Where all runs are
     of one character, a text is therefore the sum of its words, each with the character before it; a batch's
-    different words (told apart by a 64-bit hash) are encoded once, together, and their ids are put in place by array
+    different words (told apart by their bytes) are encoded once, together, and their ids are put in place by array
     operations. tiktoken merges them under the file's own vocabulary, where an id is a merge's
     rank. Other texts are encoded whole; so are those with special tokens in them, and all texts of
     a file where ids aren't ranks, by the tokenizers library itself.
     """
 
     def __init__(self, content: str):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_str(content)
+        self.content = content
         self.fast, self.special = None, ()
         spec = json.loads(content)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -70,6 +70,13 @@ class Encoder:
                 self.size[i] = len(token)
             self.fast = tiktoken.Encoding("file", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        """The tokenizers library's own encoder, loaded where a text needs it: it takes as much memory as the fast one."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.content)
+
     def text(self, data: bytes) -> np.ndarray:
         if self.fast is not None and len(data) < 200_000 and not any(s in data for s in self.special):
             return self.fast.encode_to_numpy(data.decode())
@@ -110,8 +117,7 @@ class Encoder:
             doc = w.documents()
             spaced = plain[doc] & (w.start > offsets[doc])
             use = np.flatnonzero(spaced)
-            key = w.hashes()[use] ^ (buffer[w.start[use] - 1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            code, unique = pd.factorize(key)
+            code, unique = pd.factorize(w.codes()[0][use] * 256 + buffer[w.start[use] - 1])
             at = np.zeros(len(unique), dtype=np.int64)
             at[code[::-1]] = use[::-1]
             size = w.end[at] - w.start[at] + 1
@@ -159,7 +165,7 @@ def _encode(content: Broadcast, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stop = Encoder(content.value), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            for part, buffer, offsets in text_parts(batch, limit=8 << 20):
+            for part, buffer, offsets in text_parts(batch, limit=PART_BYTES):
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
                 flat, first = encoder.batch(buffer, offsets)
                 flat, first = flat.tobytes(), first.tolist()
