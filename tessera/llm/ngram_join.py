@@ -1,23 +1,31 @@
 """Self-join of documents by the Jaccard similarity of their word n-gram sets, size-aware.
 
-Equal sets are one class from the start (a 128-bit signature). A set of n shingles can only reach the
-threshold with another if they share ceil(0.85 n) shingles, so in any order of shingles the first
-two shared ones stand in its first n - ceil(0.85 n) + 2 places (the *prefix*). Small sets publish all
-2-subsets of that prefix as keys; large sets, and small ones that can still meet a large one, publish its
-shingles as inverted lists. The boundary between small and large is the one with the least cost by
-the histogram of text sizes. The order puts first the shingles that a sketch says no other
-document has: those can't be shared, so they need no key, and a document with enough of them publishes nothing.
+A sketch tells each shingle's level: one document's alone at most, light, heavy, heaviest. What stands in one document alone can't be
+shared, so a set is its *core*, the other shingles, with its declared size n; cores that are too small to link with
+anything end here. Documents of equal core and size are one *class*: all of them link or none does, and with other documents
+all do or none does.
+
+A set of size n can only reach the threshold with another if they share ceil(0.85 n) shingles, so in any order of shingles the first
+two shared ones stand in its first n - ceil(0.85 n) + 2 places (the *prefix*). The order is by level, rare ones first. Small sets
+publish 2-subsets of that prefix as keys; large sets, and small ones that can still meet a large one, publish its shingles as
+inverted lists. The boundary between small and large is the one with the least cost by the histogram of text sizes.
+Keys hold a light shingle, so the sketch bounds their lists. Two sets that share heavy shingles only
+link just by those, whatever else they hold: sets whose heavy part alone is large enough are also classes by that part and n, and
+the classes publish their heavy shingles. Boilerplate thus makes no lists of documents, but of different heavy parts.
 
 In a list, sets are compared by parity bitmaps, whose Hamming distance never exceeds the symmetric difference, so no pair
-that links is passed over; a list yields a spanning forest of the pairs that may link, at most one edge a set.
+that links is passed over; a list yields a spanning forest of the pairs that may link, at most one edge a set. A list
+above a bounded length isn't compared: its sets are taken together as they are, one edge a set.
 What these connect is a *group* of candidates. A group's sets then move once and are verified
 where they meet, pair by pair, but only while a pair isn't yet known to be connected, so that copies
 yield a spanning forest of verified links and never their pairs. A group above a bounded size is cut into
 blocks, each of which also gets a few common sets (*hubs*); only if that leaves it in more than one component
-are its blocks compared with each other.
+are the sets outside its largest component compared with all blocks. So a group costs time with the square of the sets that no hub reaches,
+and rows with their product by the blocks.
 
 Nulls: a null text has no words; texts without words have n_shingles 0 and are linked with nothing. A
-text with fewer words than n is one shingle. Rows that share a doc_id count as one document when
+text with fewer words than n is one shingle. Whole texts of any length are read, and hold memory of some times their size. Ties:
+a similarity of exactly the threshold links. Rows that share a doc_id count as one document when
 links are followed; each keeps its row. A null doc_id takes no part and is its own component (null). An
 empty table gives an empty result. Columns besides doc_id and text aren't read.
 """
@@ -30,21 +38,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import sketch
 from .components import components
-from .shared import SharedTable
+from .shared import SharedTable, ship
 from .text import mix, ngram_hashes, pieces, within, words_of
 
 SUBSET = 2
 SCAN_COST = 3.0  # entries read in an inverted list for each one published
-LIST_BLOCK = 32768  # sets of one list that are compared with another such block at once
-BLOCK, BLOCK_BYTES = 8192, 48 << 20  # sets, and bytes of sets, of one block of a group
+LIST_BLOCK = 256  # sets of one list that are compared by bitmaps; a longer list is a group as it is
+BLOCK, BLOCK_BYTES = 512, 16 << 20  # sets, and bytes of sets, of one block of a group
 HUBS = 16
 SHORT_BITS, LONG_BITS, SHORT_SIZE = 512, 2048, 1024  # bitmaps in lists: for sets up to a size, and for larger ones
 MIN_BITS, MAX_BITS = 512, 1 << 16
+HEAVY = 2  # level from which a shingle is heavy
 
 
 @dataclass(frozen=True)
@@ -60,9 +68,12 @@ class Threshold:
     def prefix(self, n, subset: int = 1):
         return n - self.shared(n) + subset
 
-    def differ(self, total):
-        """100 + percent times the largest symmetric difference of two sets of ``total`` shingles together."""
-        return (100 - self.percent) * total
+    def differ(self, held, total):
+        """100 + percent times the largest symmetric difference of two sets that hold ``held`` shingles and are of ``total`` together."""
+        return (100 + self.percent) * held - 2 * self.percent * total
+
+    def links(self, shared, total):
+        return 100 * shared >= self.percent * (total - shared)
 
 
 def boundary(histogram: dict[int, int], t: Threshold, scan: float = SCAN_COST) -> int:
@@ -107,25 +118,40 @@ def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def keys_of(s: np.ndarray, seen: np.ndarray, t: Threshold, small: int) -> np.ndarray:
-    """Keys that a set publishes. s: sorted shingles; seen: whether another document may have each."""
-    n = len(s)
+def keys_of(s: np.ndarray, level: np.ndarray, t: Threshold, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that a set publishes, and those of its heavy part. s: sorted shingles; level: of each, 0 if no other document can have it."""
+    n, none = len(s), s[:0]
     if t.shared(n) == n and 100 * n < t.percent * (n + 1):
-        return s[:0]  # links with equal sets only
-    order = np.argsort(seen, kind="stable")
+        return none, none  # links with equal sets only
+    order = np.argsort(level, kind="stable")
     out = []
     if n <= small:
         own = order[: t.prefix(n, SUBSET)]
-        own = np.sort(s[own[seen[own]]])
+        own = own[level[own] > 0]
         i, j = np.triu_indices(len(own), 1)
-        out.append(mix(own[i] * np.uint64(0x9E3779B97F4A7C15) + own[j]))
+        some = level[own[i]] < HEAVY  # i stands before j in the order: if that one is heavy, both are
+        x, y = s[own[i[some]]], s[own[j[some]]]
+        out.append(mix(np.minimum(x, y) * np.uint64(0x9E3779B97F4A7C15) + np.maximum(x, y)))
     if n >= t.shared(small + 1):
         own = order[: t.prefix(n)]
-        out.append(s[own[seen[own]]])
-    return np.concatenate(out)
+        out.append(s[own[(level[own] > 0) & (level[own] < HEAVY)]])
+    heavy = order[level[order] >= HEAVY]
+    most = len(heavy) - t.shared(n) + 1
+    return (np.concatenate(out) if out else none), mix(s[heavy[: max(0, most)]] ^ np.uint64(0x5DEECE66D))
+
+
+def _signature(s: np.ndarray, n: int, kind: int) -> bytes:
+    """128 bits of a set, its declared size, and whether it is a core (0) or a heavy part (1)."""
+    last = np.array([2 * n + kind], dtype=np.uint64)
+    one = mix(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64, keepdims=True) + mix(last ^ np.uint64(0xBADC0FFEE))
+    two = mix(s ^ np.uint64(0x89ABCDEF)).sum(dtype=np.uint64, keepdims=True) + mix(last ^ np.uint64(0xFEEDFACE))
+    return one.tobytes() + two.tobytes()
 
 
-PROFILE = "doc_id long, n long, sig binary, keys array<long>, shingles binary, bitmap binary"
+#: Rows of documents (node null) and of sets (node not null: the signature of a core or a heavy part).
+PROFILE = "doc_id long, n long, sig binary, core long, heavy_sig binary, heavy long, node binary, held long, keys array<long>, shingles binary, bitmap binary"
+_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+_NAMES = [c.split()[0] for c in PROFILE.split(", ")]
 
 
 def _profiles(bits, log2: int, n: int, t: Threshold, small: int):
@@ -134,32 +160,35 @@ def _profiles(bits, log2: int, n: int, t: Threshold, small: int):
         for batch in batches:
             for part, buffer, offsets in pieces(batch):
                 values, first = shingle_sets(buffer, offsets, n)
-                sizes, sigs, keys, sets, maps = [], [], [], [], []
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                rows: list[tuple] = []
+                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
                     s = np.unique(values[a:b])
-                    sizes.append(len(s))
-                    one = two = none = None
-                    sig = None
-                    if len(s):
-                        sig = mix(s ^ np.uint64(0x1234567)).sum(dtype=np.uint64).tobytes() + mix(s ^ np.uint64(0x89ABCDEF)).sum(dtype=np.uint64).tobytes()
-                        if sig not in published:
-                            k = keys_of(s, sketch.marked(bits.value, s, log2), t, small)
-                            if len(k):
-                                published.add(sig)
-                                none = k.view(np.int64)
-                                one = s.tobytes()
-                                two = _bitmaps([s], SHORT_BITS if len(s) <= SHORT_SIZE else LONG_BITS).tobytes()
-                    sigs.append(sig), keys.append(none), sets.append(one), maps.append(two)
-                yield pa.record_batch(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary()), pa.array(maps, pa.binary())],
-                    ["doc_id", "n", "sig", "keys", "shingles", "bitmap"],
-                )
+                    size, sig, core, heavy_sig, heavy = len(s), None, None, None, None
+                    if size and doc_id is not None:
+                        level = sketch.level_of(bits.value, s, log2)
+                        own = s[level > 0]
+                        if 100 * len(own) >= t.percent * size:
+                            keys, heavy_keys = keys_of(s, level, t, small)
+                            sig, core = _signature(own, size, 0), len(own)
+                            sets = [(sig, own, keys)]
+                            if len(heavy_keys):
+                                rare = s[level >= HEAVY]
+                                heavy_sig, heavy = _signature(rare, size, 1), len(rare)
+                                sets.append((heavy_sig, rare, heavy_keys))
+                            for node, x, k in sets:
+                                if len(k) and node not in published:
+                                    published.add(node)
+                                    bitmap = _bitmaps([x], SHORT_BITS if size <= SHORT_SIZE else LONG_BITS).tobytes()
+                                    rows.append((None, size, None, None, None, None, node, len(x), k.view(np.int64), x.tobytes(), bitmap))
+                    rows.append((doc_id, size, sig, core, heavy_sig, heavy, None, None, None, None, None))
+                for k in range(0, len(rows), 2000):
+                    yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows[k : k + 2000]), _TYPES)], _NAMES)
 
     return run
 
 
-def forest(n: np.ndarray, maps: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that may link: none that does link is in two of its trees."""
+def forest(n: np.ndarray, held: np.ndarray, maps: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may link: none that does link is in two of its trees. n: declared sizes; held: shingles in the sets."""
     left, out = np.arange(len(n)), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
@@ -168,7 +197,7 @@ def forest(n: np.ndarray, maps: np.ndarray, t: Threshold) -> list[tuple[int, int
             m = n[left]
             at = left[100 * np.minimum(m, n[i]) >= t.percent * np.maximum(m, n[i])]
             far = np.bitwise_count(maps[at] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            found = at[(100 + t.percent) * far <= t.differ(n[at] + n[i])]
+            found = at[(100 + t.percent) * far <= t.differ(held[at] + held[i], n[at] + n[i])]
             if len(found):
                 out += [(i, int(j)) for j in found]
                 queue += found.tolist()
@@ -183,175 +212,177 @@ def _fold(maps: list[bytes], short: bool) -> np.ndarray:
     return np.stack(rows)
 
 
+def _runs(frames: Iterator[pd.DataFrame], by: list[str], columns: list[str]) -> Iterator[list[tuple]]:
+    """Rows of a partition that is sorted by ``by``, one list for each value of it."""
+    now, held = None, []
+    for f in frames:
+        for key, row in zip(zip(*(f[c].tolist() for c in by)), zip(*(f[c].tolist() for c in columns))):
+            if key != now:
+                if held:
+                    yield held
+                now, held = key, []
+            held.append(row)
+    if held:
+        yield held
+
+
 def _maybe(t: Threshold):
-    """Partitions hold whole tasks (key, low, high), in order. Rows: key, low, high, rep, n, bitmap."""
+    """Partitions hold whole lists, in order of their keys."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list = []
-        now = None
-        done: set[tuple[int, int]] = set()
-
-        def compared() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            held.sort()
-            n = np.array([r[0] for r in held], dtype=np.int64)
-            found, out = forest(n, _fold([r[2] for r in held], bool(n[0] <= SHORT_SIZE)), t), []
-            for i, j in found:
-                pair = (held[i][1], held[j][1])
-                if pair not in done:
-                    if len(done) > 500_000:
-                        done.clear()
-                    done.add(pair)
-                    out.append(pair)
-            return out
-
-        for f in frames:
-            out: list[tuple[int, int]] = []
-            for key, low, high, rep, n, m in zip(f["key"].tolist(), f["low"].tolist(), f["high"].tolist(), f["rep"].tolist(), f["n"].tolist(), f["bitmap"]):
-                if (key, low, high) != now:
-                    out += compared()
-                    held, now = [], (key, low, high)
-                held.append((n, rep, m))
-            if out:
+        done: set[tuple[bytes, bytes]] = set()
+        out: list[tuple[bytes, bytes]] = []
+        for held in _runs(frames, ["key"], ["n", "node", "held", "bitmap"]):
+            if len(held) > 1:
+                held.sort()
+                n, size = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 2))
+                for i, j in forest(n, size, _fold([r[3] for r in held], bool(n[0] <= SHORT_SIZE)), t):
+                    pair = (held[i][1], held[j][1])
+                    if pair not in done:
+                        if len(done) > 500_000:
+                            done.clear()
+                        done.add(pair)
+                        out.append(pair)
+            if len(out) > 10_000:
                 yield pd.DataFrame(out, columns=["u", "v"])
-        out = compared()
+                out = []
         if out:
             yield pd.DataFrame(out, columns=["u", "v"])
 
     return run
 
 
-def links_within(sets: list[np.ndarray], known: np.ndarray, t: Threshold) -> list[tuple[int, int]]:
-    """Verified links that connect what is connected; sets with equal ``known`` are connected already."""
-    n = np.array([len(x) for x in sets], dtype=np.int64)
+def links_within(sets: list[np.ndarray], n: np.ndarray, known: np.ndarray, t: Threshold, own: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Verified links that connect what is connected; sets with equal ``known`` are connected already. With ``own``, only pairs of which one is such."""
+    held = np.array([len(x) for x in sets], dtype=np.int64)
     order = np.argsort(n, kind="stable")
-    n, label, sets = n[order], known[order].copy(), [sets[i] for i in order]
+    n, held, sets = n[order], held[order], [sets[i] for i in order]
+    label = pd.factorize(known)[0][order]
+    own = np.ones(len(sets), dtype=bool) if own is None else own[order]
     maps = None
     if len(sets) > 4:
-        maps = _bitmaps(sets, int(min(MAX_BITS, max(MIN_BITS, 1 << int(4 * n[-1]).bit_length()))))
+        maps = _bitmaps(sets, int(min(MAX_BITS, max(MIN_BITS, 1 << int(4 * held.max()).bit_length()))))
     high = np.searchsorted(100 * n, 10000 * n // t.percent, side="right")  # larger sets can't link
     out = []
     for i in range(len(sets) - 1):
-        at = i + 1 + np.flatnonzero(label[i + 1 : high[i]] != label[i])
+        rest = slice(i + 1, high[i])
+        at = i + 1 + np.flatnonzero((label[rest] != label[i]) & (own[rest] | own[i]))
         if maps is not None and len(at):
             far = np.bitwise_count(maps[at] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            at = at[(100 + t.percent) * far <= t.differ(n[at] + n[i])]
+            at = at[(100 + t.percent) * far <= t.differ(held[at] + held[i], n[at] + n[i])]
         for j in at.tolist():
             if label[j] == label[i]:
                 continue
             both = np.concatenate([sets[i], sets[j]])
             both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= t.percent * (n[i] + n[j] - shared):
+            if t.links(int((both[1:] == both[:-1]).sum()), n[i] + n[j]):
                 out.append((int(order[i]), int(order[j])))
                 label[label == label[j]] = label[i]
     return out
 
 
 def _compared(t: Threshold):
-    """Partitions hold whole tasks (grp, low, high), in order. Rows: grp, low, high, rep, known, shingles."""
+    """Partitions hold whole tasks (grp, block), in order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list = []
-        now = None
-
-        def done() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            sets = [np.frombuffer(r[2], dtype=np.uint64) for r in held]
-            return [(held[i][0], held[j][0]) for i, j in links_within(sets, np.array([r[1] for r in held]), t)]
-
-        for f in frames:
-            out: list[tuple[int, int]] = []
-            for g, low, high, rep, known, data in zip(f["grp"].tolist(), f["low"].tolist(), f["high"].tolist(), f["rep"].tolist(), f["known"].tolist(), f["shingles"]):
-                if (g, low, high) != now:
-                    out += done()
-                    held, now = [], (g, low, high)
-                held.append((rep, known, data))
-            if out:
-                yield pd.DataFrame(out, columns=["u", "v"])
-        out = done()
-        if out:
-            yield pd.DataFrame(out, columns=["u", "v"])
+        for held in _runs(frames, ["grp", "block"], ["node", "n", "known", "own", "shingles"]):
+            if len(held) > 1:
+                node, n, known, own, data = zip(*held)
+                found = links_within([np.frombuffer(x, dtype=np.uint64) for x in data], np.array(n, dtype=np.int64), np.array(known, dtype=object), t, np.array(own, dtype=bool))
+                if found:
+                    yield pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["u", "v"])
 
     return run
 
 
 class NgramJoin:
-    """The join of one table. ``links``: (u, v), verified, that connect what is connected; ``classes``: (sig, component_id) of sets that aren't alone."""
+    """The join of one table. ``links``: (u, v), verified, of classes, that connect what is connected; ``classes``: (sig, component_id) of classes that aren't alone."""
 
     def __init__(self, documents: DataFrame, n: int = 4, threshold: Threshold = Threshold(), block: int = BLOCK, list_block: int = LIST_BLOCK):
-        self.spark, self.t, self.block, self.list_block = documents.sparkSession, threshold, block, list_block
+        self.spark, self.t, self.block, self.list_block = ship(documents.sparkSession), threshold, block, list_block
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         bytes_ = F.coalesce(F.octet_length("text"), F.lit(0))
         sizes = rows.groupBy(F.least(F.floor(bytes_ / 6), F.lit(1024)).cast("long").alias("n")).agg(F.count("*").alias("c"), F.sum(bytes_).alias("b")).collect()
         self.total = sum(r.b for r in sizes)
         self.parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.total >> 25)
         self.small = boundary({max(1, r.n): r.c for r in sizes}, threshold) if sizes and threshold.percent > 50 else 0  # else two shared shingles aren't sure
-        log2 = sketch.log2_cells(self.total / 6, 4, rows=1)
-        bits = sketch.repeated(rows.select("text"), _values(n), log2, rows=1)
+        bits, log2 = sketch.levels(rows.select("text"), _values(n), self.total / 6)
         self.profiles = SharedTable(rows.mapInArrow(_profiles(bits, log2, n, threshold, self.small), PROFILE), "profiles").read()
         bits.destroy()
-        known = self.profiles.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-        self.reps = SharedTable(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes").read()
+        self.rows = self.profiles.where("node IS NULL")
+        self.sets = self.profiles.where("node IS NOT NULL")
+        known = self.rows.where("sig IS NOT NULL")
+        by_class = known.groupBy("sig", "n", "core", "heavy_sig", "heavy").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+        self.reps = SharedTable(by_class, "classes").read()
         self.links = self._links(self._groups())
-        found = components(self.links.unionByName(self._same_ids(known)))
-        label = self.reps.join(found, self.reps["rep"] == found["node"], "left").select("sig", "rep", "rows", F.coalesce("component", "rep").alias("component_id"))
-        self.classes = SharedTable(label.where("rows > 1 OR component_id != rep").select("sig", "component_id"), "components").read()
-
-    def _same_ids(self, known: DataFrame) -> DataFrame:
-        """Links between the sets of rows that share a doc_id."""
-        each = known.groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a != z").select("doc_id")
-        more = known.join(each, "doc_id").select("sig", "doc_id").distinct()
-        return more.join(self.reps, "sig").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+        self.classes = SharedTable(self._labelled(), "components").read()
+
+    def _all_link(self, held: str) -> Column:
+        """Whether sets that share ``held`` shingles and no other, of one declared size, link with each other."""
+        return F.lit(100) * F.col(held) >= F.lit(self.t.percent) * (2 * F.col("n") - F.col(held))
+
+    def _labelled(self) -> DataFrame:
+        """sig, component_id of the classes whose documents are linked with any other."""
+        met = self.links.select(F.col("u").alias("node")).unionByName(self.links.select(F.col("v").alias("node"))).distinct()
+        parts = self.reps.where("heavy_sig IS NOT NULL")
+        live = parts.where(self._all_link("heavy")).unionByName(parts.where(~self._all_link("heavy")).join(met, parts["heavy_sig"] == met["node"], "left_semi"))
+        found = components(self.links.unionByName(live.select(F.col("sig").alias("u"), F.col("heavy_sig").alias("v"))))
+        label = self.reps.join(found, self.reps["sig"] == found["node"], "left")
+        label = label.where(F.col("component").isNotNull() | ((F.col("rows") > 1) & self._all_link("core"))).select("sig", "rep", F.coalesce("component", "sig").alias("component"))
+        least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
+        return label.join(least, "component").select("sig", "component_id")
 
     def _groups(self) -> DataFrame:
-        """rep, grp: sets that pairs which may link connect."""
-        published = self.profiles.where("keys IS NOT NULL").join(self.reps.select("sig", "rep"), "sig")
-        each = SharedTable(published.select("rep", "n", F.explode("keys").alias("key")).distinct(), "lists").read()
-        count = SharedTable(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "lengths").read()
-        blocks = F.ceil(F.col("c") / self.list_block).cast("int")
-        rows = each.join(count, "key").withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "n")
-        maps = published.groupBy("sig").agg(F.first("rep").alias("rep"), F.first("bitmap").alias("bitmap")).drop("sig")
-        dealt = rows.join(maps, "rep").repartition(self.parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
-        pairs = SharedTable(dealt.mapInPandas(_maybe(self.t), "u long, v long").distinct(), "pairs").read()
-        return SharedTable(components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups").read()
+        """node, grp: sets that pairs which may link connect."""
+        each = SharedTable(self.sets.select("node", "n", "held", F.explode("keys").alias("key")).distinct(), "lists").read()
+        count = SharedTable(each.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1"), "lengths").read()
+        maps = self.sets.groupBy("node").agg(F.first("bitmap").alias("bitmap"))
+        dealt = each.join(count.where(F.col("c") <= self.list_block).select("key"), "key").join(maps, "node").repartition(self.parts, "key").sortWithinPartitions("key")
+        pairs = dealt.mapInPandas(_maybe(self.t), "u binary, v binary")
+        long = each.join(count.where(F.col("c") > self.list_block).select("key", "least"), "key").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+        return SharedTable(components(pairs.unionByName(long)).select("node", F.col("component").alias("grp")), "groups").read()
 
     def _compare(self, rows: DataFrame, name: str) -> DataFrame:
-        dealt = rows.repartition(self.parts, "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
-        return SharedTable(dealt.mapInPandas(_compared(self.t), "u long, v long").distinct(), name).read()
+        """rows: grp, block, node, n, known, own, shingles."""
+        dealt = rows.repartition(self.parts, "grp", "block").sortWithinPartitions("grp", "block")
+        return SharedTable(dealt.mapInPandas(_compared(self.t), "u binary, v binary").distinct(), name).read()
 
     def _links(self, groups: DataFrame) -> DataFrame:
-        of = self.reps.select("sig", "rep").join(groups, "rep")
-        sets = self.profiles.where("shingles IS NOT NULL").select("sig", "shingles").join(of, "sig").groupBy("sig").agg(*[F.first(c).alias(c) for c in ("rep", "grp", "shingles")]).drop("sig")
-        sets = SharedTable(sets, "sets").read()
-        size = sets.groupBy("grp").agg(F.count("*").alias("c"), F.sum(F.octet_length("shingles")).alias("b"))
+        first = [F.first(c).alias(c) for c in ("grp", "n", "shingles")]
+        sets = SharedTable(self.sets.select("node", "n", "shingles").join(groups, "node").groupBy("node").agg(*first), "sets").read()
+        hashed = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node")).alias(f"h{k}") for k in range(HUBS)]
+        size = sets.groupBy("grp").agg(F.count("*").alias("c"), F.sum(F.octet_length("shingles")).alias("b"), *hashed)
         blocks = F.ceil(F.greatest(F.col("c") / self.block, F.col("b") / BLOCK_BYTES)).cast("int")
-        cut = SharedTable(size.select("grp", blocks.alias("blocks")).where("blocks > 1"), "blocks").read()
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        inside = sets.join(cut, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("grp", own.alias("low"), own.alias("high"), "rep", F.col("rep").alias("known"), "shingles")
-        large = sets.join(cut, "grp")
-        hubs = large.withColumn("r", F.row_number().over(W.partitionBy("grp").orderBy(F.xxhash64(F.lit(7), "rep")))).where(F.col("r") <= HUBS)
-        hubs = hubs.withColumn("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("low") != own)
-        hubs = hubs.select("grp", "low", F.col("low").alias("high"), "rep", F.col("rep").alias("known"), "shingles")
-        links = self._compare(inside.unionByName(hubs), "links")
+        hubs = F.array_distinct(F.array(*[F.col(f"h{k}.node") for k in range(HUBS)]))
+        cut = SharedTable(size.select("grp", blocks.alias("blocks"), hubs.alias("hubs")).where("blocks > 1"), "blocks").read()
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        task = ["grp", "block", "node", "n", F.col("node").alias("known"), F.lit(True).alias("own"), "shingles"]
+        inside = sets.join(cut.select("grp", "blocks"), "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", own).select(*task)
+        hub = sets.join(cut.select(F.explode("hubs").alias("node"), "blocks"), "node").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where(F.col("block") != own).select(*task)
+        links = self._compare(inside.unionByName(hub), "links")
         if cut.isEmpty():
             return links
         found = components(links)
-        label = large.select("rep", "grp", "blocks").join(found, large["rep"] == found["node"], "left").select("rep", "grp", "blocks", F.coalesce("component", "rep").alias("known"))
+        label = sets.select("node", "grp").join(cut.select("grp", "blocks"), "grp").join(found, "node", "left").select("node", "grp", "blocks", F.coalesce("component", "node").alias("known"))
         label = SharedTable(label, "known").read()
-        open_ = label.groupBy("grp").agg(F.min("known").alias("a"), F.max("known").alias("z")).where("a != z").select("grp")
-        rest = sets.join(label.join(open_, "grp", "left_semi").select("rep", "blocks", "known"), "rep")
-        rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own != other")
-        rest = rest.select("grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "known", "shingles")
-        return links.unionByName(self._compare(rest, "more"))
+        main = label.groupBy("grp", "known").count().groupBy("grp").agg(F.max_by("known", F.struct("count", "known")).alias("main"), F.count("*").alias("trees")).where("trees > 1")
+        rest = sets.select("node", "n", "shingles").join(label.join(main.select("grp", "main"), "grp"), "node").withColumn("at", own).withColumn("own", F.col("known") != F.col("main"))
+        block = F.explode(F.when(F.col("own"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at")))
+        return links.unionByName(self._compare(rest.withColumn("block", block).select("grp", "block", "node", "n", "known", "own", "shingles"), "more"))
 
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id: one row per document. Documents alone in their class stay out of the join."""
-        out = self.profiles.select("doc_id", "n", "sig").join(self.classes, "sig", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        out = self.rows.select("doc_id", "n", "sig").join(self.classes, "sig", "left")
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        several = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("u"), F.max("component_id").alias("v")).where("u != v").select("doc_id")
+        several = SharedTable(several, "several").read()
+        if several.isEmpty():
+            return out
+        # rows that share a doc_id join the components that they are in
+        of = out.join(several, "doc_id", "left_semi").select("doc_id", F.col("component_id").alias("v")).distinct()
+        least = of.groupBy("doc_id").agg(F.min("v").alias("u"))
+        joined = components(of.join(least, "doc_id").select("u", "v")).withColumnRenamed("component", "joined")
+        return out.join(joined, out["component_id"] == joined["node"], "left").select("doc_id", "n_shingles", F.coalesce("joined", "component_id").alias("component_id"))
 
 
 def near_duplicates(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:

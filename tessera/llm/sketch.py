@@ -1,9 +1,11 @@
-"""Count-min sketch of values in texts, kept as the cells that were hit at least twice.
+"""Count-min sketches of values in texts, by slices of their cells.
 
-Tasks emit the cells they hit in sorted, compressed slices; merging a slice only needs counters up to
-two. The merged bitmaps have a fixed upper size, ``ROWS * 2**MAX_LOG2 / 8`` bytes, whatever the input, so they
-can be broadcast. A value whose cells aren't all marked was seen once at most; a marked one may
-have been seen once (the estimate is too high), never the reverse.
+Tasks emit the cells they hit in sorted, compressed slices; a slice is merged by one task at a time. A cell's count is never
+below that of any of its values.
+
+``levels`` keeps two bits a cell (once at most, light, heavy, heaviest), so that its result has a fixed upper size whatever the
+input, ``2**MAX_LOG2 / 4`` bytes, and can be broadcast; the bounds between levels rise with the mean number of hits a cell, so
+that they still tell rare values from common ones when there are more values than cells.
 """
 
 from __future__ import annotations
@@ -20,25 +22,44 @@ from pyspark.sql import DataFrame, functions as F
 
 from .text import mix, pieces
 
-ROWS = 2
 MIN_LOG2, MAX_LOG2 = 16, 28
 SLICE_LOG2 = 21
 FLUSH = 1 << 22
+LIGHT, HEAVIER = 64, 64  # hits up to which a cell is light at least, and how many times that a heavy one may have
+
 
+def log2_cells(values: float, per_value: float = 4) -> int:
+    """Cells for about so many values, within the bound."""
+    return int(min(MAX_LOG2, max(MIN_LOG2, math.ceil(math.log2(max(1.0, values * per_value))))))
 
-def log2_cells(values: float, per_value: float = 8, rows: int = ROWS) -> int:
-    """Cells a row for about so many values, within the bound: one row may have all cells of two."""
-    return int(min(MAX_LOG2 + (rows < ROWS), max(MIN_LOG2, math.ceil(math.log2(max(1.0, values * per_value))))))
+
+def bounds(values: float, log2: int) -> tuple[int, int, int]:
+    """Hits above which a cell is of level 1, 2, 3."""
+    light = int(max(LIGHT, 8 * values / 2**log2))
+    return 1, light, light * HEAVIER
 
 
 def cells(values: np.ndarray, row: int, log2: int) -> np.ndarray:
     return (mix(values + np.uint64(0x51ED270B * (row + 1))) >> np.uint64(64 - log2)).astype(np.int64)
 
 
+def planes(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers by their byte planes, compressed."""
+    return zlib.compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays), 1)
+
+
+def from_planes(data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(zlib.decompress(data), dtype=np.uint8), [], 0
+    for k in kinds:
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).ravel())
+        at += n * size
+    return out
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     """Sorted unsigned 32-bit numbers, by their differences' byte planes."""
-    d = np.diff(x.astype(np.int64), prepend=0).astype("<u4")
-    return zlib.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return planes(np.diff(x.astype(np.int64), prepend=0).astype("<u4"))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
@@ -46,26 +67,27 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64))
 
 
-def _partial(values_of: Callable, rows: int, log2: int):
+def counted(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different cells, sorted, and how often each is hit."""
+    c = np.sort(c)
+    new = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, dtype=np.int64)
+    return c[new], np.diff(new, append=len(c))
+
+
+def _partial(values_of: Callable, log2: int):
     cut = min(SLICE_LOG2, log2)
 
     def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        values = np.concatenate(held)
-        number, once, twice = [], [], []
-        for r in range(rows):
-            c = np.sort(cells(values, r, log2))
-            new = np.ones(len(c), dtype=bool)
-            new[1:] = c[1:] != c[:-1]
-            again = np.unique(c[1:][~new[1:]])
-            c = c[new]
-            part = np.arange((1 << (log2 - cut)) + 1) << cut
-            low, low2 = np.searchsorted(c, part), np.searchsorted(again, part)
-            for s in np.flatnonzero(np.diff(low)):
-                number.append((r << 16) | int(s))
-                once.append(pack_sorted(c[low[s] : low[s + 1]] - part[s]))
-                twice.append(pack_sorted(again[low2[s] : low2[s + 1]] - part[s]) if low2[s + 1] > low2[s] else b"")
-        for k in range(0, len(number), 64):
-            yield pa.record_batch([pa.array(number[k : k + 64], pa.int32()), pa.array(once[k : k + 64], pa.binary()), pa.array(twice[k : k + 64], pa.binary())], ["slice", "once", "twice"])
+        c, hits = counted(cells(np.concatenate(held), 0, log2))
+        part = np.arange((1 << (log2 - cut)) + 1) << cut
+        low = np.searchsorted(c, part)
+        rows = []
+        for s in np.flatnonzero(np.diff(low)).tolist():
+            own, n = c[low[s] : low[s + 1]] - part[s], hits[low[s] : low[s + 1]]
+            more = np.flatnonzero(n > 1)
+            rows.append((s, pack_sorted(own), len(more), planes(own[more].astype("<u4"), n[more].astype("<u4"))))
+        for k in range(0, len(rows), 64):
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 64]), (pa.int32(), pa.binary(), pa.int32(), pa.binary()))], ["slice", "cells", "n", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -83,55 +105,52 @@ def _partial(values_of: Callable, rows: int, log2: int):
     return run
 
 
-def _merge(log2: int):
+def _merge(log2: int, edges: tuple[int, int, int]):
     cut = min(SLICE_LOG2, log2)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, count = None, np.zeros(1 << cut, dtype=np.uint8)
+        now, count = None, np.zeros(1 << cut, dtype=np.int64)
 
-        def done():
-            return pd.DataFrame({"slice": [now], "bits": [zlib.compress(np.packbits(count >= 2, bitorder="little").tobytes(), 1)]})
+        def done() -> pd.DataFrame:
+            level = np.searchsorted(np.array(edges), count).astype(np.uint8)
+            return pd.DataFrame({"slice": [now], "bits": [zlib.compress(b"".join(np.packbits(level >> k & 1, bitorder="little").tobytes() for k in (0, 1)), 1)]})
 
         for f in frames:
-            for s, once, twice in zip(f["slice"], f["once"], f["twice"]):
+            for s, own, n, more in zip(f["slice"].tolist(), f["cells"], f["n"].tolist(), f["more"]):
                 if s != now:
                     if now is not None:
                         yield done()
                     now = s
                     count[:] = 0
-                at = unpack_sorted(once)
-                count[at] = np.minimum(count[at] + 1, 2)
-                if twice:
-                    count[unpack_sorted(twice)] = 2
+                count[unpack_sorted(own)] += 1
+                if n:
+                    at, hits = from_planes(more, n, ["<u4", "<u4"])
+                    count[at] += hits.astype(np.int64) - 1
         if now is not None:
             yield done()
 
     return run
 
 
-def repeated(texts: DataFrame, values_of: Callable, log2: int, rows: int = ROWS) -> Broadcast:
-    """Bitmaps [rows, bytes] of the cells hit at least twice by ``values_of(buffer, offsets)`` over all rows of ``texts`` (one column, text)."""
-    spark = texts.sparkSession
-    partial = texts.mapInArrow(_partial(values_of, rows, log2), "slice int, once binary, twice binary")
-    n = max(1, min(rows << max(0, log2 - SLICE_LOG2), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    merged = partial.repartition(n, "slice").sortWithinPartitions("slice").mapInPandas(_merge(log2), "slice int, bits binary")
+def levels(texts: DataFrame, values_of: Callable, values: float) -> tuple[Broadcast, int]:
+    """Two bits a cell [2, bytes], for ``values_of(buffer, offsets)`` over all rows of ``texts`` (one column, text), of about so many values; and the logarithm of the number of cells."""
+    spark, log2 = texts.sparkSession, log2_cells(values)
+    partial = texts.mapInArrow(_partial(values_of, log2), "slice int, cells binary, n int, more binary")
+    n = max(1, min(1 << max(0, log2 - SLICE_LOG2), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    merged = partial.repartition(n, "slice").sortWithinPartitions("slice").mapInPandas(_merge(log2, bounds(values, log2)), "slice int, bits binary")
     cut = min(SLICE_LOG2, log2)
-    bits = np.zeros((rows, max(1, (1 << log2) >> 3)), dtype=np.uint8)
+    bits = np.zeros((2, (1 << log2) >> 3), dtype=np.uint8)
     for r in merged.toLocalIterator():
-        row, s = r.slice >> 16, r.slice & 0xFFFF
-        at = s << cut >> 3
-        own = np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8)
-        bits[row, at : at + len(own)] = own
-    return spark.sparkContext.broadcast(bits)
-
-
-def marked(bits: np.ndarray, values: np.ndarray, log2: int) -> np.ndarray:
-    """Whether all cells of a value are marked."""
-    out = np.ones(len(values), dtype=bool)
-    for r in range(len(bits)):
-        c = cells(values, r, log2)
-        out &= (bits[r][c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
-    return out
+        at = r.slice << cut >> 3
+        bits[:, at : at + (1 << cut >> 3)] = np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8).reshape(2, -1)
+    return spark.sparkContext.broadcast(bits), log2
+
+
+def level_of(bits: np.ndarray, values: np.ndarray, log2: int) -> np.ndarray:
+    """0: one hit at most; 1: few; 2: many; 3: most."""
+    c = cells(values, 0, log2)
+    at, bit = c >> 3, (c & 7).astype(np.uint8)
+    return (bits[0][at] >> bit & 1) + 2 * (bits[1][at] >> bit & 1)
 
 
 def text_bytes(documents: DataFrame) -> int:

@@ -1,20 +1,25 @@
 """Removal of repeated word windows, with a count-min prefilter.
 
-First pass: each window of 13 words is stood for by the smallest hash of its word 6-grams. Partition
-sketches of these (once for a run of windows that share one) are merged; equal windows have equal smallest hashes, so the
-estimate is never below a window's number of documents, and windows estimated single are done. Second pass:
-the windows left are grouped by a 96-bit fingerprint of their words. A task settles what repeats
-within it and sends on one document per fingerprint, so the rows of a window grow with
-tasks and not with copies; a bucket of fingerprints then says which of these also start in a smaller document.
+Each window of 13 words is stood for by the smallest hash of its word 6-grams; some windows in a row mostly share one, so they are
+a *run*. Texts move once, into buckets of documents, and every later step finds them there. First pass: buckets emit the sketch
+cells that their runs hit; slices of cells, as many as the input needs, are merged on their own and tell each bucket which of
+its cells were hit twice. Equal windows have equal smallest hashes, so this is never below a window's number of documents, and windows
+estimated single are done. No sketch is ever in one place, so the prefilter is as sharp for any input.
+
+Second pass: runs of windows that are left go, as words, to the task of their smallest hash, where equal windows meet. Windows are
+grouped by a hash and each is compared with its group's first, word by word. A bucket settles what repeats
+within it the same way and sends on one document per window, so the rows of a window grow with buckets and not with copies.
 
 Nulls: a null text has no words; a row with a null doc_id neither removes nor is removed from. Repeated
-rows don't remove each other, since their doc_ids are equal, and each keeps its result row. Shorter texts than a window stay whole.
-An empty table gives an empty result. Columns besides doc_id and text aren't read.
+rows don't remove each other, since their doc_ids are equal, and each keeps its result row. Shorter texts than a window stay whole;
+long ones are read whole and need memory of some times their size. Ties: of equal windows the one in the smallest doc_id stays. An
+empty table gives an empty result. Columns besides doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +28,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import sketch
-from .text import mix, ngram_hashes, pieces, within, words_of
+from .shared import ship
+from .sketch import cells, from_planes, pack_sorted, planes, text_bytes, unpack_sorted
+from .text import Words, ngram_hashes, pieces, text_buffers, within, words_of
 
 WINDOW = 13
 GRAM = 6
-HOLD = 1 << 20  # candidate windows that a task holds before it settles them
+ROWS = 2  # of the sketch
+PER_VALUE = 8  # cells a row for each run that is expected
+BUCKET_BYTES = 8 << 20  # text of a bucket of documents
+HOLD = 1 << 19  # windows that are grouped at once in a bucket
+COMPARED = 1 << 16  # windows whose words are compared at once
 
 
 def _smallest(word_hash: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -42,211 +52,308 @@ def _smallest(word_hash: np.ndarray, window: int, gram: int) -> np.ndarray:
     return g
 
 
-def _sketched(window: int, gram: int):
-    def values(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        w = words_of(buffer, offsets)
-        m = _smallest(w.hashes(), window, gram)
-        ok = within(w.first, window, len(w.start))
-        new = ok.copy()
-        new[1:] &= ~ok[:-1] | (m[1:] != m[:-1])
-        starts = w.first[:-1]
-        starts = starts[starts < len(m)]
-        new[starts] = ok[starts]
-        return m[new]
-
-    return values
-
-
-def _planes(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays), 1)
-
-
-def _from_planes(data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
-    raw, out, at = np.frombuffer(zlib.decompress(data), dtype=np.uint8), [], 0
-    for k in kinds:
-        size = np.dtype(k).itemsize
-        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).ravel())
-        at += n * size
-    return out
-
-
-def _places(doc: np.ndarray, crc: np.ndarray, place: np.ndarray) -> tuple[list, list, list]:
-    """Places by document, as bytes of sorted 32-bit numbers."""
-    order = np.lexsort((place, crc, doc))
-    doc, crc, place = doc[order], crc[order], place[order].astype("<u4")
-    cut = np.flatnonzero((doc[1:] != doc[:-1]) | (crc[1:] != crc[:-1])) + 1
-    low, high = np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]])
-    return doc[low].tolist(), crc[low].tolist(), [place[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist())]
-
-
-OUT = "bucket int, doc_id long, crc long, n int, data binary"
-
-
-def _candidates(bits, log2: int, window: int, gram: int, buckets: int):
-    """Rows of OUT: with a document, places removed already; without, a bucket's fingerprints with the documents they were found in first."""
-
-    def settle(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h, h2, doc, crc, place = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((doc, h2, h))
-        h, h2, doc, crc, place = h[order], h2[order], doc[order], crc[order], place[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-        gone = doc > least
-        if gone.any():
-            d, c, p = _places(doc[gone], crc[gone], place[gone])
-            for k in range(0, len(d), 5000):
-                own = p[k : k + 5000]
-                yield pa.record_batch([pa.array([x % buckets for x in d[k : k + 5000]], pa.int32()), pa.array(d[k : k + 5000], pa.int64()), pa.array(c[k : k + 5000], pa.int64()), pa.array([len(x) // 4 for x in own], pa.int32()), pa.array(own, pa.binary())], ["bucket", "doc_id", "crc", "n", "data"])
-        h, h2, doc, crc, place = (x[~gone] for x in (h, h2, doc, crc, place))
-        bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        low = np.searchsorted(bucket, np.arange(buckets + 1))
-        number, size, data = [], [], []
-        for b in np.flatnonzero(np.diff(low)):
-            s = slice(low[b], low[b + 1])
-            number.append(int(b)), size.append(int(low[b + 1] - low[b]))
-            data.append(_planes(h[s], h2[s], doc[s], crc[s], place[s]))
-        for k in range(0, len(number), 500):
-            n = len(number[k : k + 500])
-            yield pa.record_batch([pa.array(number[k : k + 500], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(size[k : k + 500], pa.int32()), pa.array(data[k : k + 500], pa.binary())], ["bucket", "doc_id", "crc", "n", "data"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
+def _runs(doc: np.ndarray, place: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """First of each run of windows: of one document, at places in a row, with one smallest hash."""
+    new = np.ones(len(place), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1) | (smallest[1:] != smallest[:-1])
+    return np.flatnonzero(new)
+
+
+class Parts:
+    """A bucket's documents, in an order that its rows' order doesn't change, some bytes at a time: words, smallest hashes, places of windows and their documents."""
+
+    def __init__(self, table: pa.Table, window: int, gram: int):
+        self.window, self.gram = window, gram
+        ids = table.column("id").fill_null(0).to_numpy()
+        buffer, offsets = text_buffers(table.column("text"))
+        data = memoryview(np.ascontiguousarray(buffer))
+        sums = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.uint32)
+        order = np.lexsort((sums, ids))
+        self.rows = table.select(["id", "text"]).take(pa.array(order)).combine_chunks()
+        self.sums = sums[order]
+
+    def __iter__(self):
+        base = 0
+        for batch in self.rows.to_batches():
             for part, buffer, offsets in pieces(batch):
                 w = words_of(buffer, offsets)
-                word = w.hashes()
-                m = _smallest(word, window, gram)
-                at = np.flatnonzero(within(w.first, window, len(w.start)))
-                at = at[sketch.marked(bits.value, m[at], log2)]
+                smallest = _smallest(w.hashes(), self.window, self.gram)
+                at = np.flatnonzero(within(w.first, self.window, len(w.start)))
                 doc = np.searchsorted(w.first, at, side="right") - 1
-                ids = part.column("doc_id")
-                known = ~np.asarray(ids.is_null().to_numpy(zero_copy_only=False), dtype=bool)[doc]
+                ids = part.column("id")
+                known = ids.is_valid().to_numpy(zero_copy_only=False)[doc]
                 at, doc = at[known], doc[known]
-                if len(at):
-                    crcs = np.array([zlib.crc32(buffer[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], dtype=np.uint32)
-                    held.append((ngram_hashes(word, window, 1)[at], ngram_hashes(word, window, 2)[at].astype(np.uint32), ids.fill_null(0).to_numpy()[doc].astype(np.int64), crcs[doc], (at - w.first[doc]).astype(np.uint32)))
-                    n += len(at)
-                if n >= HOLD:
-                    yield from settle(held)
-                    held, n = [], 0
-        if n:
-            yield from settle(held)
+                yield w, smallest[at], at, doc, ids.fill_null(0).to_numpy()[doc], self.sums[base : base + part.num_rows][doc]
+                base += part.num_rows
+
+
+def _slices(log2: int) -> int:
+    """Logarithm of a slice's cells: a slice has those of some MB of text, and there are no more slices than a bucket has much to say to."""
+    return min(log2, max(22, min(27, log2 - 12)))
+
+
+def _hits(window: int, gram: int, log2: int):
+    """bucket, slice, the cells hit, and those hit twice or more."""
+    cut = _slices(log2)
+
+    def run(table: pa.Table) -> pa.Table:
+        held = [np.zeros(0, dtype=np.uint64)]
+        for _, smallest, at, doc, _, _ in Parts(table, window, gram):
+            held.append(smallest[_runs(doc, at, smallest)])
+        v, out = np.concatenate(held), []
+        for r in range(ROWS):
+            c = np.sort(cells(v, r, log2))
+            new = np.ones(len(c), dtype=bool)
+            new[1:] = c[1:] != c[:-1]
+            again, c = np.unique(c[~new]), c[new]
+            there = np.unique(c >> cut)
+            bounds = [np.searchsorted(x, (there + k) << cut).tolist() for x in (c, again) for k in (0, 1)]
+            for s, a, b, a2, b2 in zip(there.tolist(), *bounds):
+                out.append((r << 48 | s, pack_sorted(c[a:b] - (s << cut)), pack_sorted(again[a2:b2] - (s << cut))))
+        s, once, twice = zip(*out) if out else ((), (), ())
+        bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
+        return pa.table({"bucket": pa.array([bucket] * len(s), pa.int32()), "slice": pa.array(s, pa.int64()), "once": pa.array(once, pa.binary()), "twice": pa.array(twice, pa.binary())})
+
+    return run
+
+
+def _merged(log2: int):
+    """Partitions hold whole slices, in order: what each bucket is told of its cells there."""
+    cut = _slices(log2)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, count = None, [], np.zeros(1 << cut, dtype=np.uint8)
+
+        def told() -> pd.DataFrame:
+            rows = []
+            for bucket, own in held:
+                own = unpack_sorted(own)
+                own = own[count[own] > 1]
+                if len(own):
+                    rows.append((bucket, now, pack_sorted(own)))
+            for _, own in held:
+                count[unpack_sorted(own)] = 0
+            return pd.DataFrame(rows, columns=["bucket", "slice", "cells"])
+
+        for f in frames:
+            for bucket, s, once, twice in zip(f["bucket"].tolist(), f["slice"].tolist(), f["once"], f["twice"]):
+                if s != now:
+                    if held:
+                        yield told()
+                    now, held = s, []
+                held.append((bucket, once))
+                own = unpack_sorted(once)
+                count[own] = np.minimum(count[own] + 1, 2)
+                count[unpack_sorted(twice)] = 2
+        if held:
+            yield told()
 
     return run
 
 
+def _marked(replies: pa.Table, log2: int, cut: int):
+    """Tells of smallest hashes whether all their cells were hit twice."""
+    of = [[np.zeros(0, dtype=np.int64)] for _ in range(ROWS)]
+    rows = sorted(zip(replies.column("slice").to_pylist(), replies.column("cells").to_pylist()))
+    for s, own in rows:
+        of[s >> 48].append(unpack_sorted(own) + ((s & (1 << 48) - 1) << cut))
+    sure = [np.concatenate(x) for x in of]
+
+    def marked(v: np.ndarray) -> np.ndarray:
+        out = np.ones(len(v), dtype=bool)
+        for r, own in enumerate(sure):
+            c = cells(v, r, log2)
+            k = np.searchsorted(own, c)
+            out &= (k < len(own)) & (own[np.minimum(k, len(own) - 1)] == c) if len(own) else False
+        return out
+
+    return marked
+
+
+def same_windows(words: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """A number for each window of words that starts ``at`` a place, equal exactly where the windows' words are equal."""
+    number, unique = pd.factorize(ngram_hashes(words.hashes(), window, 1)[at])
+    code = words.codes()[0].astype(np.int32)
+    first = np.zeros(len(unique), dtype=np.int64)
+    first[number[::-1]] = at[::-1]
+    span = np.arange(window)
+    for low in range(0, len(at), COMPARED):
+        part = slice(low, low + COMPARED)
+        if (code[at[part, None] + span] != code[first[number[part], None] + span]).any():
+            return np.unique(code[at[:, None] + span], axis=0, return_inverse=True)[1].ravel()
+    return number
+
+
+def _repeated(words: Words, at: np.ndarray, doc_id: np.ndarray, window: int) -> np.ndarray:
+    """Windows that also start in a document with a smaller id."""
+    number = same_windows(words, at, window)
+    least = np.full(int(number.max()) + 1 if len(number) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, number, doc_id)
+    return doc_id > least[number]
+
+
+#: Rows to a task ``key``: runs of windows as words, or (settled) places to remove in documents of a bucket.
+SENT = "key int, bucket int, settled boolean, n int, data binary, words binary"
+_SENT = [("key", pa.int32()), ("bucket", pa.int32()), ("settled", pa.bool_()), ("n", pa.int32()), ("data", pa.binary()), ("words", pa.binary())]
+_RUN = ["<i8", "<u4", "<u4", "<u4"]  # document, check sum of its text, place, windows
+_PLACE = ["<i8", "<u4", "<u4"]
+
+
+def _candidates(log2: int, window: int, gram: int, keys: int):
+    cut = _slices(log2)
+
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        marked, bucket = _marked(replies, log2, cut), table.column("bucket")[0].as_py() if table.num_rows else 0
+        for w, smallest, at, doc, ids, sums in Parts(table, window, gram) if replies.num_rows else ():
+            own = marked(smallest)
+            smallest, at, doc, ids, sums = (x[own] for x in (smallest, at, doc, ids, sums))
+            kept = []
+            for low in range(0, len(at), HOLD):
+                part = slice(low, low + HOLD)
+                gone = _repeated(w, at[part], ids[part], window)
+                if gone.any():
+                    g = low + np.flatnonzero(gone)
+                    rows.append((bucket % keys, bucket, True, len(g), planes(ids[g], sums[g], (at[g] - w.first[doc[g]]).astype("<u4")), None))
+                kept.append(low + np.flatnonzero(~gone))
+            if not kept:
+                continue
+            own = np.concatenate(kept)
+            smallest, at, doc, ids, sums = (x[own] for x in (smallest, at, doc, ids, sums))
+            first = _runs(doc, at, smallest)
+            n = np.diff(first, append=len(at))
+            to = ((smallest[first] >> np.uint64(32)) * np.uint64(keys) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            first, n, to = first[order], n[order], to[order]
+            text = _joined(w, at[first], n + window - 1)
+            ends = np.concatenate([[0], np.cumsum([len(x) + 1 for x in text])])
+            whole = b"\n".join(text) + b"\n"
+            ends_of = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]])
+            for a, b in zip(ends_of[:-1].tolist(), ends_of[1:].tolist()):
+                if a < b:
+                    f = first[a:b]
+                    data = planes(ids[f], sums[f], (at[f] - w.first[doc[f]]).astype("<u4"), n[a:b].astype("<u4"))
+                    rows.append((int(to[a]), bucket, False, b - a, data, zlib.compress(whole[ends[a] : ends[b]], 1)))
+        return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(_SENT)})
+
+    return run
+
+
+def _joined(w: Words, first: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Some words from each place on, joined by single spaces."""
+    data = w.buffer.tobytes()
+    return [b" ".join(data[w.start[a] : w.end[a + k - 1]].split()) for a, k in zip(first.tolist(), n.tolist())]
+
+
 FOUND = "bucket int, n int, data binary"
 
 
-def _judge(buckets: int):
-    """Partitions hold whole buckets, in order: fingerprints that a smaller document has too give places to remove, by bucket of documents."""
+def _judge(window: int):
+    """Partitions hold whole keys, in order: windows that a smaller document has too give places to remove, by bucket of documents."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, found, n_found = None, [], [], 0
-
-        def judged() -> tuple:
-            h, h2, doc, crc, place = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((doc, h2, h))
-            h, h2, doc = h[order], h2[order], doc[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
-            gone = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-            at = order[gone]
-            return doc[gone], crc[at], place[at]
+        now, held, found, n_found = None, [], {}, 0
+
+        def judged() -> int:
+            """Runs of one key, all of them: equal windows are among them."""
+            doc_id, crc, place, n = (np.concatenate(x) for x in zip(*(from_planes(d, k, _RUN) for _, k, d, _ in held)))
+            n, bucket = n.astype(np.int64), np.repeat([b for b, _, _, _ in held], [k for _, k, _, _ in held])
+            data = b"".join(zlib.decompress(x) for _, _, _, x in held)
+            buffer = np.frombuffer(data, dtype=np.uint8)
+            w = words_of(buffer, np.concatenate([[0], np.flatnonzero(buffer == 0x0A) + 1]))
+            each = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            gone = np.flatnonzero(_repeated(w, w.first[each] + step, doc_id[each], window))
+            each, step = each[gone], step[gone].astype("<u4")
+            order = np.argsort(bucket[each], kind="stable")
+            each, step = each[order], step[order]
+            to = bucket[each]
+            cut = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]) if len(to) else [0]
+            for a, b in zip(cut[:-1], cut[1:]):
+                e = each[a:b]
+                found.setdefault(int(to[a]), []).append((doc_id[e], crc[e], place[e] + step[a:b]))
+            return len(gone)
 
         def out() -> pd.DataFrame:
-            doc, crc, place = (np.concatenate(x) for x in zip(*found))
-            bucket = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            low = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            there = np.flatnonzero(np.diff(low))
-            data = [_planes(doc[o], crc[o], place[o]) for b in there for o in (order[low[b] : low[b + 1]],)]
-            return pd.DataFrame({"bucket": there.astype(np.int32), "n": np.diff(low)[there].astype(np.int32), "data": data})
+            rows = []
+            for b, own in found.items():
+                x = [np.concatenate(y) for y in zip(*own)]
+                order = np.lexsort((x[2], x[1], x[0]))
+                rows.append((b, len(order), planes(*(y[order] for y in x))))
+            return pd.DataFrame(rows, columns=["bucket", "n", "data"])
 
         for f in frames:
-            for bucket, doc, crc, n, data in zip(f["bucket"], f["doc_id"], f["crc"], f["n"], f["data"]):
-                if bucket != now:
-                    if held:
-                        found.append(judged())
-                        n_found += len(found[-1][0])
-                    now, held = bucket, []
-                    if n_found >= HOLD:
-                        yield out()
-                        found, n_found = [], 0
-                if pd.isna(doc):
-                    held.append(_from_planes(data, n, ["<u8", "<u4", "<i8", "<u4", "<u4"]))
-                else:
-                    found.append((np.full(n, int(doc)), np.full(n, int(crc), dtype=np.uint32), np.frombuffer(data, dtype="<u4")))
+            for key, bucket, settled, n, data, text in zip(f["key"].tolist(), f["bucket"].tolist(), f["settled"].tolist(), f["n"].tolist(), f["data"], f["words"]):
+                if key != now:
+                    n_found += judged() if held else 0
+                    now, held = key, []
+                if n_found >= HOLD:
+                    yield out()
+                    found, n_found = {}, 0
+                if settled:
+                    found.setdefault(bucket, []).append(tuple(from_planes(data, n, _PLACE)))
                     n_found += n
+                else:
+                    held.append((bucket, n, data, text))
         if held:
-            found.append(judged())
+            judged()
         if found:
             yield out()
 
     return run
 
 
-def _gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partitions hold whole buckets of documents, in order: one row per document and text, with the places to remove."""
-    now, held = None, []
-
-    def out() -> pd.DataFrame:
-        d, c, p = _places(*(np.concatenate(x) for x in zip(*held)))
-        return pd.DataFrame({"doc_id": d, "crc": c, "data": p})
-
-    for f in frames:
-        for bucket, n, data in zip(f["bucket"], f["n"], f["data"]):
-            if bucket != now:
-                if held:
-                    yield out()
-                now, held = bucket, []
-            held.append(_from_planes(data, n, ["<i8", "<u4", "<u4"]))
-    if held:
-        yield out()
-
-
 def _cut(window: int, with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, sums, kept_text = [], [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
-                data = (text or "").encode()
-                words = data.split()
-                n_words.append(len(words))
-                if found and len(words) >= window:
-                    crc = zlib.crc32(data)
-                    own = [np.frombuffer(x["data"], dtype="<u4") for x in found if x["crc"] == crc]
-                    delta = np.zeros(len(words) + 1, dtype=np.int64)
-                    for p in own:
-                        np.add.at(delta, p.astype(np.int64), 1)
-                        np.add.at(delta, p.astype(np.int64) + window, -1)
-                    keep = np.cumsum(delta[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(keep).tolist()]
-                n_removed.append(n_words[-1] - len(words))
-                joined = b" ".join(words)
-                sums.append(hashlib.sha256(joined).hexdigest())
-                if with_text:
-                    kept_text.append(joined.decode())
-            columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sums, pa.string())]
-            yield pa.record_batch(columns + [pa.array(kept_text, pa.string())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        gone: dict[tuple, list] = {}
+        held = [from_planes(d, n, _PLACE) for n, d in zip(found.column("n").to_pylist(), found.column("data").to_pylist())]
+        if held:
+            doc_id, crc, place = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((crc, doc_id))
+            doc_id, crc, place = doc_id[order], crc[order], place[order].astype(np.int64)
+            cut = np.concatenate([[0], np.flatnonzero((doc_id[1:] != doc_id[:-1]) | (crc[1:] != crc[:-1])) + 1, [len(place)]]).tolist()
+            gone = {(int(doc_id[a]), int(crc[a])): place[a:b] for a, b in zip(cut[:-1], cut[1:])}
+        n_words, n_removed, sums, kept_text = [], [], [], []
+        for i, text in zip(table.column("id").to_pylist(), table.column("text").to_pylist()):
+            data = (text or "").encode()
+            words = data.split()
+            n_words.append(len(words))
+            own = gone.get((i, zlib.crc32(data))) if gone and i is not None else None
+            if own is not None:
+                delta = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(delta, own, 1)
+                np.add.at(delta, own + window, -1)
+                words = [words[k] for k in np.flatnonzero(np.cumsum(delta[:-1]) == 0).tolist()]
+            n_removed.append(n_words[-1] - len(words))
+            joined = b" ".join(words)
+            sums.append(hashlib.sha256(joined).hexdigest())
+            if with_text:
+                kept_text.append(joined.decode())
+        out = {"doc_id": table.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sums, pa.string())}
+        return pa.table(out | ({"kept_text": pa.array(kept_text, pa.string())} if with_text else {}))
 
     return run
 
 
+def candidates(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, per_value: float = PER_VALUE) -> tuple[DataFrame, DataFrame, int]:
+    """The documents in their buckets, the runs and settled places that are left of them, and the partitions of both."""
+    spark = ship(documents.sparkSession)
+    size = text_bytes(documents)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 25)
+    buckets = max(2 * parts, size // BUCKET_BYTES)
+    runs = size / 6 * 2 / (window - gram + 2)
+    log2 = max(16, math.ceil(math.log2(max(1.0, runs * per_value))))
+    rows = documents.select("doc_id", F.col("doc_id").cast("long").alias("id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
+    moved = rows.repartition(parts, "bucket")
+    hits = moved.groupBy("bucket").applyInArrow(_hits(window, gram, log2), "bucket int, slice long, once binary, twice binary")
+    told = hits.repartition(parts, "slice").sortWithinPartitions("slice").mapInPandas(_merged(log2), "bucket int, slice long, cells binary")
+    return moved, moved.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_candidates(log2, window, gram, min(1 << 30, 4 * parts)), SENT), parts
+
+
 def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text), one row per row of ``documents``."""
-    spark = documents.sparkSession
+    moved, left, parts = candidates(documents, window, gram)
+    found = left.repartition(parts, "key").sortWithinPartitions("key").mapInPandas(_judge(window), FOUND)
     key = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = sketch.text_bytes(documents)
-    log2 = sketch.log2_cells(size / 6 * 2 / (window - gram + 2))
-    bits = sketch.repeated(rows.select("text"), _sketched(window, gram), log2)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 25)
-    left = rows.mapInArrow(_candidates(bits, log2, window, gram, min(1 << 15, 8 * parts)), OUT)
-    found = left.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_judge(4 * parts), FOUND)
-    removed = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInPandas(_gather, "doc_id long, crc long, data binary")
-    by_doc = removed.groupBy("doc_id").agg(F.collect_list(F.struct("crc", "data")).alias("found")).withColumnRenamed("doc_id", "__id")
-    joined = documents.select("doc_id", "text").join(by_doc, F.col("doc_id") == F.col("__id"), "left").select("doc_id", "text", "found")
     schema = f"doc_id {key}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(_cut(window, with_text), schema)
+    return moved.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_cut(window, with_text), schema)

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, ngram_join, sketch, substring_dedup
 from tessera.llm.components import components
@@ -140,19 +141,49 @@ def test_repeated_windows_settle_within_and_across_tasks(spark, monkeypatch):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
-def test_a_sketch_never_says_once_for_what_is_repeated(spark):
-    df = spark.createDataFrame([(" ".join(str(i) for i in range(a, a + 40)),) for a in range(0, 400, 20)], "text string").repartition(3)
-    values = lambda b, o: words_of(b, o).hashes()
-    bits = sketch.repeated(df, values, 12, 2).value
-    text = " ".join(str(i) for i in range(20, 400)).encode()
-    h = words_of(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)])).hashes()
-    assert sketch.marked(bits, h, 12).all()
-    other = " ".join(f"z{i}" for i in range(500)).encode()
-    g = words_of(np.frombuffer(other, dtype=np.uint8), np.array([0, len(other)])).hashes()
-    assert sketch.marked(bits, g, 12).mean() < 0.2
+@pytest.mark.parametrize("values", [400, 4_000_000])
+def test_a_sketch_never_says_less_than_there_is(spark, values):
+    """Levels of words that stand in few and in many texts; with far more values expected than there are cells' worth of, bounds rise."""
+    df = spark.createDataFrame([(" ".join([*(str(i) for i in range(a, a + 40)), *["common"] * 30]),) for a in range(0, 400, 20)], "text string").repartition(3)
+    shared, log2 = sketch.levels(df, lambda b, o: words_of(b, o).hashes(), values)
+    level = lambda t: sketch.level_of(shared.value, words_of(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t)])).hashes(), log2)
+    assert (level(" ".join(str(i) for i in range(20, 400))) >= 1).all()
+    assert level("common")[0] == 2
+    assert (level(" ".join(f"z{i}" for i in range(500))) > 0).mean() < 0.2
+    assert sketch.bounds(1e12, 28)[1] > 20_000 and sketch.bounds(10, 28) == (1, 64, 4096)
     assert (sketch.unpack_sorted(sketch.pack_sorted(np.array([0, 3, 3, 2**31]))) == [0, 3, 3, 2**31]).all()
 
 
+@pytest.mark.parametrize("docs, slice_log2", [(150, 22), (600, 9)])
+def test_windows_that_pass_the_prefilter_are_in_proportion_to_repeated_ones(spark, monkeypatch, docs, slice_log2):
+    """Also with many small slices: no part of the sketch is bounded by the input."""
+    monkeypatch.setattr(substring_dedup, "_slices", lambda log2: min(log2, slice_log2))
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 20_000)
+    rnd = random.Random(docs)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(200))) for i in range(docs)]
+    rows += [(docs + i, " ".join([*(word() for _ in range(50)), *rows[i][1].split()[20:70], *(word() for _ in range(50))])) for i in range(0, docs, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _, left, _ = substring_dedup.candidates(df)
+    sent = left.collect()
+    windows = sum(int(sketch.from_planes(bytes(r.data), r.n, substring_dedup._RUN)[3].sum()) if not r.settled else r.n for r in sent)
+    repeated = 2 * 38 * (docs // 10)
+    assert repeated <= windows < 1.5 * repeated + 0.03 * 200 * docs
+    assert rows_of(substring_dedup.remove_repeats(df)) == brute_windows(rows, 13)
+
+
+def test_windows_are_compared_word_by_word(spark, monkeypatch):
+    """With a hash that takes all windows for one, equal ones are still told from others."""
+    monkeypatch.setattr(substring_dedup, "ngram_hashes", lambda w, n, salt=0: np.zeros(max(0, len(w) - n + 1), dtype=np.uint64))
+    rnd = random.Random(1)
+    text = " ".join(rnd.choice("abc") for _ in range(400)).encode()
+    w = words_of(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]))
+    at = np.arange(388)
+    number, own = substring_dedup.same_windows(w, at, 5), text.split()
+    seen = {}
+    assert [seen.setdefault(tuple(own[i : i + 5]), number[i]) == number[i] for i in at] == [True] * 388 and len(seen) == len(set(number.tolist()))
+
+
 def brute_jaccard(rows, n, percent):
     sets = []
     for r in rows:
@@ -202,19 +233,43 @@ def test_near_duplicates_near_the_threshold(spark, monkeypatch, percent, block,
 
 
 def test_keys_always_meet():
-    """Sets that link share a key, at every boundary."""
+    """Sets that link share a key, at every boundary and with any levels: of light shingles, or else by heavy ones alone."""
     rnd = np.random.default_rng(0)
+    met = [0, 0]
     for t in (ngram_join.Threshold(85), ngram_join.Threshold(60)):
-        for _ in range(400):
+        for _ in range(1500):
             n = int(rnd.integers(2, 90))
             x = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
             y = np.concatenate([x[: int(n * rnd.uniform(0.6, 1))], rnd.integers(0, 1 << 63, int(rnd.integers(0, 8)), dtype=np.uint64)])
             x, y = np.unique(x), np.unique(y)
-            both = len(np.intersect1d(x, y))
-            if len(y) and 100 * both >= t.percent * (len(x) + len(y) - both) and both < max(len(x), len(y)):
-                seen = lambda s: np.isin(s, x) & np.isin(s, y) | (s % np.uint64(3) == 0)
+            both = np.intersect1d(x, y)
+            if len(y) and t.links(len(both), len(x) + len(y)) and len(both) < max(len(x), len(y)):
+                light = np.uint64(rnd.choice([1, 2, 5, 50, 1000]))
+                level = lambda s: np.where(np.isin(s, both) | (s % np.uint64(3) == 0), 1 + (s % light > 0) + (s % light > 20), 0)
                 for small in (0, 10, 40, 500):
-                    assert len(np.intersect1d(ngram_join.keys_of(x, seen(x), t, small), ngram_join.keys_of(y, seen(y), t, small)))
+                    (a, p), (b, q) = ngram_join.keys_of(x, level(x), t, small), ngram_join.keys_of(y, level(y), t, small)
+                    heavy = both[level(both) >= ngram_join.HEAVY]
+                    alone = t.links(len(heavy), len(x) + len(y))
+                    assert len(np.intersect1d(a, b)) or alone and len(np.intersect1d(p, q))
+                    met[int(not len(np.intersect1d(a, b)))] += 1
+    assert min(met) > 50
+
+
+def test_boilerplate_makes_no_long_lists(spark, monkeypatch):
+    """A passage that all documents share, with tails of their own: rows of the join stay in proportion to the documents, and links are right."""
+    monkeypatch.setattr(sketch, "LIGHT", 8)
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    plate = [word() for _ in range(120)]
+    shapes = [(120, rnd.randrange(0, 30)) for _ in range(150)] + [(rnd.randrange(60, 120), rnd.randrange(0, 12)) for _ in range(60)]
+    rows = [(i, " ".join([*plate[:k], *(word() for _ in range(n))])) for i, (k, n) in enumerate(shapes)]
+    rows += [(300 + i, " ".join([*plate[:40], *(word() for _ in range(100))])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    join = ngram_join.NgramJoin(df)
+    assert rows_of(join.documents()) == brute_jaccard(rows, 4, 85)
+    longest = join.sets.select("node", F.explode("keys").alias("key")).distinct().groupBy("key").count().agg(F.max("count")).first()[0]
+    assert longest <= len({(k, k + n) for k, n in shapes}) < 120  # classes, not documents
+    assert join.rows.where("doc_id >= 300 AND sig IS NOT NULL").count() == 0  # too little in common with any other
 
 
 def test_boundary_is_the_cheapest():
