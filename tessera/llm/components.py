@@ -12,8 +12,9 @@ from .shared import SharedTable
 
 
 def _with_min(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v): adds m, the smallest of u and its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """pairs (u, v): adds m, the smallest of u and its v. The minima are written, so that the join reads two plain tables and
+    adaptive execution can split a node that very many edges have."""
+    least = SharedTable(pairs.groupBy("u").agg(F.min("v").alias("m")), "least").read()
     return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
@@ -38,8 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (u, v of one type with an order): (node, component) for every node with an edge; component is the smallest node reachable."""
     now = SharedTable(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while not _is_star(now.read()):
-        after = SharedTable(_small(_large(now.read())), "edges")
-        now.drop()
-        now = after
+        for step in (_large, _small):
+            after = SharedTable(step(now.read()), "edges")
+            now.drop()
+            now = after
     stars = now.read()
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

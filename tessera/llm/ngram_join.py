@@ -14,7 +14,7 @@ link just by those, whatever else they hold: sets whose heavy part alone is larg
 the classes publish their heavy shingles. Boilerplate thus makes no lists of documents, but of different heavy parts.
 
 In a list, sets are compared by parity bitmaps, whose Hamming distance never exceeds the symmetric difference, so no pair
-that links is passed over; a list yields a spanning forest of the pairs that may link, at most one edge a set. A list
+that links is passed over; a list yields a spanning forest of the pairs that may link, at most one edge a set. A list of heavy parts
 above a bounded length isn't compared: its sets are taken together as they are, one edge a set.
 What these connect is a *group* of candidates. A group's sets then move once and are verified
 where they meet, pair by pair, but only while a pair isn't yet known to be connected, so that copies
@@ -52,6 +52,7 @@ BLOCK, BLOCK_BYTES = 512, 16 << 20  # sets, and bytes of sets, of one block of a
 HUBS = 16
 SHORT_BITS, LONG_BITS, SHORT_SIZE = 512, 2048, 1024  # bitmaps in lists: for sets up to a size, and for larger ones
 MIN_BITS, MAX_BITS = 512, 1 << 16
+LEVELS = (1, 64, 4096)  # hits above which a shingle isn't one document's alone, is heavy, is the heaviest
 HEAVY = 2  # level from which a shingle is heavy
 
 
@@ -107,7 +108,13 @@ def shingle_sets(buffer: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nd
 
 
 def _values(n: int):
-    return lambda buffer, offsets: shingle_sets(buffer, offsets, n)[0]
+    """All shingles of a bucket's documents."""
+
+    def values(table: pa.Table) -> np.ndarray:
+        parts = (shingle_sets(buffer, offsets, n)[0] for batch in table.combine_chunks().to_batches() for _, buffer, offsets in pieces(batch))
+        return np.concatenate([np.zeros(0, dtype=np.uint64), *parts])
+
+    return values
 
 
 def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -149,40 +156,40 @@ def _signature(s: np.ndarray, n: int, kind: int) -> bytes:
 
 
 #: Rows of documents (node null) and of sets (node not null: the signature of a core or a heavy part).
-PROFILE = "doc_id long, n long, sig binary, core long, heavy_sig binary, heavy long, node binary, held long, keys array<long>, shingles binary, bitmap binary"
-_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+PROFILE = "doc_id long, n long, sig binary, core long, heavy_sig binary, heavy long, node binary, by_heavy boolean, keys array<long>, shingles binary, head binary"
+_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.binary())
 _NAMES = [c.split()[0] for c in PROFILE.split(", ")]
 
 
-def _profiles(bits, log2: int, n: int, t: Threshold, small: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        published: set[bytes] = set()
-        for batch in batches:
+def _profiles(log2: int, n: int, t: Threshold, small: int):
+    cut = sketch.slice_log2(log2)
+
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        told, published, rows = sketch.Told(replies, 1, log2, cut), set(), []
+        for batch in table.combine_chunks().to_batches():
             for part, buffer, offsets in pieces(batch):
                 values, first = shingle_sets(buffer, offsets, n)
-                rows: list[tuple] = []
-                for doc_id, a, b in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
-                    s = np.unique(values[a:b])
+                levels = told.level_of(values)
+                for doc_id, a, b in zip(part.column("id").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
+                    s, at = np.unique(values[a:b], return_index=True)
+                    level = levels[a:b][at]
                     size, sig, core, heavy_sig, heavy = len(s), None, None, None, None
-                    if size and doc_id is not None:
-                        level = sketch.level_of(bits.value, s, log2)
-                        own = s[level > 0]
-                        if 100 * len(own) >= t.percent * size:
-                            keys, heavy_keys = keys_of(s, level, t, small)
-                            sig, core = _signature(own, size, 0), len(own)
-                            sets = [(sig, own, keys)]
-                            if len(heavy_keys):
-                                rare = s[level >= HEAVY]
-                                heavy_sig, heavy = _signature(rare, size, 1), len(rare)
-                                sets.append((heavy_sig, rare, heavy_keys))
-                            for node, x, k in sets:
-                                if len(k) and node not in published:
-                                    published.add(node)
-                                    bitmap = _bitmaps([x], SHORT_BITS if size <= SHORT_SIZE else LONG_BITS).tobytes()
-                                    rows.append((None, size, None, None, None, None, node, len(x), k.view(np.int64), x.tobytes(), bitmap))
+                    own = s[level > 0]
+                    if size and doc_id is not None and 100 * len(own) >= t.percent * size:
+                        keys, heavy_keys = keys_of(s, level, t, small)
+                        sig, core = _signature(own, size, 0), len(own)
+                        sets = [(sig, own, keys)]
+                        if len(heavy_keys):
+                            rare = s[level >= HEAVY]
+                            heavy_sig, heavy = _signature(rare, size, 1), len(rare)
+                            sets.append((heavy_sig, rare, heavy_keys))
+                        for node, x, k in sets:
+                            if len(k) and node not in published:
+                                published.add(node)
+                                head = node + np.array([size, len(x)], dtype="<i8").tobytes() + _bitmaps([x], SHORT_BITS if size <= SHORT_SIZE else LONG_BITS).tobytes()
+                                rows.append((None, size, None, None, None, None, node, node == heavy_sig, k.view(np.int64), x.tobytes(), head))
                     rows.append((doc_id, size, sig, core, heavy_sig, heavy, None, None, None, None, None))
-                for k in range(0, len(rows), 2000):
-                    yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows[k : k + 2000]), _TYPES)], _NAMES)
+        return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(_NAMES, _TYPES))})
 
     return run
 
@@ -227,17 +234,18 @@ def _runs(frames: Iterator[pd.DataFrame], by: list[str], columns: list[str]) ->
 
 
 def _maybe(t: Threshold):
-    """Partitions hold whole lists, in order of their keys."""
+    """Partitions hold whole lists, in order of their keys. A head: node, declared size and shingles held, bitmap."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: set[tuple[bytes, bytes]] = set()
         out: list[tuple[bytes, bytes]] = []
-        for held in _runs(frames, ["key"], ["n", "node", "held", "bitmap"]):
+        for held in _runs(frames, ["key"], ["head"]):
             if len(held) > 1:
-                held.sort()
-                n, size = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 2))
-                for i, j in forest(n, size, _fold([r[3] for r in held], bool(n[0] <= SHORT_SIZE)), t):
-                    pair = (held[i][1], held[j][1])
+                node, size = [h[:16] for (h,) in held], np.frombuffer(b"".join(h[16:32] for (h,) in held), dtype="<i8").reshape(-1, 2)
+                order = sorted(range(len(held)), key=lambda i: (size[i, 0], node[i]))
+                n, maps = size[order, 0], _fold([held[i][0][32:] for i in order], bool(size[order[0], 0] <= SHORT_SIZE))
+                for i, j in forest(n, size[order, 1], maps, t):
+                    pair = (node[order[i]], node[order[j]])
                     if pair not in done:
                         if len(done) > 500_000:
                             done.clear()
@@ -300,15 +308,15 @@ class NgramJoin:
 
     def __init__(self, documents: DataFrame, n: int = 4, threshold: Threshold = Threshold(), block: int = BLOCK, list_block: int = LIST_BLOCK):
         self.spark, self.t, self.block, self.list_block = ship(documents.sparkSession), threshold, block, list_block
-        rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        rows = documents.select("doc_id", "text")
         bytes_ = F.coalesce(F.octet_length("text"), F.lit(0))
-        sizes = rows.groupBy(F.least(F.floor(bytes_ / 6), F.lit(1024)).cast("long").alias("n")).agg(F.count("*").alias("c"), F.sum(bytes_).alias("b")).collect()
-        self.total = sum(r.b for r in sizes)
-        self.parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.total >> 25)
+        sizes = rows.groupBy(F.least(F.floor(bytes_ / 6), F.lit(1024)).cast("long").alias("n")).agg(F.count("*").alias("c")).collect()
+        moved, self.parts, total = sketch.bucketed(rows)
         self.small = boundary({max(1, r.n): r.c for r in sizes}, threshold) if sizes and threshold.percent > 50 else 0  # else two shared shingles aren't sure
-        bits, log2 = sketch.levels(rows.select("text"), _values(n), self.total / 6)
-        self.profiles = SharedTable(rows.mapInArrow(_profiles(bits, log2, n, threshold, self.small), PROFILE), "profiles").read()
-        bits.destroy()
+        log2 = sketch.log2_cells(total / 6)
+        told = sketch.levels(moved, self.parts, _values(n), 1, log2, LEVELS)
+        made = moved.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_profiles(log2, n, threshold, self.small), PROFILE)
+        self.profiles = SharedTable(made, "profiles").read()
         self.rows = self.profiles.where("node IS NULL")
         self.sets = self.profiles.where("node IS NOT NULL")
         known = self.rows.where("sig IS NOT NULL")
@@ -334,12 +342,13 @@ class NgramJoin:
 
     def _groups(self) -> DataFrame:
         """node, grp: sets that pairs which may link connect."""
-        each = SharedTable(self.sets.select("node", "n", "held", F.explode("keys").alias("key")).distinct(), "lists").read()
-        count = SharedTable(each.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least")).where("c > 1"), "lengths").read()
-        maps = self.sets.groupBy("node").agg(F.first("bitmap").alias("bitmap"))
-        dealt = each.join(count.where(F.col("c") <= self.list_block).select("key"), "key").join(maps, "node").repartition(self.parts, "key").sortWithinPartitions("key")
+        heads = SharedTable(self.sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("by_heavy", "keys", "head")]), "heads").read()
+        light = heads.where("NOT by_heavy").select(F.explode("keys").alias("key"), "head")  # lists of bounded length
+        heavy = heads.where("by_heavy").select("node", F.explode("keys").alias("key"), "head")
+        count = SharedTable(heavy.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("least")).where(F.col("c") > self.list_block), "lengths").read()
+        dealt = light.unionByName(heavy.join(count, "key", "left_anti").select("key", "head")).repartition(self.parts, "key").sortWithinPartitions("key")
         pairs = dealt.mapInPandas(_maybe(self.t), "u binary, v binary")
-        long = each.join(count.where(F.col("c") > self.list_block).select("key", "least"), "key").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+        long = heavy.join(count, "key").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
         return SharedTable(components(pairs.unionByName(long)).select("node", F.col("component").alias("grp")), "groups").read()
 
     def _compare(self, rows: DataFrame, name: str) -> DataFrame:

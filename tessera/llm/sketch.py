@@ -1,11 +1,9 @@
-"""Count-min sketches of values in texts, by slices of their cells.
+"""Count-min sketches of values in texts that are never in one place.
 
-Tasks emit the cells they hit in sorted, compressed slices; a slice is merged by one task at a time. A cell's count is never
-below that of any of its values.
-
-``levels`` keeps two bits a cell (once at most, light, heavy, heaviest), so that its result has a fixed upper size whatever the
-input, ``2**MAX_LOG2 / 4`` bytes, and can be broadcast; the bounds between levels rise with the mean number of hits a cell, so
-that they still tell rare values from common ones when there are more values than cells.
+Texts move once, into *buckets* of documents of bounded size, where every later step finds them. Buckets emit the cells that their
+values hit, a row for each slice of cells; slices, as many as the input needs, are merged on their own and tell each
+bucket the *levels* of its cells there: 0 for one hit at most (which isn't told), then one more for each bound that the hits pass. A cell's
+count, and so its level, is never below that of any of its values; a value has the least level of its cells.
 """
 
 from __future__ import annotations
@@ -17,26 +15,28 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .text import mix, pieces
+from .text import mix
+
+BUCKET_BYTES = 8 << 20  # text of a bucket of documents
+
 
-MIN_LOG2, MAX_LOG2 = 16, 28
-SLICE_LOG2 = 21
-FLUSH = 1 << 22
-LIGHT, HEAVIER = 64, 64  # hits up to which a cell is light at least, and how many times that a heavy one may have
+def bucketed(documents: DataFrame) -> tuple[DataFrame, int, int]:
+    """doc_id, id (a long), text and bucket, dealt by bucket; how many partitions; bytes of text."""
+    size = int(documents.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0)
+    parts = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 25)
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(2 * parts, size // BUCKET_BYTES))).cast("int")
+    return documents.select("doc_id", F.col("doc_id").cast("long").alias("id"), "text", number.alias("bucket")).repartition(parts, "bucket"), parts, size
 
 
-def log2_cells(values: float, per_value: float = 4) -> int:
-    """Cells for about so many values, within the bound."""
-    return int(min(MAX_LOG2, max(MIN_LOG2, math.ceil(math.log2(max(1.0, values * per_value))))))
+def log2_cells(values: float, per_value: float = 8) -> int:
+    return max(16, math.ceil(math.log2(max(1.0, values * per_value))))
 
 
-def bounds(values: float, log2: int) -> tuple[int, int, int]:
-    """Hits above which a cell is of level 1, 2, 3."""
-    light = int(max(LIGHT, 8 * values / 2**log2))
-    return 1, light, light * HEAVIER
+def slice_log2(log2: int) -> int:
+    """Cells of a slice: those of some MB of text, and no more slices than a bucket has much to say to."""
+    return min(log2, max(22, min(27, log2 - 12)))
 
 
 def cells(values: np.ndarray, row: int, log2: int) -> np.ndarray:
@@ -74,84 +74,88 @@ def counted(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c[new], np.diff(new, append=len(c))
 
 
-def _partial(values_of: Callable, log2: int):
-    cut = min(SLICE_LOG2, log2)
-
-    def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        c, hits = counted(cells(np.concatenate(held), 0, log2))
-        part = np.arange((1 << (log2 - cut)) + 1) << cut
-        low = np.searchsorted(c, part)
-        rows = []
-        for s in np.flatnonzero(np.diff(low)).tolist():
-            own, n = c[low[s] : low[s + 1]] - part[s], hits[low[s] : low[s + 1]]
-            more = np.flatnonzero(n > 1)
-            rows.append((s, pack_sorted(own), len(more), planes(own[more].astype("<u4"), n[more].astype("<u4"))))
-        for k in range(0, len(rows), 64):
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 64]), (pa.int32(), pa.binary(), pa.int32(), pa.binary()))], ["slice", "cells", "n", "more"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for part, buffer, offsets in pieces(batch):
-                v = values_of(buffer, offsets)
-                held.append(v)
-                n += len(v)
-                if n >= FLUSH:
-                    yield from emit(held)
-                    held, n = [], 0
-        if n:
-            yield from emit(held)
+HITS = "bucket int, slice long, cells binary, n int, more binary"
+TOLD = "bucket int, slice long, cells binary, levels binary"
+
+
+def _hits(values_of: Callable, rows: int, log2: int, cut: int):
+    def run(table: pa.Table) -> pa.Table:
+        v, out = values_of(table), []
+        bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
+        for r in range(rows):
+            c, n = counted(cells(v, r, log2))
+            there = np.unique(c >> cut)
+            for s, a, b in zip(there.tolist(), np.searchsorted(c, there << cut).tolist(), np.searchsorted(c, (there + 1) << cut).tolist()):
+                own, hits = c[a:b] - (s << cut), n[a:b]
+                more = np.flatnonzero(hits > 1)
+                out.append((bucket, r << 48 | s, pack_sorted(own), len(more), planes(own[more].astype("<u4"), hits[more].astype("<u4"))))
+        names, kinds = [c.split()[0] for c in HITS.split(", ")], (pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        return pa.table({name: pa.array([x[i] for x in out], kind) for i, (name, kind) in enumerate(zip(names, kinds))})
 
     return run
 
 
-def _merge(log2: int, edges: tuple[int, int, int]):
-    cut = min(SLICE_LOG2, log2)
+def _merged(cut: int, bounds: tuple[int, ...]):
+    """Partitions hold whole slices, in order."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, count = None, np.zeros(1 << cut, dtype=np.int64)
-
-        def done() -> pd.DataFrame:
-            level = np.searchsorted(np.array(edges), count).astype(np.uint8)
-            return pd.DataFrame({"slice": [now], "bits": [zlib.compress(b"".join(np.packbits(level >> k & 1, bitorder="little").tobytes() for k in (0, 1)), 1)]})
+        now, held, count = None, [], np.zeros(1 << cut, dtype=np.int32)
+        edges = np.array(bounds)
+
+        def told() -> pd.DataFrame:
+            out = []
+            for bucket, packed in held:
+                own = unpack_sorted(packed)
+                level = np.searchsorted(edges, count[own]).astype(np.uint8)
+                some = level > 0
+                if some.any():
+                    out.append((bucket, now, pack_sorted(own[some]), planes(level[some])))
+            for _, packed in held:
+                count[unpack_sorted(packed)] = 0
+            return pd.DataFrame(out, columns=["bucket", "slice", "cells", "levels"])
 
         for f in frames:
-            for s, own, n, more in zip(f["slice"].tolist(), f["cells"], f["n"].tolist(), f["more"]):
+            for bucket, s, packed, n, more in zip(f["bucket"].tolist(), f["slice"].tolist(), f["cells"], f["n"].tolist(), f["more"]):
                 if s != now:
-                    if now is not None:
-                        yield done()
-                    now = s
-                    count[:] = 0
-                count[unpack_sorted(own)] += 1
+                    if held:
+                        yield told()
+                    now, held = s, []
+                held.append((bucket, packed))
+                count[unpack_sorted(packed)] += 1
                 if n:
                     at, hits = from_planes(more, n, ["<u4", "<u4"])
-                    count[at] += hits.astype(np.int64) - 1
-        if now is not None:
-            yield done()
+                    count[at] = np.minimum(count[at] + (hits.astype(np.int64) - 1), 1 << 30)
+        if held:
+            yield told()
 
     return run
 
 
-def levels(texts: DataFrame, values_of: Callable, values: float) -> tuple[Broadcast, int]:
-    """Two bits a cell [2, bytes], for ``values_of(buffer, offsets)`` over all rows of ``texts`` (one column, text), of about so many values; and the logarithm of the number of cells."""
-    spark, log2 = texts.sparkSession, log2_cells(values)
-    partial = texts.mapInArrow(_partial(values_of, log2), "slice int, cells binary, n int, more binary")
-    n = max(1, min(1 << max(0, log2 - SLICE_LOG2), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    merged = partial.repartition(n, "slice").sortWithinPartitions("slice").mapInPandas(_merge(log2, bounds(values, log2)), "slice int, bits binary")
-    cut = min(SLICE_LOG2, log2)
-    bits = np.zeros((2, (1 << log2) >> 3), dtype=np.uint8)
-    for r in merged.toLocalIterator():
-        at = r.slice << cut >> 3
-        bits[:, at : at + (1 << cut >> 3)] = np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8).reshape(2, -1)
-    return spark.sparkContext.broadcast(bits), log2
-
-
-def level_of(bits: np.ndarray, values: np.ndarray, log2: int) -> np.ndarray:
-    """0: one hit at most; 1: few; 2: many; 3: most."""
-    c = cells(values, 0, log2)
-    at, bit = c >> 3, (c & 7).astype(np.uint8)
-    return (bits[0][at] >> bit & 1) + 2 * (bits[1][at] >> bit & 1)
-
-
-def text_bytes(documents: DataFrame) -> int:
-    return int(documents.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0)
+def levels(moved: DataFrame, parts: int, values_of: Callable, rows: int, log2: int, bounds: tuple[int, ...]) -> DataFrame:
+    """TOLD: what each bucket of ``moved`` is told of the cells of ``values_of(table)``, in ``rows`` rows of 2**log2 cells."""
+    cut = slice_log2(log2)
+    hits = moved.groupBy("bucket").applyInArrow(_hits(values_of, rows, log2, cut), HITS)
+    return hits.repartition(parts, "slice").sortWithinPartitions("slice").mapInPandas(_merged(cut, bounds), TOLD)
+
+
+class Told:
+    """The levels that a bucket was told."""
+
+    def __init__(self, table: pa.Table, rows: int, log2: int, cut: int):
+        self.log2 = log2
+        of = [([np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint8)]) for _ in range(rows)]
+        for s, packed, level in sorted(zip(*(table.column(c).to_pylist() for c in ("slice", "cells", "levels")))):
+            own = unpack_sorted(packed)
+            of[s >> 48][0].append(own + ((s & (1 << 48) - 1) << cut))
+            of[s >> 48][1].append(from_planes(level, len(own), ["u1"])[0])
+        self.rows = [(np.concatenate(c), np.concatenate(level)) for c, level in of]
+
+    def level_of(self, values: np.ndarray) -> np.ndarray:
+        out = np.full(len(values), 255, dtype=np.uint8)
+        for r, (own, level) in enumerate(self.rows):
+            if not len(own):
+                return np.zeros(len(values), dtype=np.uint8)
+            c = cells(values, r, self.log2)
+            k = np.minimum(np.searchsorted(own, c), len(own) - 1)
+            out = np.minimum(out, np.where(own[k] == c, level[k], 0))
+        return out

@@ -19,24 +19,22 @@ empty table gives an empty result. Columns besides doc_id and text aren't read.
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+from . import sketch
 from .shared import ship
-from .sketch import cells, from_planes, pack_sorted, planes, text_bytes, unpack_sorted
+from .sketch import from_planes, planes
 from .text import Words, ngram_hashes, pieces, text_buffers, within, words_of
 
 WINDOW = 13
 GRAM = 6
 ROWS = 2  # of the sketch
-PER_VALUE = 8  # cells a row for each run that is expected
-BUCKET_BYTES = 8 << 20  # text of a bucket of documents
 HOLD = 1 << 19  # windows that are grouped at once in a bucket
 COMPARED = 1 << 16  # windows whose words are compared at once
 
@@ -87,87 +85,13 @@ class Parts:
                 base += part.num_rows
 
 
-def _slices(log2: int) -> int:
-    """Logarithm of a slice's cells: a slice has those of some MB of text, and there are no more slices than a bucket has much to say to."""
-    return min(log2, max(22, min(27, log2 - 12)))
-
-
-def _hits(window: int, gram: int, log2: int):
-    """bucket, slice, the cells hit, and those hit twice or more."""
-    cut = _slices(log2)
-
-    def run(table: pa.Table) -> pa.Table:
-        held = [np.zeros(0, dtype=np.uint64)]
-        for _, smallest, at, doc, _, _ in Parts(table, window, gram):
-            held.append(smallest[_runs(doc, at, smallest)])
-        v, out = np.concatenate(held), []
-        for r in range(ROWS):
-            c = np.sort(cells(v, r, log2))
-            new = np.ones(len(c), dtype=bool)
-            new[1:] = c[1:] != c[:-1]
-            again, c = np.unique(c[~new]), c[new]
-            there = np.unique(c >> cut)
-            bounds = [np.searchsorted(x, (there + k) << cut).tolist() for x in (c, again) for k in (0, 1)]
-            for s, a, b, a2, b2 in zip(there.tolist(), *bounds):
-                out.append((r << 48 | s, pack_sorted(c[a:b] - (s << cut)), pack_sorted(again[a2:b2] - (s << cut))))
-        s, once, twice = zip(*out) if out else ((), (), ())
-        bucket = table.column("bucket")[0].as_py() if table.num_rows else 0
-        return pa.table({"bucket": pa.array([bucket] * len(s), pa.int32()), "slice": pa.array(s, pa.int64()), "once": pa.array(once, pa.binary()), "twice": pa.array(twice, pa.binary())})
+def _values(window: int, gram: int):
+    """The smallest hashes of a bucket's runs."""
 
-    return run
-
-
-def _merged(log2: int):
-    """Partitions hold whole slices, in order: what each bucket is told of its cells there."""
-    cut = _slices(log2)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, count = None, [], np.zeros(1 << cut, dtype=np.uint8)
-
-        def told() -> pd.DataFrame:
-            rows = []
-            for bucket, own in held:
-                own = unpack_sorted(own)
-                own = own[count[own] > 1]
-                if len(own):
-                    rows.append((bucket, now, pack_sorted(own)))
-            for _, own in held:
-                count[unpack_sorted(own)] = 0
-            return pd.DataFrame(rows, columns=["bucket", "slice", "cells"])
-
-        for f in frames:
-            for bucket, s, once, twice in zip(f["bucket"].tolist(), f["slice"].tolist(), f["once"], f["twice"]):
-                if s != now:
-                    if held:
-                        yield told()
-                    now, held = s, []
-                held.append((bucket, once))
-                own = unpack_sorted(once)
-                count[own] = np.minimum(count[own] + 1, 2)
-                count[unpack_sorted(twice)] = 2
-        if held:
-            yield told()
-
-    return run
-
-
-def _marked(replies: pa.Table, log2: int, cut: int):
-    """Tells of smallest hashes whether all their cells were hit twice."""
-    of = [[np.zeros(0, dtype=np.int64)] for _ in range(ROWS)]
-    rows = sorted(zip(replies.column("slice").to_pylist(), replies.column("cells").to_pylist()))
-    for s, own in rows:
-        of[s >> 48].append(unpack_sorted(own) + ((s & (1 << 48) - 1) << cut))
-    sure = [np.concatenate(x) for x in of]
-
-    def marked(v: np.ndarray) -> np.ndarray:
-        out = np.ones(len(v), dtype=bool)
-        for r, own in enumerate(sure):
-            c = cells(v, r, log2)
-            k = np.searchsorted(own, c)
-            out &= (k < len(own)) & (own[np.minimum(k, len(own) - 1)] == c) if len(own) else False
-        return out
+    def values(table: pa.Table) -> np.ndarray:
+        return np.concatenate([np.zeros(0, dtype=np.uint64), *(smallest[_runs(doc, at, smallest)] for _, smallest, at, doc, _, _ in Parts(table, window, gram))])
 
-    return marked
+    return values
 
 
 def same_windows(words: Words, at: np.ndarray, window: int) -> np.ndarray:
@@ -200,13 +124,13 @@ _PLACE = ["<i8", "<u4", "<u4"]
 
 
 def _candidates(log2: int, window: int, gram: int, keys: int):
-    cut = _slices(log2)
+    cut = sketch.slice_log2(log2)
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        marked, bucket = _marked(replies, log2, cut), table.column("bucket")[0].as_py() if table.num_rows else 0
+        told, bucket = sketch.Told(replies, ROWS, log2, cut), table.column("bucket")[0].as_py() if table.num_rows else 0
         for w, smallest, at, doc, ids, sums in Parts(table, window, gram) if replies.num_rows else ():
-            own = marked(smallest)
+            own = told.level_of(smallest) > 0
             smallest, at, doc, ids, sums = (x[own] for x in (smallest, at, doc, ids, sums))
             kept = []
             for low in range(0, len(at), HOLD):
@@ -335,19 +259,14 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def candidates(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, per_value: float = PER_VALUE) -> tuple[DataFrame, DataFrame, int]:
+def candidates(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame, int]:
     """The documents in their buckets, the runs and settled places that are left of them, and the partitions of both."""
-    spark = ship(documents.sparkSession)
-    size = text_bytes(documents)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 25)
-    buckets = max(2 * parts, size // BUCKET_BYTES)
-    runs = size / 6 * 2 / (window - gram + 2)
-    log2 = max(16, math.ceil(math.log2(max(1.0, runs * per_value))))
-    rows = documents.select("doc_id", F.col("doc_id").cast("long").alias("id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"))
-    moved = rows.repartition(parts, "bucket")
-    hits = moved.groupBy("bucket").applyInArrow(_hits(window, gram, log2), "bucket int, slice long, once binary, twice binary")
-    told = hits.repartition(parts, "slice").sortWithinPartitions("slice").mapInPandas(_merged(log2), "bucket int, slice long, cells binary")
-    return moved, moved.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_candidates(log2, window, gram, min(1 << 30, 4 * parts)), SENT), parts
+    ship(documents.sparkSession)
+    moved, parts, size = sketch.bucketed(documents)
+    log2 = sketch.log2_cells(size / 6 * 2 / (window - gram + 2))
+    told = sketch.levels(moved, parts, _values(window, gram), ROWS, log2, (1,))
+    run = _candidates(log2, window, gram, min(1 << 30, 4 * parts))
+    return moved, moved.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, SENT), parts
 
 
 def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:

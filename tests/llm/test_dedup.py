@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,24 +142,32 @@ def test_repeated_windows_settle_within_and_across_tasks(spark, monkeypatch):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
-@pytest.mark.parametrize("values", [400, 4_000_000])
-def test_a_sketch_never_says_less_than_there_is(spark, values):
-    """Levels of words that stand in few and in many texts; with far more values expected than there are cells' worth of, bounds rise."""
-    df = spark.createDataFrame([(" ".join([*(str(i) for i in range(a, a + 40)), *["common"] * 30]),) for a in range(0, 400, 20)], "text string").repartition(3)
-    shared, log2 = sketch.levels(df, lambda b, o: words_of(b, o).hashes(), values)
-    level = lambda t: sketch.level_of(shared.value, words_of(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t)])).hashes(), log2)
-    assert (level(" ".join(str(i) for i in range(20, 400))) >= 1).all()
-    assert level("common")[0] == 2
-    assert (level(" ".join(f"z{i}" for i in range(500))) > 0).mean() < 0.2
-    assert sketch.bounds(1e12, 28)[1] > 20_000 and sketch.bounds(10, 28) == (1, 64, 4096)
+@pytest.mark.parametrize("rows, log2", [(1, 16), (2, 12), (1, 5)])
+def test_a_sketch_never_says_less_than_there_is(spark, monkeypatch, rows, log2):
+    """Levels of words that stand in few and in many texts, also with fewer cells than words and over many slices."""
+    monkeypatch.setattr(sketch, "slice_log2", lambda log2: min(4, log2))
+    monkeypatch.setattr(sketch, "BUCKET_BYTES", 300)
+    texts = [" ".join([*(str(i) for i in range(a, a + 40)), *["common"] * 30]) for a in range(0, 400, 20)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    moved, parts, size = sketch.bucketed(df)
+    assert size == sum(len(t or "") for t in texts)
+    hash_of = lambda t: words_of(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())])).hashes()
+    values = lambda table: np.concatenate([hash_of(t or "") for t in table.column("text").to_pylist()])
+    told = sketch.levels(moved, parts, values, rows, log2, (1, 64)).toArrow()
+    of = {r.doc_id: r.bucket for r in moved.collect()}
+    for i, t in enumerate(texts):
+        own = sketch.Told(told.filter(pa.compute.equal(told["bucket"], of[i])), rows, log2, min(4, log2))
+        level = own.level_of(hash_of(t or ""))
+        want = [2 if w == "common" else int(20 <= int(w) < 400) for w in split(t)]
+        assert (level >= want).all() and (log2 < 12 or (level == want).mean() > 0.9 if t else True)
     assert (sketch.unpack_sorted(sketch.pack_sorted(np.array([0, 3, 3, 2**31]))) == [0, 3, 3, 2**31]).all()
 
 
 @pytest.mark.parametrize("docs, slice_log2", [(150, 22), (600, 9)])
 def test_windows_that_pass_the_prefilter_are_in_proportion_to_repeated_ones(spark, monkeypatch, docs, slice_log2):
     """Also with many small slices: no part of the sketch is bounded by the input."""
-    monkeypatch.setattr(substring_dedup, "_slices", lambda log2: min(log2, slice_log2))
-    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(sketch, "slice_log2", lambda log2: min(log2, slice_log2))
+    monkeypatch.setattr(sketch, "BUCKET_BYTES", 20_000)
     rnd = random.Random(docs)
     word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
     rows = [(i, " ".join(word() for _ in range(200))) for i in range(docs)]
@@ -257,7 +266,7 @@ def test_keys_always_meet():
 
 def test_boilerplate_makes_no_long_lists(spark, monkeypatch):
     """A passage that all documents share, with tails of their own: rows of the join stay in proportion to the documents, and links are right."""
-    monkeypatch.setattr(sketch, "LIGHT", 8)
+    monkeypatch.setattr(ngram_join, "LEVELS", (1, 8, 100))
     rnd = random.Random(3)
     word = lambda: f"w{rnd.randrange(10**9)}"
     plate = [word() for _ in range(120)]
