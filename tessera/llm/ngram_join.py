@@ -32,6 +32,7 @@ empty table gives an empty result. Columns besides doc_id and text aren't read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -155,6 +156,16 @@ def _signature(s: np.ndarray, n: int, kind: int) -> bytes:
     return one.tobytes() + two.tobytes()
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """A sorted set, by the byte planes of its differences: the higher ones are mostly zero."""
+    return sketch.planes(np.diff(s, prepend=s.dtype.type(0)).astype("<u8"))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 #: Rows of documents (node null) and of sets (node not null: the signature of a core or a heavy part).
 PROFILE = "doc_id long, n long, sig binary, core long, heavy_sig binary, heavy long, node binary, by_heavy boolean, keys array<long>, shingles binary, head binary"
 _TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.binary())
@@ -187,7 +198,7 @@ def _profiles(log2: int, n: int, t: Threshold, small: int):
                             if len(k) and node not in published:
                                 published.add(node)
                                 head = node + np.array([size, len(x)], dtype="<i8").tobytes() + _bitmaps([x], SHORT_BITS if size <= SHORT_SIZE else LONG_BITS).tobytes()
-                                rows.append((None, size, None, None, None, None, node, node == heavy_sig, k.view(np.int64), x.tobytes(), head))
+                                rows.append((None, size, None, None, None, None, node, node == heavy_sig, k.view(np.int64), _packed(x), head))
                     rows.append((doc_id, size, sig, core, heavy_sig, heavy, None, None, None, None, None))
         return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(zip(_NAMES, _TYPES))})
 
@@ -296,7 +307,7 @@ def _compared(t: Threshold):
         for held in _runs(frames, ["grp", "block"], ["node", "n", "known", "own", "shingles"]):
             if len(held) > 1:
                 node, n, known, own, data = zip(*held)
-                found = links_within([np.frombuffer(x, dtype=np.uint64) for x in data], np.array(n, dtype=np.int64), np.array(known, dtype=object), t, np.array(own, dtype=bool))
+                found = links_within([_unpacked(x) for x in data], np.array(n, dtype=np.int64), np.array(known, dtype=object), t, np.array(own, dtype=bool))
                 if found:
                     yield pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["u", "v"])
 
