@@ -7,11 +7,14 @@ shards by one multivariate-hypergeometric draw, and so on down to single shards,
 add up exactly at every node. Shards then draw disjoint runs of each source's permuted blocks, and
 rows are ordered in a shard by a hash (``shuffle_key``).
 
-Only totals by source and by block reach the driver: at most ``MAX_BLOCKS`` plus one block a source.
+Only totals by source and by block (and by part of a cut block) reach the driver: at most ``MAX_BLOCKS`` plus one block a source, and as
+many parts of each source's cut block. Sources are the named kinds that a mix has weights for, so there are few.
 
 Nulls: a null text has size 0, a null source is a source of its own (last in the order of weights),
-a null doc_id is hashed like any value. Repeated rows are documents of their own. An empty table
-gives an empty mix. Columns besides doc_id, text and source are carried by ``mixture``.
+a null doc_id is hashed like any value. Repeated rows are documents of their own: a mix may take some of them and leave
+others. Ties in the order of documents are broken by doc_id and size. Long texts count in full; one may be more than what is left of a target, which
+the last exchange then comes as near to as whole documents can. An empty table gives an empty mix. Columns besides doc_id, text
+and source are carried by ``mixture``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.window import Window as W
 
-from .shared import SharedTable
+from .shared import SharedTable, ship
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -32,6 +36,11 @@ SEED = 20240817
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _size():
+    """Words of the text."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def targets(sizes: list[float], weights: list[float], most: float = MAX_REPEATS, total: float | None = None) -> list[float]:
     """Shares of ``total`` (the sum of sizes) by weight; what is above ``most`` times a size is shared again among the others."""
     total = float(sum(sizes)) if total is None else float(total)
@@ -93,19 +102,21 @@ def _block(counts: list[tuple]):
 
 def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int = 16, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> tuple[Plan, DataFrame]:
     """The mix of ``documents``, and the table (doc_id, source, size) that it was made from."""
-    spark = documents.sparkSession
+    spark = ship(documents.sparkSession)
     sized = SharedTable(
-        documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes"
+        documents.select("doc_id", "source", _size().alias("size")), "mix-sizes"
     ).read()
     rows = sorted(sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect(), key=lambda r: (r.source is None, r.source or ""))
     names, sizes, counts = [r.source for r in rows], [r.s for r in rows], [r.n for r in rows]
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(rows))])
     all_rows = sum(counts)
     n_blocks = [(s, int(max(1, min(n // block_rows, MAX_BLOCKS * n // all_rows)))) for s, n in zip(names, counts)]
-    by_block = sized.withColumn("block", _block(n_blocks)).groupBy("source", "block").agg(F.sum("size").alias("s")).collect()
+    by_block = sized.withColumn("block", _block(n_blocks)).groupBy("source", "block").agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
     of: dict = {s: {} for s in names}
+    parts: dict = {}
     for r in by_block:
         of[r.source][r.block] = r.s
+        parts[r.source, r.block] = int(max(1, min(MAX_BLOCKS, r.n // block_rows)))
 
     quotas, instances, cuts = [], [], {}
     for i, s in enumerate(names):
@@ -136,28 +147,41 @@ def plan(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int
     blocks = spark.createDataFrame([(s, b, sorted(c)) for (s, b), c in plans.items()], schema)
     sources = spark.createDataFrame([(s, int(z), float(t)) for s, z, t in zip(names, sizes, want)], "source string, source_size long, target double")
 
-    cut = spark.createDataFrame([(s, b, float(r)) for s, (b, r) in cuts.items()], "source string, block int, room double")
+    cut = spark.createDataFrame([(s, b, parts[s, b]) for s, (b, _) in cuts.items()], "source string, block int, parts int")
     cut = cut.withColumnsRenamed({"source": "__source", "block": "__block"})
     in_cut = sized.join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("__source")) & (_block(n_blocks) == F.col("__block")))
-    in_cut = in_cut.select("source", "doc_id", "size", "room", F.xxhash64(F.lit(seed + 1), "doc_id", "size").alias("order"))
-    chosen = in_cut.groupBy("source").applyInPandas(_fill, T.StructType([*[f for f in sized.schema if f.name in ("source", "doc_id")], T.StructField("n_chosen", T.LongType())]))
-    return Plan(sources, blocks, SharedTable(chosen, "mix-chosen").read(), n_blocks), sized
-
-
-def fill(sizes: list[int], room: float) -> list[int]:
-    """Places of sizes that come near ``room`` together: in order, each that fits, then the one exchange or addition that comes nearest."""
+    order = F.xxhash64(F.lit(seed + 1), "doc_id", "size")
+    in_cut = in_cut.groupBy("source", "doc_id", "size", "parts").agg(F.count("*").alias("n"), F.first(order).alias("order"))  # equal rows are one with a count
+    in_cut = SharedTable(in_cut.withColumn("part", F.pmod("order", "parts").cast("int")), "mix-cut").read()
+    # parts of a cut block are taken whole while they fit; then rows of the next part, as many as have a bounded share of the block
+    upto: dict = {}
+    for r in sorted(in_cut.groupBy("source", "part").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect(), key=lambda r: r.part):
+        at, left, ended = upto.get(r.source, (-1, cuts[r.source][1], False))
+        upto[r.source] = (r.part, left - r.s, False) if not ended and r.s <= left else (at, left, True)
+    bound = spark.createDataFrame([(s, at, float(left)) for s, (at, left, _) in upto.items()], "__s string, whole int, left double")
+    cut_rows = in_cut.join(F.broadcast(bound), F.col("source").eqNullSafe(F.col("__s")))
+    key = ["source", "doc_id", "size"]
+    taken = cut_rows.where("part <= whole").select(*key, F.col("n").alias("n_chosen"))
+    next_part = cut_rows.where("part > whole").groupBy("source").agg(F.min("part").alias("__next")).withColumnRenamed("source", "__of")
+    edge = cut_rows.join(F.broadcast(next_part), F.col("source").eqNullSafe(F.col("__of")) & (F.col("part") == F.col("__next"))).select(*key, "n", "order", "left")
+    chosen = edge.groupBy("source").applyInPandas(_fill, T.StructType([*[sized.schema[c] for c in key], T.StructField("n_chosen", T.LongType())]))
+    return Plan(sources, blocks, SharedTable(taken.unionByName(chosen), "mix-chosen").read(), n_blocks), sized
+
+
+def fill(sizes: list[int], room: float, counts: list[int] | None = None) -> list[int]:
+    """How often to take each of ``sizes`` (at most as often as ``counts`` has it) to come near ``room``: in order, as many as fit, then the one exchange or addition that comes nearest."""
+    counts = [1] * len(sizes) if counts is None else counts
     taken = []
-    for i, size in enumerate(sizes):
-        if size <= room:
-            taken.append(i)
-            room -= size
-    own = set(taken)
-    rest = sorted((z, i) for i, z in enumerate(sizes) if i not in own)
+    for size, n in zip(sizes, counts):
+        k = n if size == 0 else int(min(n, max(0, room // size)))
+        taken.append(k)
+        room -= k * size
+    rest = sorted((z, i) for i, z in enumerate(sizes) if taken[i] < counts[i])
     if not rest or room <= 0:
         return taken
     bigger = np.array([z for z, _ in rest])
     best, change = room, None
-    for i in [None, *{sizes[t]: t for t in taken}.values()]:  # give one back (or none), take another
+    for i in [None, *{z: i for i, z in enumerate(sizes) if taken[i]}.values()]:  # give one back (or none), take another
         want = room + (0 if i is None else sizes[i])
         at = int(np.searchsorted(bigger, want))
         for k in (at - 1, at):
@@ -165,26 +189,23 @@ def fill(sizes: list[int], room: float) -> list[int]:
                 best, change = abs(want - rest[k][0]), (i, rest[k][1])
     if change:
         if change[0] is not None:
-            taken.remove(change[0])
-        taken.append(change[1])
+            taken[change[0]] -= 1
+        taken[change[1]] += 1
     return taken
 
 
 def _fill(pdf):
-    """The documents that a cut block gives, in hash order. A block has a bounded share of all rows."""
-    import pandas as pd
-
+    """What the edge of a cut block gives, in hash order: a bounded share of all rows, equal ones as one with a count."""
     pdf = pdf.sort_values(["order", "size"], kind="stable").reset_index(drop=True)
-    out = pdf.loc[fill(pdf["size"].tolist(), float(pdf.room.iloc[0])), ["source", "doc_id"]].copy()
-    out["n_chosen"] = 1
-    return out.groupby(["source", "doc_id"], dropna=False, as_index=False).n_chosen.sum() if len(out) else pd.DataFrame({"source": [], "doc_id": [], "n_chosen": []})
+    out = pdf[["source", "doc_id", "size"]].assign(n_chosen=fill(pdf["size"].tolist(), float(pdf["left"].iloc[0]), pdf["n"].tolist()))
+    return out[out.n_chosen > 0]
 
 
 def dealt(rows: DataFrame, p: Plan, seed: int = SEED) -> DataFrame:
-    """``rows`` (with doc_id and source) and ``copies``: array<struct<epoch, shard>>, one for each time that the mix takes the row.
+    """``rows`` (with doc_id, source and size) and ``copies``: array<struct<epoch, shard>>, one for each time that the mix takes the row.
 
     The plan is bounded, so it is broadcast and texts aren't shuffled; only rows of cut blocks
-    are joined with the documents chosen there.
+    are joined with the documents chosen there. Of rows with one doc_id, source and size, as many are taken as were chosen.
     """
     names = rows.columns
     with_block = rows.withColumn("__block", _block(p.n_blocks))
@@ -192,9 +213,11 @@ def dealt(rows: DataFrame, p: Plan, seed: int = SEED) -> DataFrame:
     joined = with_block.join(F.broadcast(b), F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__of")), "left")
     has_cut = F.coalesce(F.exists("__copies", lambda c: c["cut"]), F.lit(False))
     plain = joined.where(~has_cut).select(*names, F.coalesce(F.transform("__copies", _epoch_shard), F.array().cast("array<struct<epoch:int,shard:int>>")).alias("copies"))
-    c = p.chosen.select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("n_chosen").alias("__n"))
-    cut = joined.where(has_cut).join(c, F.col("source").eqNullSafe(F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
-    kept = F.filter("__copies", lambda x: ~x["cut"] | F.col("__n").isNotNull())
+    c = p.chosen.select(F.col("source").alias("__s"), F.col("doc_id").alias("__d"), F.col("size").alias("__z"), F.col("n_chosen").alias("__n"))
+    same = F.col("source").eqNullSafe(F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("size") == F.col("__z"))
+    at = F.row_number().over(W.partitionBy("source", "doc_id", "size").orderBy(F.lit(0)))
+    cut = joined.where(has_cut).withColumn("__at", at).join(c, same, "left")
+    kept = F.filter("__copies", lambda x: ~x["cut"] | (F.col("__at") <= F.coalesce("__n", F.lit(0))))
     return plain.unionByName(cut.select(*names, F.transform(kept, _epoch_shard).alias("copies")))
 
 
@@ -213,7 +236,7 @@ def mixture(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards:
     """
     p, _ = plan(documents, weights, shards, seed)
     kept = [c for c in documents.columns if not (with_place and c in PLACE)]
-    rows = documents.select("doc_id", "source", F.struct(*kept).alias("__row"))
+    rows = documents.select("doc_id", "source", _size().alias("size"), F.struct(*kept).alias("__row"))
     out = dealt(rows, p, seed).select("doc_id", "__row", F.inline("copies"))
     order = F.xxhash64(F.lit(seed + 2), "shard", "epoch", "doc_id")
     place = [F.col("epoch").alias(PLACE[0]), F.col("shard").alias(PLACE[1]), order.alias(PLACE[2])] if with_place else []

@@ -236,8 +236,34 @@ def test_filling_comes_near():
         sizes = [rnd.randrange(0, 50) for _ in range(rnd.randrange(1, 40))]
         room = rnd.uniform(0, sum(sizes))
         got = mixing.fill(sizes, room)
-        assert len(set(got)) == len(got)
-        assert abs(sum(sizes[i] for i in got) - room) <= (50 if len(sizes) < 12 else 5)
+        assert set(got) <= {0, 1}
+        assert abs(sum(z * k for z, k in zip(sizes, got)) - room) <= (50 if len(sizes) < 12 else 5)
+    for _ in range(200):  # sizes that stand for several rows
+        sizes = [rnd.randrange(0, 50) for _ in range(rnd.randrange(1, 40))]
+        counts = [rnd.randrange(1, 5) for _ in sizes]
+        room = rnd.uniform(0, sum(z * n for z, n in zip(sizes, counts)))
+        got = mixing.fill(sizes, room, counts)
+        assert all(0 <= k <= n for k, n in zip(got, counts)) and abs(sum(z * k for z, k in zip(sizes, got)) - room) <= 50
+
+
+@pytest.mark.parametrize("block_rows", [500, 1 << 40])
+def test_mixing_of_repeated_rows(spark, monkeypatch, block_rows):
+    """One doc_id in many rows, some equal, some not: as many are taken as come near the target."""
+    rows = [(7, " ".join("w" * 20), "a")] * 100 + [(7, " ".join("v" * (5 + i % 3)), "a") for i in range(30)] + [(i, " ".join("x" * 10), "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    totals = [sum(len(t.split()) for _, t, s in rows if s == x) for x in "ab"]
+    want = mixing.targets(totals, [0.2, 1])
+    p, sized = mixing.plan(df, (0.2, 1), block_rows=block_rows)
+    got = mixing.dealt(sized, p).select("doc_id", "source", "size", F.size("copies").alias("n")).collect()
+    assert len(got) == len(rows) and any(0 < r.n for r in got if r.doc_id == 7) and any(r.n == 0 for r in got if r.doc_id == 7)
+    for x, target in zip("ab", want):
+        assert abs(sum(r.size * r.n for r in got if r.source == x) - target) <= 5
+    mixed = [r.text.split() for r in mixing.mixture(df, (0.2, 1)).collect()]
+    assert abs(sum(len(t) for t in mixed if t[0] != "x") - want[0]) <= 5
+    rows = [(7, "w " * 25, "a")] * 100 + [(8, "w " * 25, "b")] * 100
+    hundred = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = [r.taken for r in mixing.mix_report(hundred, (3, 5)).collect() if r.doc_id == 7]
+    assert len(taken) == 100 and abs(sum(taken) - 1875) <= 25
 
 
 def test_splitting_tree_keeps_quotas():
