@@ -9,12 +9,15 @@ semantic tags, whose boilerplate is marked as it is written.
 
 A text block is the text between two block boundaries; it is kept if its node's marginal is at least one half. A null
 html is empty and yields an empty text. Ill-formed markup is read as browsers do in the main (implied end tags, unclosed
-and stray tags); unknown tags are inline. Repeated rows get equal rows; an empty table gives an empty result.
+and stray tags); unknown tags are inline. Long and deep pages, and pages with unclosed quotes, take time in proportion to their length. A
+block whose marginal is exactly one half stays. Repeated rows get equal rows; an empty table gives an empty result. Columns besides page_id,
+url and html aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import ship
+
 #: Fixed values of HTML: elements without content, elements whose content is no text of the page,
 #: elements that bound a block of text, and elements that end an open one of the same family.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +51,9 @@ ENDS = {
 }
 IN_P = BLOCK - {"button", "label", "select", "option", "textarea"}
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(?:>|\Z)""", re.S)
+_OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"""[>"']""")
+_CLOSED_BY = {"<!--": "-->", "<![CDATA[": "]]>"}
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[A-Za-z][a-z]*")
 
@@ -79,20 +86,36 @@ def _end_of(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}[\s/>]|<body[\s>]" if tag == "head" else rf"</{re.escape(tag)}[\s/>]", re.I)
 
 
+def _token(text: str, at: int) -> tuple[int, int, str | None, bool, str] | None:
+    """The next piece of markup from a place on: start, end, name (none if it isn't a tag), whether it is an end tag, and what follows the name.
+
+    A quote hides ``>`` up to the next one of its kind; if there is none, it is a character like any other. As no later
+    quote of that kind can then be met, all tokens of a page take time in proportion to it.
+    """
+    m = _OPEN.search(text, at)
+    if m is None:
+        return None
+    if m[2] is None:
+        by = _CLOSED_BY.get(m[0], ">")
+        end = text.find(by, m.end())
+        return m.start(), end + len(by) if end >= 0 else len(text), None, False, ""
+    p = m.end()
+    while (s := _STOP.search(text, p)) and s[0] != ">":
+        p = text.find(s[0], s.end()) + 1 or s.end()
+    return m.start(), s.end() if s else len(text), m[2].lower(), bool(m[1]), text[m.end() : s.start() if s else len(text)]
+
+
 def _next_block(text: str, at: int) -> int:
     """Where the next tag of a block element starts, outside of raw text: the end of an element that has no end tag."""
-    skip = at
-    for m in _TOKEN.finditer(text, at):
-        if m.start() < skip or m[2] is None:
-            continue
-        tag = m[2].lower()
+    while found := _token(text, at):
+        start, at, tag, closes, raw = found
         if tag in BLOCK:
-            return m.start()
-        if tag in RAW_TEXT and not m[1] and not m[3].endswith("/"):
-            end = _end_of(tag).search(text, m.end())
+            return start
+        if tag in RAW_TEXT and not closes and not raw.endswith("/"):
+            end = _end_of(tag).search(text, at)
             if end is None:
                 return len(text)
-            skip = end.start()
+            at = end.start()
     return len(text)
 
 
@@ -100,6 +123,7 @@ def parse(text: str) -> Page:
     """The tree of block elements and the text blocks of a page."""
     page = Page()
     stack: list[int] = []
+    places: dict[str, list[int]] = {}  # of each open element, where it stands in the stack
     run: list[str] = []
     state = [0, 0]  # inside links, characters in links of this run
 
@@ -107,6 +131,7 @@ def parse(text: str) -> Page:
         names, label = _attributes(raw) if raw and not raw.isspace() else ((), None)
         page.tag.append(tag), page.parent.append(stack[-1] if stack else -1), page.names.append(names)
         page.label.append(label), page.chars.append(0), page.linked.append(0)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(len(page.tag) - 1)
 
     def flush() -> None:
@@ -121,33 +146,31 @@ def parse(text: str) -> Page:
                 page.linked[stack[-1]] += min(state[1], len(words))
         state[1] = 0
 
+    def top(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def cut(k: int) -> None:
+        flush()
+        while len(stack) > k:
+            places[page.tag[stack.pop()]].pop()
+
     def close(tags: set[str], stop: set[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            t = page.tag[stack[k]]
-            if t in tags:
-                flush()
-                del stack[k:]
-                return close(tags, stop)
-            if t in stop:
-                return
+        while (k := top(tags)) > top(stop):
+            cut(k)
 
     at, n = 0, len(text)
     endless: set[str] = set()  # no end tag of these follows
-    for m in _TOKEN.finditer(text):
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            run.append(text[at : m.start()])
+    while found := _token(text, at):
+        if found[0] > at:
+            run.append(text[at : found[0]])
             if state[0]:
-                state[1] += m.start() - at
-        at = m.end()
-        name = m[2]
-        if name is None:
+                state[1] += found[0] - at
+        _, at, tag, closes, raw = found
+        if tag is None:
             continue
-        tag = name.lower()
-        if not m[1]:
+        if not closes:
             if tag in DROPPED:
-                if tag not in ("head",) and m[3].endswith("/"):
+                if tag not in ("head",) and raw.endswith("/"):
                     continue
                 end = None if tag in endless else _end_of(tag).search(text, at)
                 if end is None:
@@ -162,27 +185,22 @@ def parse(text: str) -> Page:
                 if tag == "hr":
                     flush()
             elif tag in BLOCK:
-                if tag in ("html", "body") and any(page.tag[k] == tag for k in stack):
+                if tag in ("html", "body") and places.get(tag):
                     continue
                 if tag in IN_P:
                     close({"p"}, {"button", "td", "th", "table", "caption"})
                 if tag in ENDS:
                     close(*ENDS[tag])
                 if tag[0] == "h" and tag[1:].isdigit() and stack and page.tag[stack[-1]][0] == "h" and page.tag[stack[-1]][1:].isdigit():
-                    flush()
-                    stack.pop()
+                    cut(len(stack) - 1)
                 flush()
-                node(tag, m[3])
+                node(tag, raw)
             elif tag == "a":
                 state[0] = 1
         elif tag == "a":
             state[0] = 0
-        elif tag in BLOCK and tag not in ("html", "body"):
-            for k in range(len(stack) - 1, -1, -1):
-                if page.tag[stack[k]] == tag:
-                    flush()
-                    del stack[k:]
-                    break
+        elif tag in BLOCK and tag not in ("html", "body") and places.get(tag):
+            cut(places[tag][-1])
     if at < n:
         run.append(text[at:])
     flush()
@@ -239,8 +257,11 @@ def _forest(parents: list[list[int]]) -> Forest:
             flat.append(-1 if p < 0 else base + p)
         depth += d
         base += len(own)
-    depth_ = np.array(depth, dtype=np.int64)
-    return Forest(np.array(flat, dtype=np.int64), [np.flatnonzero(depth_ == k) for k in range(int(depth_.max()) + 1 if len(depth_) else 0)])
+    order = np.argsort(np.array(depth, dtype=np.int64), kind="stable")
+    return Forest(np.array(flat, dtype=np.int64), np.split(order, np.cumsum(np.bincount(depth))[:-1]) if depth else [])
+
+
+NARROW = 4  # levels of fewer nodes are walked node by node: a chain of nodes costs no array operations
 
 
 def sum_product(forest: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,9 +270,20 @@ def sum_product(forest: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np
     local = np.stack([np.ones(n), np.exp(np.clip(unary, -30, 30))], axis=1)
     local /= local.sum(axis=1, keepdims=True)
     edge = np.exp(pair)
+    (e00, e01), (e10, e11) = edge.tolist()
     belief = np.log(local)
     message = np.zeros((n, 2))  # to the parent
+    parent = forest.parent.tolist()
     for level in forest.levels[:0:-1]:
+        if len(level) < NARROW:
+            for i in level.tolist():
+                x, y = belief[i].tolist()
+                x, y = (1.0, math.exp(y - x)) if x > y else (math.exp(x - y), 1.0)
+                a, b = e00 * x + e01 * y, e10 * x + e11 * y
+                up = math.log(a / (a + b)), math.log(b / (a + b))
+                message[i] = up
+                belief[parent[i]] += up
+            continue
         b = np.exp(belief[level] - belief[level].max(axis=1, keepdims=True))
         up = b @ edge.T
         message[level] = np.log(up / up.sum(axis=1, keepdims=True))
@@ -259,6 +291,19 @@ def sum_product(forest: Forest, unary: np.ndarray, pair: np.ndarray) -> tuple[np
     both = np.zeros((n, 2, 2))
     marginal = np.zeros((n, 2))
     for k, level in enumerate(forest.levels):
+        if k and len(level) < NARROW:
+            for i in level.tolist():
+                u, v = marginal[parent[i]].tolist()
+                p, q = message[i].tolist()
+                u, v = math.log(max(u, 1e-300)) - p, math.log(max(v, 1e-300)) - q  # the parent without this child
+                u, v = (1.0, math.exp(v - u)) if u > v else (math.exp(u - v), 1.0)
+                x, y = belief[i].tolist()
+                x, y = (1.0, math.exp(y - x)) if x > y else (math.exp(x - y), 1.0)
+                a, b, c, d = u * e00 * x, u * e01 * y, v * e10 * x, v * e11 * y
+                total = a + b + c + d
+                both[i] = ((a / total, b / total), (c / total, d / total))
+                marginal[i] = ((a + c) / total, (b + d) / total)
+            continue
         if k == 0:
             b = belief[level]
         else:
@@ -428,6 +473,7 @@ def trained() -> Model:
 
 def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text, n_chars."""
+    ship(pages.sparkSession)
     model = model or trained()
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 

@@ -357,6 +357,39 @@ def test_only_raw_text_without_an_end_lasts_to_the_end_of_the_page(page):
     assert [t for _, t in html_extract.parse(page).blocks] == ["one", "two"]
 
 
+@pytest.mark.parametrize("shape", ["unclosed", "odd", "nested", "chains", "ends", "paragraphs"])
+def test_long_pages_take_time_in_proportion(shape):
+    """Unclosed quotes, deep trees, stray end tags: the times that a page four times as long takes stay near four."""
+    import time
+
+    def page(n):
+        return {
+            "unclosed": "<a " * n + '"',
+            "odd": '<p>x</p><a "' * n + '"' * (1 - n % 2),
+            "nested": "<div>" * n + "deep" + "</div>" * n,
+            "chains": "<p><button>" + "<div><ul><li>x" * n,
+            "ends": "<div><section>" * n + "</article></td>" * n,
+            "paragraphs": "<table><tr><td>" * (n // 8) + "<p>y" * n,
+        }[shape]
+
+    model = html_extract.trained()
+    html_extract.extract([page(500)], model)
+    took = []
+    for n in (10_000, 40_000):
+        text = page(n)
+        began = time.process_time()
+        html_extract.extract([text], model)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.05) and took[1] < 15
+
+
+def test_quotes_that_do_not_close_are_characters():
+    blocks = lambda t: [b for _, b in html_extract.parse(t).blocks]
+    assert blocks('<p class="a>one</p><p>two') == ["one", "two"]
+    assert blocks("""<p title='x > y'>one</p><p title="it's">two</p>""") == ["one", "two"]
+    assert blocks('<p>5 < 6 "and" <b>more</b>') == ['5 < 6 "and" more']
+
+
 # -- toxicity
 
 
