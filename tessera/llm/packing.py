@@ -6,10 +6,12 @@ fills it greedily with the longest that fits, then replaces the bin's smallest d
 with two unpacked ones as long as those fill its expanded gap more tightly. A plan's bin
 *pattern* stands for as many equal bins as the counts allow, so planning takes a few thousand steps for
 any number of documents. Pieces find their bin by their rank among pieces of the same length;
-ranks are counted in buckets, so a common length isn't one task.
+ranks are counted in buckets that grow in number with a length's pieces, so a common length isn't one task.
 
-Nulls: a null text is empty (one piece, the end token); a null doc_id is kept. Repeated rows are
-packed as documents of their own. Empty tables give empty results. Other columns aren't read.
+Nulls: a null text is empty (one piece, the end token); a null doc_id is kept. Long texts are encoded whole and cut only then; a text
+of over 200,000 bytes, or with a word of over 4,000, takes the tokenizers library's path instead of the faster one, with equal ids. Ties: of
+pieces of one length, the smaller doc_id, piece and checksum comes first within its bucket. Repeated rows are
+packed as documents of their own. Empty tables give empty results. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from .shared import SharedTable
+from .shared import SharedTable, ship
 from .text import Words, pieces as text_parts, words_of
 
 END = 2
 CAPACITY = 1024
-MAX_BUCKETS = 256
+MIN_BUCKETS, BUCKET_ROWS = 16, 50_000  # pieces of one length are ranked in so many buckets at least, of so many rows
 PART_BYTES = 1 << 20  # text that is encoded at once: a worker needs some hundred bytes for each byte of it
 
 #: How a byte-level tokenizer file writes the 256 bytes: fixed values of the format.
@@ -193,7 +195,7 @@ def token_pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     tokenizer: path of the file, which the driver reads and sends to the executors (it has the size of a vocabulary).
     """
     with open(tokenizer, encoding="utf-8") as f:
-        content = documents.sparkSession.sparkContext.broadcast(f.read())
+        content = ship(documents.sparkSession).sparkContext.broadcast(f.read())
     key = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return documents.select("doc_id", "text").mapInArrow(_encode(content, capacity, end, with_ids), schema)
@@ -260,22 +262,25 @@ def _slots(plan: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray, n
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (a written table with doc_id, piece, start, length, ids_crc32) and their sequence_id and offset."""
-    n = pieces.count()
-    buckets = int(min(MAX_BUCKETS, max(16, 1 << (n // 500).bit_length())))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    counted = dealt.groupBy("length", "bucket").count().toPandas()  # at most capacity x MAX_BUCKETS rows
-    table = np.zeros((capacity + 1, buckets), dtype=np.int64)
-    table[counted["length"].to_numpy(dtype=np.int64), counted["bucket"].to_numpy(dtype=np.int64)] = counted["count"].to_numpy(dtype=np.int64)
-    base = np.cumsum(table, axis=1) - table
-    keys, bins, offsets = _slots(best_two_fit(table.sum(axis=1), capacity))
-    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    lengths = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for n, k in lengths.items():
+        counts[n] = k
+    keys, bins, offsets = _slots(best_two_fit(counts, capacity))
+    buckets = F.element_at(F.array(*[F.lit(max(MIN_BUCKETS, int(k) // BUCKET_ROWS)) for k in counts.tolist()]), F.col("length").cast("int") + 1)
+    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets))
+    before = W.partitionBy("length").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    base = dealt.groupBy("length", "__bucket").count().withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    base = base.select(F.col("length").alias("__length"), F.col("__bucket").alias("__of"), "__base")
+    own = F.row_number().over(W.partitionBy("length", "__bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    ranked = dealt.withColumn("__row", own).join(base, (F.col("length") == F.col("__length")) & (F.col("__bucket") == F.col("__of")))
+    ranked = ranked.select(*pieces.columns, (F.col("__base") + F.col("__row")).alias("rank"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            length = f["length"].to_numpy(dtype=np.int64)
-            key = (length << 44) | (base[length, f["bucket"].to_numpy()] + f["rank"].to_numpy(dtype=np.int64))
+            key = (f["length"].to_numpy(dtype=np.int64) << 44) | f["rank"].to_numpy(dtype=np.int64)
             at = np.searchsorted(keys, key, side="right") - 1
-            yield f.drop(columns=["bucket", "rank"]).assign(sequence_id=bins[at] + key - keys[at], offset=offsets[at])
+            yield f.drop(columns="rank").assign(sequence_id=bins[at] + key - keys[at], offset=offsets[at])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return ranked.mapInPandas(place, schema)

@@ -2,7 +2,7 @@
 
 Lineage is cut by writing a Parquet table under ``spark.checkpoint.dir`` and reading it back, so
 a lost executor costs the reading of some files and not the work behind them. Only where that
-setting is missing (tests, a laptop) a temporary folder takes its place.
+setting is missing and the master is local (tests, a laptop) a temporary folder takes its place; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _fallback is None:
         _fallback = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
     return _fallback

@@ -18,6 +18,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import ship
+
 ESCAPE = "▁"
 CACHE_ENTRIES = 400_000
 UNKNOWN_PENALTY = 10.0
@@ -91,7 +93,7 @@ class Counter:
 
 def count_tokens(documents: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     """doc_id and n_tokens. ``pieces`` has the size of a vocabulary and goes to the executors once."""
-    shared = documents.sparkSession.sparkContext.broadcast(pieces)
+    shared = ship(documents.sparkSession).sparkContext.broadcast(pieces)
     key = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

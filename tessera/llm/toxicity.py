@@ -8,9 +8,14 @@ emissions are alike, so a gap of n tokens is the n-th power of one 2 x 2 matrix,
 Marginals above ``SPAN`` give offsets; their sum and largest value, calibrated on the same labelled rows,
 give the score.
 
+What is fitted has bounds that are parameters: labelled rows (``MAX_TRAIN_ROWS``, drawn evenly by hash), features (``MAX_FEATURES``, the
+strongest) and windows without any of them (``BACKGROUND``, which are all alike). Scoring has none: every token of every text counts.
+
 Only texts are inputs of a score. Nulls: a null text is empty and scores like any text without
 evidence; labels that are null, or that belong to no document, aren't learnt from. Several labels for one
-document are all used. Without any labels of both kinds the score is 0 everywhere. Repeated rows get equal rows.
+document are all used. Ties in the draw of labelled rows are broken by doc_id, label and text. Without any labels of both kinds the score
+is 0 everywhere. Repeated rows get equal rows; an empty table gives an empty result. Columns besides doc_id and text aren't read, whatever
+their names; ``keep_clean`` carries them.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .shared import ship
 from .text import Words, pieces, separators, text_buffers, words_of
 
 #: Bound on the labelled rows that are fitted, drawn evenly by hash.
@@ -140,7 +146,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.calibration, -500, 500)))
 
 
-def _mine(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def _mine(docs: list[np.ndarray], toxic: np.ndarray, most: int) -> np.ndarray:
     """Features that a document's toxicity explains and chance does not, each strong by itself or the best of some document."""
     own = [np.unique(f) for f in docs]
     own = [f[f != 0] for f in own]
@@ -155,7 +161,7 @@ def _mine(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     surprise = total * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))  # log-likelihood ratio
     least = max(9.0, np.log(max(1, int((one >= 2).sum()))))
     good = (one >= 2) & (rate > 6 * base) & (surprise > least) & (p > max(0.5, 3 * share))
-    order = np.flatnonzero(good)[np.argsort(-surprise[good], kind="stable")][:MAX_FEATURES]
+    order = np.flatnonzero(good)[np.argsort(-surprise[good], kind="stable")][:most]
     holders: dict[int, list[int]] = {int(keys[k]): [] for k in order}
     wanted = np.sort(keys[order])
     for d, (f, y) in enumerate(zip(own, toxic)):
@@ -241,8 +247,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str | None], toxic: list[int], window: int = 32) -> Model:
-    """Learns from whole texts and their labels."""
+def fit(texts: list[str | None], toxic: list[int], window: int = 32, max_features: int = MAX_FEATURES, background: int = BACKGROUND) -> Model:
+    """Learns from whole texts and their labels: all windows that hold one of the ``max_features`` strongest features, and ``background`` of those without any."""
     y = np.array(toxic, dtype=bool)
     if not y.any() or y.all():
         return Model()
@@ -254,10 +260,10 @@ def fit(texts: list[str | None], toxic: list[int], window: int = 32) -> Model:
         f = features(w)
         feats += [f[:, w.first[i] : w.first[i + 1]] for i in range(high - low)]
         bounds.append(w.first)
-    keys = np.sort(_mine(feats, y))
+    keys = np.sort(_mine(feats, y, max_features))
     if not len(keys):
         return Model()
-    rows, gold, background = [], [], []
+    rows, gold, plain = [], [], []
     for f, t in zip(feats, y):
         at = np.searchsorted(keys, f)
         at = np.where(keys[np.minimum(at, len(keys) - 1)] == f, np.minimum(at, len(keys) - 1), -1)
@@ -268,9 +274,9 @@ def fit(texts: list[str | None], toxic: list[int], window: int = 32) -> Model:
             own = np.where(hit[low : low + window], int(t), 0)
             if hit[low : low + window].any():
                 rows.append(part.copy()), gold.append(own)
-            elif len(background) < BACKGROUND:
-                background.append((part.copy(), own))
-    rows, gold = rows + [b[0] for b in background], gold + [b[1] for b in background]
+            elif len(plain) < background:
+                plain.append((part.copy(), own))
+    rows, gold = rows + [b[0] for b in plain], gold + [b[1] for b in plain]
     x = np.full((len(feats[0]), len(rows), window), -1, dtype=np.int32)
     g = np.full((len(rows), window), -1, dtype=np.int64)
     for i, (r, o) in enumerate(zip(rows, gold)):
@@ -293,9 +299,11 @@ def held_out(doc_id):
 
 def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fits on at most ``max_rows`` labelled rows that aren't held out."""
+    ship(documents.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("__id"))).orderBy(F.xxhash64("__id"), "__id", "toxic").limit(max_rows)
     rows = documents.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "text").limit(max_rows)  # a doc_id may be in many rows
     learnt = rows.repartition(1).mapInPandas(_learn, "name string, data binary").collect()  # one task of bounded rows; the driver gets parameters
     if not learnt:
         return Model()
@@ -338,6 +346,7 @@ def _score(model: Model, with_spans: bool):
 
 def score(documents: DataFrame, model: Model, with_spans: bool = False) -> DataFrame:
     """doc_id and score; ``with_spans`` adds the offending tokens as code point offsets with their marginals."""
+    ship(documents.sparkSession)
     key = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, score double" + ", spans array<struct<start:int, end:int, p:double>>" * with_spans
     return documents.select("doc_id", "text").mapInArrow(_score(model, with_spans), schema)
@@ -351,6 +360,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, with_spans: bool = False)
 
 def keep_clean(documents: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
     """Documents with a score below ``limit``, with all their columns, in one pass over them."""
+    ship(documents.sparkSession)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
