@@ -49,7 +49,7 @@ from .text import mix, ngram_hashes, pieces, within, words_of
 SUBSET = 2
 SCAN_COST = 3.0  # entries read in an inverted list for each one published
 LIST_BLOCK = 256  # sets of one list that are compared by bitmaps; a longer list is a group as it is
-BLOCK, BLOCK_BYTES = 512, 16 << 20  # sets, and bytes of sets, of one block of a group
+BLOCK, BLOCK_BYTES = 256, 8 << 20  # sets, and bytes of sets, of one block of a group
 HUBS = 16
 SHORT_BITS, LONG_BITS, SHORT_SIZE = 512, 2048, 1024  # bitmaps in lists: for sets up to a size, and for larger ones
 MIN_BITS, MAX_BITS = 512, 1 << 16

@@ -81,6 +81,24 @@ def test_no_list_within_the_ratio_is_lost(spark):
     assert len(found) == 100 and all(set(r.ids) == set(np.argsort(-score[r.query_id])[:20].tolist()) for r in found)
 
 
+@pytest.mark.parametrize("spread, share", [(0.35, 0.2), (3.0, 0.8)])
+def test_pruned_search_finds_the_neighbours(spark, spread, share):
+    """The whole search against brute force: on clustered vectors it scores few of the points, and on vectors without structure it reads more rather than lose them."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(0, 60, 6000)] + spread * rng.normal(size=(6000, 24))
+    x = (x / np.sqrt((x * x).sum(axis=1))[:, None]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    index = ann.PostingIndex(df, 20, list_size=32)
+    found = index.search(F.col("vec_id") % 20 == 0).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect()
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    assert len(found) == 300
+    assert np.mean([len(set(r.ids) & set(np.argsort(-score[r.query_id])[:20].tolist())) / 20 for r in found]) >= 0.9
+    lists = index.probes.select("query", "list").distinct().join(index.postings.select("list", "node"), "list")
+    assert lists.select("query", "node").distinct().count() <= share * 300 * 6000
+
+
 # -- token counts
 
 
