@@ -75,6 +75,11 @@ def family(kind: T.DataType) -> str:
 OPERATORS = {"numeric": ("=", ">", "<="), "temporal": ("=", ">", "<="), "text": ("=", "IN")}
 
 
+def admits(kind: T.DataType, op: str) -> bool:
+    """Whether a column of this type can be cut by ``op``."""
+    return op in OPERATORS[family(kind)] and not (op == ">" and family(kind) == "temporal")  # times are cut by their own ladder
+
+
 def is_missing(column: Column, kind: T.DataType) -> Column:
     return column.isNull() | F.isnan(column) if isinstance(kind, (T.FloatType, T.DoubleType)) else column.isNull()
 

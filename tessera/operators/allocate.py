@@ -57,6 +57,16 @@ def guarded(groups: DataFrame, least_events: int, bar: float = 0.5) -> DataFrame
     return out.withColumns({"skip_at_max": skip, "allowed": (F.col("k_start") <= F.col("k_max")) & (skip >= bar)})
 
 
+def guarded_ladder(groups: DataFrame, least_events: int, bar: float = 0.5, ratio: int | None = 4, options: list[int] | None = None) -> DataFrame:
+    """The ladder with the guardrails applied: besides one container, a group is offered counts from the inflection on that are skipped with
+    probability ``bar`` at least. A group that can't reach any of these stays at one."""
+    np_ = F.col("n") * F.col("p")
+    open_ = (F.col("k") >= F.greatest(F.ceil(np_ / 2), F.lit(1))) & (F.exp(-np_ / F.col("k")) >= bar)
+    kept = ladder(groups, least_events, ratio, options).where((F.col("k") == 1) | open_)
+    j = F.row_number().over(W.partitionBy("group_id").orderBy("k")) - 1
+    return kept.withColumn("j", j.cast("long"))
+
+
 def acceptance(steps: DataFrame) -> DataFrame:
     """Adds ``bound``, the least e up to each step: in the order (bound descending, group, j) every step follows its predecessors, and that is the order in which a greedy scan takes them."""
     w = W.partitionBy("group_id").orderBy("j").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -98,6 +108,23 @@ def trace(steps: DataFrame, taken: DataFrame, rungs: DataFrame) -> DataFrame:
     return each.select("step", "group_id", (F.col("k") + F.col("dk")).alias("k"), "e", "spent", ((F.col("v0") + so_far) / F.col("n_all")).alias("skip_ratio"))
 
 
+def spend_curve(steps: DataFrame, rungs: DataFrame, budget: int) -> DataFrame:
+    """step, group_id, k, e, spent, skip_ratio, metadata_cost, affordable of all steps in the order of a scan without a limit, so that the curve goes on past the budget.
+
+    metadata_cost: the share of containers spent of those that the whole ladder could have. Steps are those of few leaves.
+    """
+    base = rungs.where("j = 0").agg(F.sum("v").alias("v0"), F.sum("n").alias("n_all"), F.sum("k").alias("k0"))
+    most = steps.agg(F.sum("dk").alias("all_dk"))
+    order = W.orderBy(F.desc("bound"), "group_id", "j")
+    upto = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = acceptance(steps).withColumns({"step": F.row_number().over(order).cast("long"), "run": F.sum("dk").over(upto), "gained": F.sum("dv").over(upto)})
+    spent = F.col("k0") + F.col("run")
+    return run.join(F.broadcast(base)).join(F.broadcast(most)).select(
+        "step", "group_id", (F.col("k") + F.col("dk")).alias("k"), "e", spent.alias("spent"), ((F.col("v0") + F.col("gained")) / F.col("n_all")).alias("skip_ratio"),
+        (spent / (F.col("k0") + F.col("all_dk"))).alias("metadata_cost"), (spent <= budget).alias("affordable"),
+    )
+
+
 def chosen(rungs: DataFrame, taken: DataFrame) -> DataFrame:
     """group_id, k, v: what each group gets."""
     last = taken.groupBy("group_id").agg((F.max("j") + 1).alias("top"))

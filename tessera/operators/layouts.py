@@ -94,6 +94,8 @@ class Tree:
     def leaves(self, path: str = "r") -> list[str]:
         if self.cut is None:
             return [path]
+        if self.cut.op == "*":
+            return []  # its children are whole: one a value
         return (self.yes or Tree()).leaves(path + "1") + (self.no or Tree()).leaves(path + "0")
 
     def replaced(self, leaf: str, cut: Cut, path: str = "r") -> Tree:

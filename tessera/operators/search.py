@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from ..contract import family
+from ..contract import admits
 from .layouts import Cut, Tree, equal_size
 
 
@@ -50,6 +50,44 @@ def threshold_gains(stats: DataFrame, n_queries: int, leaf: str = "leaf") -> Dat
     return s.where(n0 < nl).select(leaf, "feature", "value", (nl - n0).alias("n"), (side(n0, k0) + side(nl - n0, kl - k0) - side(nl, kl)).alias("gain"))
 
 
+def multiway_gains(stats: DataFrame, n_queries: int, leaf: str = "leaf") -> DataFrame:
+    """leaf, feature, n_children, n, gain of cutting a leaf into one child for each value of a feature. n: the smallest child."""
+    q = F.lit(float(n_queries))
+    children = stats.groupBy(leaf, "feature").agg(
+        F.count("*").alias("n_children"), F.min("n").alias("n"), F.sum(F.col("n") * F.exp(-F.col("k_total") / q)).alias("v"), F.sum("n").alias("nl"), F.sum("k_total").alias("kl")
+    )
+    return children.where("n_children > 1").select(leaf, "feature", "n_children", "n", (F.col("v") - F.col("nl") * F.exp(-F.col("kl") / q)).alias("gain"))
+
+
+def gini_gains(stats: DataFrame, leaf: str = "leaf") -> DataFrame:
+    """leaf, feature, value, n, gain: the weighted Gini coefficient of ``feature = value`` and its leaf's rest. Of two groups it is |w - q|, the shares of events and of usage."""
+    whole = W.partitionBy(leaf, "feature")
+    s = stats.withColumns({"n_leaf": F.sum("n").over(whole), "k_leaf": F.sum("k_total").over(whole)})
+    gain = F.when(F.col("k_leaf") > 0, F.abs(F.col("n") / F.col("n_leaf") - F.col("k_total") / F.col("k_leaf"))).otherwise(0.0)
+    return s.where("n < n_leaf").select(leaf, "feature", "value", "n", gain.alias("gain"))
+
+
+def query_gains(events: DataFrame, selections: DataFrame, features: list[str], n_queries: int, leaf: str = "leaf") -> DataFrame:
+    """leaf, feature, value, n, gain by the query-conditional Poisson skip: a side of n events contributes ``n`` times the mean over queries of ``exp(-k)``.
+
+    Queries that don't touch a value keep their leaf's term, so only pairs of a value and a query that meet are made.
+    """
+    q = F.lit(float(n_queries))
+    long = unpivoted(events, features, leaf)
+    n = long.groupBy(leaf, "feature", "value").agg(F.count("*").alias("n"))
+    of_leaf = selections.join(events.select("record_id", leaf), "record_id").groupBy(leaf, "query_id").agg(F.count("*").alias("kq"))
+    base = of_leaf.groupBy(leaf).agg((q - F.count("*") + F.sum(F.exp(-F.col("kq").cast("double")))).alias("s_leaf"))
+    met = long.join(selections, "record_id").groupBy(leaf, "feature", "value", "query_id").agg(F.count("*").alias("k")).join(of_leaf, [leaf, "query_id"])
+    k, kq = F.col("k").cast("double"), F.col("kq").cast("double")
+    sums = met.groupBy(leaf, "feature", "value").agg(F.count("*").alias("touch"), F.sum(F.exp(-k)).alias("inside"), F.sum(F.exp(k - kq) - F.exp(-kq)).alias("more"))
+    whole = W.partitionBy(leaf, "feature")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    s = n.withColumn("n_leaf", F.sum("n").over(whole)).join(sums, [leaf, "feature", "value"], "left").join(base, leaf, "left")
+    s_leaf = F.coalesce("s_leaf", q)
+    gain = (F.col("n") * (zero("inside") + q - zero("touch")) + (F.col("n_leaf") - F.col("n")) * (s_leaf + zero("more")) - F.col("n_leaf") * s_leaf) / q
+    return s.where("n < n_leaf").select(leaf, "feature", "value", "n", gain.alias("gain"))
+
+
 @dataclass
 class Bounds:
     max_leaves: int = 16
@@ -58,20 +96,27 @@ class Bounds:
     max_jobs: int = 100
     max_seconds: float = float("inf")
     failed: set[Cut] = field(default_factory=set)  # cuts that a holdout gate turned down
+    scorer: str = "rate"  # or "gini", "query": by which formula cuts are scored
+    multiway: bool = False  # whether a leaf may be cut into one child a value; such children aren't cut further
 
 
 def candidates(events: DataFrame, selections: DataFrame, tree: Tree, features: list[str], n_queries: int, bounds: Bounds, most: int) -> list[tuple[float, str, Cut]]:
     """The ``most`` best cuts of any leaf: gain, leaf, cut."""
     kinds = {f.name: f.dataType for f in events.schema}
-    tagged = events.withColumn("leaf", tree.column())
-    stats = cut_statistics(tagged, selections, features)
-    numeric = [f for f in features if family(kinds[f]) == "numeric"]
-    all_cuts = equality_gains(stats, n_queries).withColumn("op", F.lit("="))
-    if numeric:
-        all_cuts = all_cuts.unionByName(threshold_gains(stats.where(F.col("feature").isin(*numeric)), n_queries).withColumn("op", F.lit(">")))
+    tagged = events.withColumn("leaf", tree.column()).where(F.col("leaf").isin(*tree.leaves()))
+    numeric = [f for f in features if admits(kinds[f], ">")]
+    if bounds.scorer == "query":
+        all_cuts = query_gains(tagged, selections, features, n_queries).withColumn("op", F.lit("="))
+    else:
+        stats = cut_statistics(tagged, selections, features)
+        all_cuts = (gini_gains(stats) if bounds.scorer == "gini" else equality_gains(stats, n_queries)).withColumn("op", F.lit("="))
+        if numeric and bounds.scorer == "rate":
+            all_cuts = all_cuts.unionByName(threshold_gains(stats.where(F.col("feature").isin(*numeric)), n_queries).withColumn("op", F.lit(">")))
+        if bounds.multiway and bounds.scorer == "rate":
+            all_cuts = all_cuts.unionByName(multiway_gains(stats, n_queries).select("leaf", "feature", F.lit("").alias("value"), "n", "gain", F.lit("*").alias("op")))
     good = all_cuts.where((F.col("gain") > bounds.min_gain) & (F.col("n") >= bounds.min_events) & F.col("value").isNotNull())
     rows = good.orderBy(F.desc("gain"), "leaf", "feature", "op", "value").limit(most + len(bounds.failed) * len(tree.leaves())).collect()  # a failed cut may have a row in each leaf
-    cuts = [(r.gain, r.leaf, Cut(r.feature, r.op, float(r.value) if r.feature in numeric else r.value)) for r in rows]
+    cuts = [(r.gain, r.leaf, Cut(r.feature, r.op, None if r.op == "*" else float(r.value) if r.feature in numeric else r.value)) for r in rows]
     return [c for c in cuts if c[2] not in bounds.failed][:most]
 
 

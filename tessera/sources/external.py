@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import contract
 from ..corpus import Corpus, corpus
 from . import files
-from .registry import register
+from .registry import Provider
 
 
 def _minted(df: DataFrame, key: str, table: str) -> DataFrame:
@@ -39,18 +39,17 @@ def rekey(events: DataFrame, queries: DataFrame, selections: DataFrame) -> Corpu
     return corpus(e, q, joined.select("record_id", "query_id"))
 
 
-@register("external")
-def ingest(spark: SparkSession, config: dict) -> Corpus:
-    """config: source (folder with events, queries and selections as CSV or Parquet), format, and out_dir to save the corpus."""
-    source, form = config["source"], config.get("format", "csv")
-    suffix = f".{form}" if files.exists(spark, f"{source}/events.{form}") else ""
-    for name in files.TABLES:
-        if not files.exists(spark, f"{source}/{name}{suffix}"):
-            raise contract.ContractViolation(f"{name}: {source}/{name}{suffix} is missing")
-    e, q = (files.numbered(spark, f"{source}/{n}{suffix}", form) for n in ("events", "queries"))
-    log = spark.read.option("header", True).csv(f"{source}/selections{suffix}") if form == "csv" else spark.read.parquet(f"{source}/selections{suffix}")
-    c = rekey(e, q, log)
-    if out := config.get("out_dir"):
-        files.save(c, out, "external", {k: v for k, v in config.items() if k != "out_dir"})
-        return files.load(spark, out)
-    return c
+class External(Provider):
+    """Settings: source (folder with events, queries and selections as CSV or Parquet) and format."""
+
+    kind = "external"
+
+    def make(self, spark: SparkSession) -> Corpus:
+        source, form = self.settings["source"], self.settings.get("format", "csv")
+        suffix = f".{form}" if files.exists(spark, f"{source}/events.{form}") else ""
+        for name in files.TABLES:
+            if not files.exists(spark, f"{source}/{name}{suffix}"):
+                raise contract.ContractViolation(f"{name}: {source}/{name}{suffix} is missing")
+        e, q = (files.numbered(spark, f"{source}/{n}{suffix}", form) for n in ("events", "queries"))
+        log = spark.read.option("header", True).csv(f"{source}/selections{suffix}") if form == "csv" else spark.read.parquet(f"{source}/selections{suffix}")
+        return rekey(e, q, log)

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .registry import register
+from .registry import Provider
 
 SCHEMA = (
     "events array<struct<id string, attrs array<string>>>, queries array<struct<id int, label string>>, selection_log array<struct<record_id string, query_id int>>, "
@@ -35,10 +35,13 @@ def from_document(doc: DataFrame) -> Scenario:
     )
 
 
-@register("curated")
-def read(spark: SparkSession, config: dict) -> Scenario:
-    """config: path of the JSON document."""
-    return from_document(spark.read.schema(SCHEMA).json(config["path"], multiLine=True))
+class Curated(Provider):
+    """Settings: path of the JSON document."""
+
+    kind = "curated"
+
+    def make(self, spark: SparkSession) -> Scenario:
+        return from_document(spark.read.schema(SCHEMA).json(self.settings["path"], multiLine=True))
 
 
 def evaluate(s: Scenario) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..corpus import Corpus, corpus
 from ..functions.model import inclusion, normal, pick, recency, saturation, uniform
 from . import files
-from .registry import register
+from .registry import Provider
 
 
 @dataclass(frozen=True)
@@ -38,10 +38,11 @@ MEDIAN_BYTES, SIGMA, TIER_GROWTH = 23200.0, 0.9, 0.06
 RATIO_LOW, RATIO_HIGH = 3.0, 6.0
 LEAST_BYTES, LEAST_COMPRESSED = 64, 32
 
-#: The categories, their shares of events, and the factors of their sizes.
-CATEGORIES = ("brakes", "batteries", "filters", "tires", "suspension", "belts_and_hoses", "lighting", "exhaust", "cooling", "steering", "sensors", "wipers", "body", "drivetrain")
-CATEGORY_SHARES = (0.14, 0.11, 0.13, 0.10, 0.06, 0.07, 0.06, 0.04, 0.05, 0.04, 0.06, 0.06, 0.04, 0.04)
-CATEGORY_FACTORS = (1.0, 0.7, 0.5, 1.2, 1.6, 0.6, 0.8, 1.5, 1.1, 1.7, 0.9, 0.4, 2.2, 2.6)
+#: The categories, the share of events that each has, and the factor of its sizes.
+CATEGORIES = {
+    "brakes": (0.14, 1.0), "batteries": (0.11, 0.7), "filters": (0.13, 0.5), "tires": (0.10, 1.2), "suspension": (0.06, 1.6), "belts_and_hoses": (0.07, 0.6), "lighting": (0.06, 0.8),
+    "exhaust": (0.04, 1.5), "cooling": (0.05, 1.1), "steering": (0.04, 1.7), "sensors": (0.06, 0.9), "wipers": (0.06, 0.4), "body": (0.04, 2.2), "drivetrain": (0.04, 2.6),
+}
 
 
 def events(spark: SparkSession, c: Config) -> DataFrame:
@@ -53,10 +54,10 @@ def events(spark: SparkSession, c: Config) -> DataFrame:
     step = (WARRANTY_LAST - WARRANTY_FIRST) / max(1, c.warranties - 1)
     rows = rows.select(
         "record_id", pick(u("brand"), [BRAND_DECAY**i for i in range(c.brands)]).alias("b"), pick(u("tier"), [TIER_DECAY**i for i in range(c.tiers)]).alias("t"),
-        (pick(u("warranty"), [WARRANTY_FIRST + step * i for i in range(c.warranties)]) + 1).alias("w"), pick(u("category"), list(CATEGORY_SHARES)).alias("k"), day.alias("day"),
+        (pick(u("warranty"), [WARRANTY_FIRST + step * i for i in range(c.warranties)]) + 1).alias("w"), pick(u("category"), [share for share, _ in CATEGORIES.values()]).alias("k"), day.alias("day"),
         normal(u("size"), u("size2")).alias("z"), u("ratio").alias("ratio"),
     )
-    factor = F.element_at(F.array(*[F.lit(m) for m in CATEGORY_FACTORS]), F.col("k") + 1)
+    factor = F.element_at(F.array(*[F.lit(m) for _, m in CATEGORIES.values()]), F.col("k") + 1)
     big = F.greatest(F.lit(MEDIAN_BYTES) * F.exp(F.lit(SIGMA) * F.col("z")) * factor * (1 + TIER_GROWTH * F.col("t")), F.lit(float(LEAST_BYTES))).cast("long")
     small = F.greatest(big / (RATIO_LOW + (RATIO_HIGH - RATIO_LOW) * F.col("ratio")), F.lit(float(LEAST_COMPRESSED))).cast("long")
     return rows.select(
@@ -99,18 +100,22 @@ def selections(e: DataFrame, q: DataFrame, c: Config) -> DataFrame:
     return drawn.unionByName(none)
 
 
-@register("synthetic")
-def generate(spark: SparkSession, config: dict | None = None) -> Corpus:
-    """config: fields of Config, and out_dir to save the corpus (then its log is computed once)."""
-    config = dict(config or {})
-    out = config.pop("out_dir", None)
-    c = Config(**config)
-    e, q = events(spark, c), queries(spark, c)
-    log = selections(e, q, c)
-    support = log.groupBy("record_id").agg(F.count("*").cast("short").alias("_support_size_full"))
-    full = e.join(support, "record_id", "left").withColumn("_support_size_full", F.coalesce("_support_size_full", F.lit(0).cast("short")))
-    made = corpus(full if out else e, q.drop("_half2"), log, check=False, dataset_id=files.dataset_id(asdict(c)))
-    if out:
-        files.save(made, out, "synthetic", asdict(c))
-        return files.load(spark, out)
-    return made
+class Synthetic(Provider):
+    """Settings: fields of Config. With ``out_dir`` the log is computed once, and events keep the size of their support."""
+
+    kind = "synthetic"
+
+    def __init__(self, settings: dict | None = None):
+        super().__init__(settings)
+        self.config = Config(**self.settings)
+
+    def recorded(self) -> dict:
+        return asdict(self.config)
+
+    def make(self, spark: SparkSession) -> Corpus:
+        e, q = events(spark, self.config), queries(spark, self.config)
+        log = selections(e, q, self.config)
+        if self.out_dir:
+            support = log.groupBy("record_id").agg(F.count("*").cast("short").alias("_support_size_full"))
+            e = e.join(support, "record_id", "left").withColumn("_support_size_full", F.coalesce("_support_size_full", F.lit(0).cast("short")))
+        return corpus(e, q.drop("_half2"), log, check=False, dataset_id=files.dataset_id(self.recorded()))

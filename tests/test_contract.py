@@ -71,11 +71,11 @@ def test_arrival_order(spark):
 
 
 def foreign(spark, tmp_path, form="csv", **change):
-    e = [(f"evt-{i:03d}", f"fam{i % 3}", i % 5, 10 + i, 40 + 4 * i) for i in range(40)]
-    q = [(f"q-{i:03d}", f"2024-01-{1 + i:02d}", "training" if i < 6 else "validation") for i in range(12)]
-    s = [(f"evt-{(7 * i + 3 * j) % 40:03d}", f"q-{j:03d}") for j in range(12) for i in range(10)]
+    e = [(f"vase-{i:03d}", f"fam{i % 3}", i % 5, 10 + i, 40 + 4 * i) for i in range(40)]
+    q = [(f"visit-{i:03d}", f"2024-01-{1 + i:02d}", "training" if i < 6 else "validation") for i in range(12)]
+    s = [(f"vase-{(7 * i + 3 * j) % 40:03d}", f"visit-{j:03d}") for j in range(12) for i in range(10)]
     tables = {
-        "events": (["record_id", "part_family", "list_price_band", "blob_img_compressed_bytes", "blob_img_decompressed_bytes"], e),
+        "events": (["record_id", "cabinet", "shelf_row", "blob_img_compressed_bytes", "blob_img_decompressed_bytes"], e),
         "queries": (["query_id", "query_time", "set_name"], q), "selections": (["record_id", "query_id"], s),
     }
     for name, f in change.items():
@@ -88,11 +88,11 @@ def foreign(spark, tmp_path, form="csv", **change):
 
 def test_external_corpora_are_rekeyed_in_table_order(spark, tmp_path):
     src = foreign(spark, tmp_path)
-    c = registry.get("external")(spark, {"source": src, "out_dir": f"{src}/out"})
+    c = registry.provide(spark, "external", {"source": src, "out_dir": f"{src}/out"})
     rows = c.events.orderBy("record_id").collect()
-    assert [r._source_record_key for r in rows] == [f"evt-{i:03d}" for i in range(40)] and [r.record_id for r in rows] == list(range(40))
-    assert c.selections.count() == 120 and {f["name"] for f in c.feature_summary} == {"part_family", "list_price_band"}
-    again = registry.get("external")(spark, {"source": src})
+    assert [r._source_record_key for r in rows] == [f"vase-{i:03d}" for i in range(40)] and [r.record_id for r in rows] == list(range(40))
+    assert c.selections.count() == 120 and {f["name"] for f in c.feature_summary} == {"cabinet", "shelf_row"}
+    again = registry.provide(spark, "external", {"source": src})
     assert fingerprint(again) == fingerprint(c)
     assert sum(r.compressed for r in files.selected_bytes_of(spark, f"{src}/out", c).collect()) == sum(r.compressed for r in files.selected_bytes(again).collect())
 
@@ -101,24 +101,24 @@ def test_external_corpora_are_rekeyed_in_table_order(spark, tmp_path):
     "change",
     [
         {"events": lambda c, r: ([x.replace("blob_", "") for x in c], r)}, {"events": lambda c, r: (c[:-1], [x[:-1] for x in r])}, {"events": lambda c, r: (c, [*r, r[0]])},
-        {"queries": lambda c, r: (c, None)}, {"selections": lambda c, r: (c, [*r, ("evt-999", "q-000")])},
+        {"queries": lambda c, r: (c, None)}, {"selections": lambda c, r: (c, [*r, ("vase-999", "visit-000")])},
     ],
 )
 def test_external_corpora_that_break_the_contract_are_rejected(spark, tmp_path, change):
     with pytest.raises(contract.ContractViolation):
-        registry.get("external")(spark, {"source": foreign(spark, tmp_path, **change)})
+        registry.provide(spark, "external", {"source": foreign(spark, tmp_path, **change)})
 
 
 def test_registry():
-    assert registry.available() == sorted(registry.available()) and "synthetic" in registry.available()
+    assert {"curated", "external", "synthetic"} <= set(registry.Provider.kinds)
     with pytest.raises(KeyError, match="synthetic"):
-        registry.get("nothing")
+        registry.provide(None, "nothing")
 
 
 def test_synthetic_corpus(spark, tmp_path):
     cfg = {"events": 600, "days": 60, "query_days": 10, "half_life_days": 5.0, "seed": 808}
-    c = registry.get("synthetic")(spark, {**cfg, "out_dir": str(tmp_path / "a")})
-    d = registry.get("synthetic")(spark, {**cfg, "out_dir": str(tmp_path / "b")})
+    c = registry.provide(spark, "synthetic", {**cfg, "out_dir": str(tmp_path / "a")})
+    d = registry.provide(spark, "synthetic", {**cfg, "out_dir": str(tmp_path / "b")})
     assert fingerprint(c) == fingerprint(d) and c.dataset_id == d.dataset_id and len(c.dataset_id) == 16
     contract.check_monotone(c.events, "feature_transaction_date")
     per = c.queries.join(c.selections.groupBy("query_id").count(), "query_id", "left").collect()

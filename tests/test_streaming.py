@@ -2,8 +2,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from tessera.sources import scenario
-from tessera.streaming.lakehouse import Lakehouse, advanced, collect_usage, file_ranges, may_hold, observed, slots
+from tessera.sources import registry, scenario
+from tessera.streaming.lakehouse import Lakehouse, advanced, collect_usage, file_ranges, may_hold, observed, observed_scan, slots
 
 
 def rows(spark, low, high):
@@ -37,6 +37,12 @@ def test_batches_count_once_and_reads_are_pruned(spark, tmp_path):
     assert lake.compact(3) == 1 and lake.compacted().count() == 150
     files = lake.compacted().select("partition_id", F.col("_metadata.file_path").alias("f")).distinct().groupBy("partition_id").count()
     assert files.where("count > 1").count() == 0
+    # reads go through the compacted version and what came after it
+    lake.write(rows(spark, 150, 180), 2)
+    assert lake.vacuum() == [0, 1] and lake.sink().count() == 180 and lake.read(F.col("kind") == "1").count() == 60
+    files = lake.sink().inputFiles()
+    assert any("/compact/v=1/" in f for f in files) and any("/sink/batch_id=2/" in f for f in files)
+    assert lake.compact(3) == 2 and lake.sink().count() == 180 and lake.vacuum() == [2]
 
 
 def test_stream_lands_and_splits(spark, tmp_path):
@@ -49,6 +55,10 @@ def test_stream_lands_and_splits(spark, tmp_path):
     lake.run(read(), f"{tmp_path}/c2").awaitTermination()
     lake.run(read(), f"{tmp_path}/c2").awaitTermination()
     assert lake.sink().count() == 60 and lake.recent().count() == 60
+    rows(spark, 60, 75).write.mode("append").parquet(f"{tmp_path}/in")
+    lake.land(spark.readStream.schema(src.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/c1").awaitTermination()
+    plan = lake.recent()
+    assert sorted(r.record_id for r in plan.collect()) == list(range(75)) and "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_file_index_and_usage(spark, tmp_path):
@@ -59,6 +69,9 @@ def test_file_index_and_usage(spark, tmp_path):
     assert ranges.count() == 5 and may_hold(ranges, 10, 12).count() == 1 and may_hold(ranges, 0, 500).count() == 5
     o = observed(df, F.col("x") == 10).first()
     assert (o.files, o.kept, o.waste) == (1, 1, o["read"] - 1)
+    opened = df.where(F.col("x") < 80)
+    o = observed_scan(df, F.col("_metadata.file_path"), F.col("x") == 10).first()
+    assert (o.files, o["read"], o.kept, o.waste) == (5, 100, 1, 99) and opened.count() == 40
     collect_usage(df.where("x < 10"), 3, f"{tmp_path}/log")
     collect_usage(df.where("x < 10"), 3, f"{tmp_path}/log")
     assert spark.read.parquet(f"{tmp_path}/log").count() == 5
@@ -71,7 +84,7 @@ def test_scenarios(spark, tmp_path):
         "layouts": [{"key": "l", "name": "", "caption": "", "containers": [{"tag": 1, "labels": [], "events": ["a", "c"]}, {"tag": 2, "labels": [], "events": ["b", "d"]}]}],
     }
     (tmp_path / "s.json").write_text(json.dumps(doc))
-    s = scenario.read(spark, {"path": str(tmp_path / "s.json")})
+    s = registry.provide(spark, "curated", {"path": str(tmp_path / "s.json")})
     got = {r.container_id: (r.breadth, r.opened, r.needed, r.wasted, r.amplification) for r in scenario.evaluate(s).collect()}
     assert got == {1: (2, 4, 2, 2, 2.0), 2: (1, 2, 1, 1, 2.0), None: (3, 6, 3, 3, 2.0)}
     states = {r.state: r.n for r in scenario.cell_states(s).groupBy("state").agg(F.count("*").alias("n")).collect()}
