@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.window import Window as W
 
 IDENTITY = "record_id"
 HIDDEN_PREFIX = "_"
@@ -134,8 +135,6 @@ def check_arrival(events: DataFrame, source: str = "events") -> None:
 
 def check_monotone(events: DataFrame, arrival: str, source: str = "events") -> None:
     """A later record_id never arrives earlier. Checked by ranges of ids, so no task holds the table."""
-    from pyspark.sql.window import Window as W
-
     size = 100_000
     part = F.floor(F.col("record_id") / size)
     near = events.withColumn("before", F.max(arrival).over(W.partitionBy(part).orderBy("record_id").rowsBetween(W.unboundedPreceding, -1))).where(F.col("before") > F.col(arrival))
@@ -148,6 +147,26 @@ def check_monotone(events: DataFrame, arrival: str, source: str = "events") -> N
         raise ContractViolation(f"{source}: rows from {int(across[0].part) * size} on arrive before an earlier one ({arrival})")
 
 
+def arrival_faults(events: DataFrame, arrival: str) -> DataFrame:
+    """fault, n: rows without a record_id, rows that share one, rows whose id isn't below their number, and rows that arrive before one with a smaller id.
+
+    The last are found by ranges of ids: a row is late against the rows before it in its range, or against the latest arrival of all ranges before.
+    """
+    from .operators.settled import settled
+
+    size = 100_000
+    rows = events.select("record_id", F.col(arrival).alias("t"), F.floor(F.col("record_id") / size).alias("part"))
+    plain = rows.agg(F.count("*").alias("m"), F.count_if(F.col("record_id").isNull()).alias("missing"))
+    twice = rows.where("record_id IS NOT NULL").groupBy("record_id").count().where("count > 1").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("duplicate"))
+    outside = rows.join(F.broadcast(plain)).agg(F.count_if((F.col("record_id") < 0) | (F.col("record_id") >= F.col("m"))).alias("outside"))
+    ends = settled(rows.where("record_id IS NOT NULL").groupBy("part").agg(F.max("t").alias("high")))  # one row for 100,000 ids
+    before = ends.select("part", F.max("high").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("earlier"))
+    own = F.max("t").over(W.partitionBy("part").orderBy("record_id").rowsBetween(W.unboundedPreceding, -1))
+    late = rows.where("record_id IS NOT NULL").withColumn("own", own).join(before, "part").agg(F.count_if(F.greatest("own", "earlier") > F.col("t")).alias("early"))
+    one = plain.join(twice).join(outside).join(late)
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("fault"), F.col(c).cast("long").alias("n")) for c in ("missing", "duplicate", "outside", "early")])))
+
+
 def validate(events: DataFrame, queries: DataFrame, selections: DataFrame) -> Roles:
     """Raises ContractViolation, or returns the roles of the events' columns."""
     for table, df in (("events", events), ("queries", queries), ("selections", selections)):

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from .ranking import position
+from .ranking import position, prefix_sums
 
 
 def insertion(size: int) -> Column:
@@ -41,9 +41,9 @@ def byte_capped(events: DataFrame, target: int, bytes_column: str = "compressed"
     part = F.floor(F.col("record_id") / bucket)
     marked = events.select("record_id", F.col(bytes_column).cast("long").alias("b"), part.alias("part"))
     sums = marked.groupBy("part").agg(F.sum("b").alias("s"))
-    offset = sums.select("part", F.coalesce(F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    offset = prefix_sums(sums, ["part"], "s", "offset").select("part", "offset")
     before = F.coalesce(F.sum("b").over(W.partitionBy("part").orderBy("record_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return marked.withColumn("before", before).join(F.broadcast(offset), "part").select("record_id", F.floor((F.col("offset") + F.col("before")) / target).cast("long").alias("container_id"))
+    return marked.withColumn("before", before).join(offset, "part").select("record_id", F.floor((F.col("offset") + F.col("before")) / target).cast("long").alias("container_id"))
 
 
 def top_values(column: str, values: list[str], rest: str = "Rest combined") -> Column:

@@ -17,6 +17,11 @@ def stats(layout: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def size_range(layout: DataFrame, events: DataFrame) -> DataFrame:
+    """layout, container_id, least, most: compressed sizes of a container's smallest and largest event."""
+    return layout.join(events.select("record_id", "compressed"), "record_id").groupBy("layout", "container_id").agg(F.min("compressed").alias("least"), F.max("compressed").alias("most"))
+
+
 def activation(layout: DataFrame, selections: DataFrame) -> DataFrame:
     """layout, container_id, query_id, needed: which containers a query opens, and how many of their events it selects."""
     return layout.join(selections, "record_id").groupBy("layout", "container_id", "query_id").agg(F.count("*").alias("needed"))

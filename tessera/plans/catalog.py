@@ -6,7 +6,6 @@ its SQL is written against the tables, apart from common table expressions that
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +14,8 @@ from pyspark.sql.window import Window as W
 
 from .. import contract
 from ..functions import model
-from ..operators import allocate, bitmaps, fitness, kpi, layouts, replay, search
+from ..operators import allocate, bitmaps, describe, fitness, kpi, layouts, replay, search
+from ..operators.settled import shared_folder
 from .workload import Workload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,78 @@ def corpus_describe(w: Workload) -> DataFrame:
     return out.select("n_events", "n_queries", "n_selections", (F.col("n_events") - F.col("touched")).alias("n_never"), "n_cold", "compressed", "mean_compressed", "p99_compressed")
 
 
+@query("""
+SELECT (SELECT min(month) FROM Q) AS first_month, (SELECT max(month) FROM Q) AS last_month, round(100.0 * (SELECT count(*) FROM E ANTI JOIN L USING (record_id)) / (SELECT n FROM P), 6) AS percent_never,
+  round(100.0 * (SELECT count(*) FROM Q WHERE set_name = 'training') / (SELECT count(*) FROM Q), 6) AS percent_training, round(100.0 * (SELECT count(*) FROM L) / ((SELECT n FROM P) * (SELECT count(*) FROM Q)), 6) AS percent_selected
+""")
+def corpus_shares(w: Workload) -> DataFrame:
+    """The corpus in percentages, and the time that its queries span."""
+    return describe.shares(w.events, w.queries, w.selections).select("first_month", "last_month", *[r6(F.col(c)).alias(c) for c in ("percent_never", "percent_training", "percent_selected")])
+
+
+@query("SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS record_id FROM events", base=False)
+def arrival_ids(w: Workload) -> DataFrame:
+    """Dense ids in order of time; ties by the key."""
+    from ..operators.ranking import position
+
+    return position(w.table("events").select("event_id", "ts"), ["ts"], "event_id", "record_id").select("event_id", "record_id")
+
+
+@query("""
+SELECT 'missing' AS fault, count(*) FILTER (WHERE event_id IS NULL) AS n FROM events
+UNION ALL SELECT 'duplicate', CAST(coalesce(sum(c), 0) AS BIGINT) FROM (SELECT count(*) AS c FROM events WHERE event_id IS NOT NULL GROUP BY event_id HAVING count(*) > 1)
+UNION ALL SELECT 'outside', count(*) FROM events, (SELECT count(*) AS m FROM events) WHERE event_id < 0 OR event_id >= m
+UNION ALL SELECT 'early', count(*) FROM (SELECT ts, max(ts) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) WHERE before > ts
+""", base=False)
+def arrival_faults(w: Workload) -> DataFrame:
+    """How many rows break the order of arrival, by kind of fault."""
+    return contract.arrival_faults(w.table("events").select(F.col("event_id").alias("record_id"), "ts"), "ts")
+
+
+@query("""
+, KE AS (SELECT 'p' || CAST(record_id AS VARCHAR) AS key, brand_id, row_number() OVER (ORDER BY 'p' || CAST(record_id AS VARCHAR)) - 1 AS id FROM E),
+KQ AS (SELECT 'v' || CAST(query_id AS VARCHAR) AS key, row_number() OVER (ORDER BY 'v' || CAST(query_id AS VARCHAR)) - 1 AS id FROM Q)
+SELECT CAST(KE.id AS BIGINT) AS record_id, CAST(KQ.id AS BIGINT) AS query_id, KE.key AS source_key, KE.brand_id FROM L JOIN KE ON KE.key = 'p' || CAST(L.record_id AS VARCHAR) JOIN KQ ON KQ.key = 'v' || CAST(L.query_id AS VARCHAR)
+""")
+def rekeyed_log(w: Workload) -> DataFrame:
+    """The log of a foreign corpus with string keys, under the ids minted for it."""
+    from ..sources import external
+
+    at = lambda c: (F.row_number().over(W.orderBy(c)) - 1).cast("long").alias("__row")  # noqa: E731  a fixture's order of keys
+    key = F.concat(F.lit("p"), F.col("record_id").cast("string"))
+    visit = F.concat(F.lit("v"), F.col("query_id").cast("string"))
+    e = w.events.select(key.alias("record_id"), "brand_id", F.col("compressed").alias("blob_x_compressed_bytes"), F.col("decompressed").alias("blob_x_decompressed_bytes")).select("*", at("record_id"))
+    q = w.queries.select(visit.alias("query_id"), "query_time", "set_name").select("*", at("query_id"))
+    c = external.rekey(e, q, w.selections.select(key.alias("record_id"), visit.alias("query_id")))
+    return c.selections.join(c.events, "record_id").select("record_id", "query_id", F.col("_source_record_key").alias("source_key"), "brand_id")
+
+
+def _corpus(w: Workload):
+    from ..corpus import corpus
+
+    e = w.events.withColumnsRenamed({"compressed": "blob_x_compressed_bytes", "decompressed": "blob_x_decompressed_bytes"}).withColumn("record_id", F.col("record_id") - 1)
+    return corpus(e, w.queries, w.selections.withColumn("record_id", F.col("record_id") - 1), check=False)
+
+
+@query("SELECT query_id, count(*) AS n_selected, CAST(sum(compressed) AS BIGINT) AS compressed, CAST(sum(decompressed) AS BIGINT) AS decompressed FROM L JOIN E USING (record_id) GROUP BY ALL")
+def csv_corpus(w: Workload) -> DataFrame:
+    """Selected bytes of the fixture, saved as a CSV corpus and read back through its manifest."""
+    from ..sources import files
+
+    top = files.save(_corpus(w), _folder(w), "fixture", {"rows": "all"}, "csv")
+    return files.selected_bytes_of(w.spark, top, files.load(w.spark, top, check=False))
+
+
+@query("SELECT record_id, count(*) AS demand FROM L GROUP BY ALL")
+def stored_support(w: Workload) -> DataFrame:
+    """Demand from supports that were stored beside the corpus and are loaded, not built, the second time."""
+    from ..sources import files
+
+    top, log = _folder(w), w.selections
+    files.support_of(w.spark, top, log)
+    return bitmaps.size(files.support_of(w.spark, top, log))
+
+
 @query("SELECT set_name, count(DISTINCT Q.query_id) AS n_queries, count(*) AS n_selections FROM Q JOIN L USING (query_id) GROUP BY ALL")
 def query_set_counts(w: Workload) -> DataFrame:
     per = w.selections.groupBy("query_id").agg(F.count("*").alias("n"))
@@ -222,6 +294,12 @@ def size_health(w: Workload) -> DataFrame:
     return replay.health(w.containers, 10, 100).withColumn("median_events", r6(F.col("median_events")))
 
 
+@query("SELECT layout, container_id, min(compressed) AS least, max(compressed) AS most FROM lay JOIN E USING (record_id) GROUP BY ALL")
+def container_size_range(w: Workload) -> DataFrame:
+    """The smallest and the largest event of each container."""
+    return replay.size_range(w.both, w.events)
+
+
 # -- fitness
 
 
@@ -351,6 +429,16 @@ def top_values_rollup(w: Workload) -> DataFrame:
     return w.events.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).withColumn("percent", r6(F.lit(100.0) * F.col("n") / w.n_events))
 
 
+@query("""
+, TB AS (SELECT record_id, CASE WHEN brand_id IN ('Brand#11', 'Brand#12', 'Brand#13') THEN brand_id ELSE 'Rest combined' END AS bucket FROM E)
+SELECT bucket, round(100.0 * count(DISTINCT TB.record_id) / (SELECT n FROM P), 6) AS population, round(100.0 * count(query_id) / (SELECT count(*) FROM L), 6) AS selected FROM TB LEFT JOIN L USING (record_id) GROUP BY ALL
+""")
+def top_values_shares(w: Workload) -> DataFrame:
+    """Each bucket's share of the events and of what is selected."""
+    bucket = layouts.top_values("brand_id", ["Brand#11", "Brand#12", "Brand#13"])
+    return describe.bucket_shares(w.events.select("record_id", bucket.alias("bucket")), w.selections).select("bucket", r6(F.col("population")).alias("population"), r6(F.col("selected")).alias("selected"))
+
+
 @query("SELECT CASE WHEN feature_size < 10 THEN 'small' WHEN feature_size < 30 THEN 'middle' ELSE 'large' END AS range, count(*) AS n, CAST(sum(compressed) AS BIGINT) AS compressed FROM E GROUP BY ALL")
 def range_ladder(w: Workload) -> DataFrame:
     return w.events.groupBy(layouts.ladder("feature_size", [10, 30], ["small", "middle", "large"]).alias("range")).agg(F.count("*").alias("n"), F.sum("compressed").alias("compressed"))
@@ -396,6 +484,34 @@ def threshold_cuts(w: Workload) -> DataFrame:
     return search.threshold_gains(stats, w.n_training).select("value", "n", r6(F.col("gain")).alias("gain"))
 
 
+@query(_STATS + """
+SELECT feature, CAST(count(*) AS BIGINT) AS n_children, min(n) AS n, round(sum(n * exp(-k_total / CAST(q AS DOUBLE))) - sum(n) * exp(-sum(k_total) / CAST(q AS DOUBLE)), 6) AS gain
+FROM ST, K GROUP BY feature, q HAVING count(*) > 1
+""")
+def multiway_cuts(w: Workload) -> DataFrame:
+    """Each feature as a cut into one child a value."""
+    stats = search.cut_statistics(w.events.withColumn("leaf", F.lit("r")), w.training, FEATURES)
+    return search.multiway_gains(stats, w.n_training).select("feature", "n_children", "n", r6(F.col("gain")).alias("gain"))
+
+
+@query(_STATS + "SELECT feature, value, n, round(abs(n / nl - k_total / kl), 6) AS gain FROM CG WHERE n < nl")
+def cuts_by_gini(w: Workload) -> DataFrame:
+    """Cuts scored by the inequality of use that they uncover."""
+    stats = search.cut_statistics(w.events.withColumn("leaf", F.lit("r")), w.training, FEATURES)
+    return search.gini_gains(stats).select("feature", "value", "n", r6(F.col("gain")).alias("gain"))
+
+
+@query(_STATS + """
+, KQ AS (SELECT query_id, count(*) AS kq FROM T GROUP BY ALL), VQ AS (SELECT feature, value, query_id, count(*) AS k FROM V JOIN T USING (record_id) GROUP BY ALL),
+DQ AS (SELECT s.feature, s.value, s.n, KQ.query_id, kq, coalesce(k, 0) AS k FROM SN s CROSS JOIN KQ LEFT JOIN VQ ON VQ.feature = s.feature AND VQ.value = s.value AND VQ.query_id = KQ.query_id)
+SELECT feature, value, DQ.n, round(sum(DQ.n * exp(-k) + (P.n - DQ.n) * exp(-(kq - k)) - P.n * exp(-kq)) / (SELECT q FROM K), 6) AS gain FROM DQ, P WHERE DQ.n < P.n GROUP BY feature, value, DQ.n
+""")
+def cuts_by_query_skip(w: Workload) -> DataFrame:
+    """Cuts scored by the skip that each query is expected to have."""
+    out = search.query_gains(w.events.withColumn("leaf", F.lit("r")), w.training, FEATURES, w.n_training)
+    return out.select("feature", "value", "n", r6(F.col("gain")).alias("gain"))
+
+
 @query()
 def greedy_tree(w: Workload) -> DataFrame:
     """Cuts of a greedy search, in order."""
@@ -448,6 +564,15 @@ def guardrails(w: Workload) -> DataFrame:
     return g.select("group_id", "n", F.round("p", 9).alias("p"), *[r6(F.col(c)).alias(c) for c in ("np", "k_inflection")], "k_start", "k_max", *[r6(F.col(c)).alias(c) for c in ("k_bar", "skip_at_max")], "allowed")
 
 
+@query("""
+, gl AS (SELECT * FROM lad WHERE k = 1 OR k >= greatest(ceil(n * p / 2), 1) AND exp(-n * p / k) >= 0.5)
+SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY k) - 1 AS BIGINT) AS j, k, round(v, 6) AS v FROM gl
+""")
+def guarded_ladder(w: Workload) -> DataFrame:
+    """What each group is offered once the guardrails are applied."""
+    return allocate.guarded_ladder(_groups(w), _floor(w)).select("group_id", "j", "k", r6(F.col("v")).alias("v"))
+
+
 _ACCEPT = ", bo AS (SELECT *, min(e) OVER (PARTITION BY group_id ORDER BY j) AS bound FROM ed), ac AS (SELECT *, row_number() OVER (ORDER BY bound DESC, group_id, j) AS step, sum(dk) OVER (ORDER BY bound DESC, group_id, j ROWS UNBOUNDED PRECEDING) + (SELECT count(*) FROM GR) AS spent FROM bo)\n"
 
 
@@ -461,6 +586,19 @@ def greedy_order(w: Workload) -> DataFrame:
     return out.join(F.broadcast(m)).select("group_id", "j", "step", (F.col("run") + F.col("m")).alias("spent"))
 
 
+@query(_ACCEPT + """
+SELECT CAST(step AS BIGINT) AS step, group_id, CAST(k + dk AS BIGINT) AS k, CAST(spent AS BIGINT) AS spent,
+  round((SELECT sum(v) FROM lad WHERE j = 0) / (SELECT sum(n) FROM GR) + sum(dv) OVER (ORDER BY step ROWS UNBOUNDED PRECEDING) / (SELECT sum(n) FROM GR), 6) AS skip_ratio,
+  round(spent / ((SELECT count(*) FROM GR) + (SELECT sum(dk) FROM ed)), 6) AS metadata_cost, spent <= 4 * (SELECT count(*) FROM GR) AS affordable FROM ac
+""")
+def spend_curve(w: Workload) -> DataFrame:
+    """What each further container brings, past a budget of four a group too."""
+    rungs = _ladder(w)
+    n = rungs.select("group_id").distinct().count()
+    out = allocate.spend_curve(allocate.edges(rungs), rungs, 4 * n)
+    return out.select("step", "group_id", "k", "spent", r6(F.col("skip_ratio")).alias("skip_ratio"), r6(F.col("metadata_cost")).alias("metadata_cost"), "affordable")
+
+
 @query()
 def greedy_alloc(w: Workload) -> DataFrame:
     """What each group gets under a budget of four containers a group."""
@@ -512,6 +650,35 @@ def tracker_advance(w: Workload) -> DataFrame:
     return advanced(batch, w.spark.createDataFrame([], "group_key string, k long, s_1 long"), 100)
 
 
+@query("""
+WITH B AS (SELECT event_id, event_type AS group_key, event_id % 2 AS batch FROM events), N AS (SELECT group_key, batch, count(*) AS n FROM B GROUP BY ALL),
+S1 AS (SELECT group_key, CAST(1 + n // 100 AS BIGINT) AS k, CAST(n % 100 AS BIGINT) AS s_1 FROM N WHERE batch = 0)
+SELECT event_id, B.group_key, coalesce(s_1, 0) + event_id % n AS slot, coalesce(k, 1) + (coalesce(s_1, 0) + event_id % n) // 100 AS seq
+FROM B JOIN N USING (group_key, batch) LEFT JOIN S1 USING (group_key) WHERE batch = 1
+""", base=False)
+def tracker_carried(w: Workload) -> DataFrame:
+    """Slots of a second batch, after the state that the first has left."""
+    from ..streaming.lakehouse import advanced, slots
+
+    both = w.table("events").select("event_id", F.col("event_type").alias("group_key"))
+    empty = w.spark.createDataFrame([], "group_key string, k long, s_1 long")
+    state = advanced(both.where("event_id % 2 = 0"), empty, 100)
+    return slots(both.where("event_id % 2 = 1"), state, 100, F.col("event_id")).select("event_id", "group_key", "slot", "seq")
+
+
+@query("""
+, R AS (SELECT container_id, min(feature_size) AS low, max(feature_size) AS high, count(*) AS n, count(*) FILTER (WHERE feature_size BETWEEN 49 AND 50) AS kept FROM lay JOIN E USING (record_id) WHERE layout = 'brand' GROUP BY ALL)
+SELECT count(*) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS read, CAST(coalesce(sum(kept), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n - kept), 0) AS BIGINT) AS waste FROM R WHERE high >= 49 AND low <= 50
+""")
+def observed_cost(w: Workload) -> DataFrame:
+    """What a read through a minimum and maximum index opened, with the files that held nothing it wanted."""
+    from ..streaming.lakehouse import may_hold, observed_scan
+
+    rows = w.by_brand.join(w.events.select("record_id", "feature_size"), "record_id")
+    ranges = rows.groupBy("container_id").agg(F.min("feature_size").alias("low"), F.max("feature_size").alias("high"))
+    return observed_scan(rows.join(may_hold(ranges, 49, 50), "container_id", "left_semi"), F.col("container_id"), F.col("feature_size").between(49, 50))
+
+
 @query("SELECT DISTINCT container_id FROM lay JOIN E USING (record_id) WHERE layout = 'brand' AND brand_id = 'Brand#23' AND feature_size > 40")
 def index_activation(w: Workload) -> DataFrame:
     index = w.by_brand.join(w.events.select("record_id", "brand_id", "feature_size"), "record_id").select("brand_id", "feature_size", "container_id").distinct()
@@ -647,13 +814,16 @@ def synthetic_profile(w: Workload) -> DataFrame:
 
 def _folder(w: Workload) -> str:
     """A new folder that driver and executors share."""
-    root = w.spark.conf.get("spark.checkpoint.dir", None) or w.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{root.rstrip('/')}/lake-{uuid.uuid4().hex}" if root else "file://" + tempfile.mkdtemp(prefix="tessera-lake-")
+    return f"{shared_folder(w.spark)}/lake-{uuid.uuid4().hex}"
 
 
 @query()
 def stream_landing(w: Workload) -> DataFrame:
     """The events table as a stream, landed, split by type, allocated and committed; rows by container."""
+    return _streamed(w).sink().groupBy("partition_id").agg(F.count("*").alias("n"), F.min("event_type").alias("event_type"))
+
+
+def _streamed(w: Workload):
     from ..streaming.lakehouse import Lakehouse
 
     top = _folder(w)
@@ -662,7 +832,7 @@ def stream_landing(w: Workload) -> DataFrame:
     lake = Lakehouse(w.spark, top, F.col("event_type"), 500, ("event_type",))
     lake.land(w.spark.readStream.schema(source.schema).parquet(f"{top}/in"), f"{top}/cp1").awaitTermination()
     lake.run(w.spark.readStream.schema(source.schema).parquet(f"{top}/landing"), f"{top}/cp2").awaitTermination()
-    return lake.sink().groupBy("partition_id").agg(F.count("*").alias("n"), F.min("event_type").alias("event_type"))
+    return lake
 
 
 @query()
@@ -677,3 +847,39 @@ def dpp_read(w: Workload) -> DataFrame:
 
 
 SQL["dpp_read"] = BASE + "SELECT record_id, brand_id, feature_size, compressed FROM E WHERE brand_id = 'Brand#23' AND feature_size > 40"
+
+
+@query("SELECT record_id, brand_id FROM E WHERE brand_id = 'Brand#23' AND feature_size > 40")
+def compacted_read(w: Workload) -> DataFrame:
+    """A pruned read over a compacted version and a batch that came after it."""
+    from ..streaming.lakehouse import Lakehouse
+
+    lake = Lakehouse(w.spark, _folder(w), F.col("brand_id"), w.size, ("brand_id", "feature_size"))
+    for k in range(2):
+        lake.write(w.events.where(F.col("record_id") % 3 == k), k)
+    lake.compact()
+    lake.vacuum()
+    lake.write(w.events.where(F.col("record_id") % 3 == 2), 2)
+    return lake.read((F.col("brand_id") == "Brand#23") & (F.col("feature_size") > 40)).select("record_id", "brand_id")
+
+
+@query("SELECT event_id AS record_id, event_type, event_id % 2 = 0 AS committed FROM events", base=False)
+def two_tier_read(w: Workload) -> DataFrame:
+    """Rows that a batch has committed and rows that have only landed, as one table."""
+    from ..streaming.lakehouse import Lakehouse
+
+    top = _folder(w)
+    source = w.table("events").select(F.col("event_id").alias("record_id"), "event_type")
+    lake = Lakehouse(w.spark, top, F.col("event_type"), 500, ("event_type",))
+    source.where("record_id % 2 = 0").write.parquet(f"{top}/landing")
+    lake.run(w.spark.readStream.schema(source.schema).parquet(f"{top}/landing"), f"{top}/cp").awaitTermination()
+    source.where("record_id % 2 = 1").write.mode("append").parquet(f"{top}/landing")
+    sunk = lake.sink().select("record_id", F.lit(True).alias("committed"))
+    return lake.recent().join(sunk, "record_id", "left").select("record_id", "event_type", F.coalesce("committed", F.lit(False)).alias("committed"))
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY ALL", base=False)
+def stream_types(w: Workload) -> DataFrame:
+    """The events table as a stream, landed, split, allocated and committed: what each type's containers hold."""
+    rows = _streamed(w).sink()
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import contract
 from ..corpus import Corpus, corpus
+from ..operators import bitmaps
 from ..operators.ranking import file_order
 
 TABLES = ("events", "queries", "selections")
@@ -106,6 +107,14 @@ def selected_bytes_of(spark: SparkSession, path: str, c: Corpus) -> DataFrame:
     return spark.read.parquet(f"{path}/selected_bytes") if exists(spark, f"{path}/selected_bytes") else selected_bytes(c)
 
 
+def support_of(spark: SparkSession, path: str, selections: DataFrame) -> DataFrame:
+    """The packed supports that are stored beside a corpus; built from the log and stored if there are none, or none whole."""
+    full = f"{path}/support"
+    if not exists(spark, f"{full}/_SUCCESS"):
+        bitmaps.support(selections).write.mode("overwrite").parquet(full)
+    return spark.read.parquet(full)
+
+
 def numbered(spark: SparkSession, path: str, form: str = "csv") -> DataFrame:
     """A foreign table and ``__row``, its rows' number in the order of its files."""
     reader = spark.read.option("header", True).option("inferSchema", True)

@@ -47,6 +47,14 @@ def test_queries_agree_with_their_sql(spark, name):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["guarded_ladder", "spend_curve", "multiway_cuts", "cuts_by_gini", "cuts_by_query_skip", "corpus_shares", "arrival_ids", "arrival_faults", "rekeyed_log", "csv_corpus", "stored_support", "container_size_range", "top_values_shares", "tracker_carried", "observed_cost", "compacted_read", "two_tier_read", "stream_types"],
+)
+def test_further_queries_agree_with_their_sql(spark, name):
+    test_queries_agree_with_their_sql(spark, name)
+
+
 @pytest.mark.parametrize("name", ["scenario_evaluate_all", "bitmap_unpack_all"])
 def test_whole_queries_leave_no_id_out(spark, name):
     test_queries_agree_with_their_sql(spark, name)
