@@ -167,6 +167,11 @@ def test_preferences(spark):
     want = {p: brute_pair(clean[2 * p], clean[2 * p + 1]) for p in range(30) if clean[2 * p] or clean[2 * p + 1]}
     assert got == want
     assert preferences.format_pairs(preferences.neighbours_as_pairs(df.limit(0))).count() == 0
+    # repeated rows and tied turn numbers are turns of their own, in the order of role and text; texts may be long
+    long = "word " * 40_000
+    tied = [(0, 0, "user", "hi"), (0, 0, "assistant", "b"), (0, 0, "assistant", "a"), (0, 0, "user", "hi"), (1, 0, "assistant", "a"), (1, 1, "assistant", long), (1, 1, "assistant", long)]
+    got = preferences.format_pairs(preferences.neighbours_as_pairs(spark.createDataFrame(tied, "conv_id long, turn long, role string, text string").repartition(3))).collect()
+    assert [tuple(r)[1:] for r in got] == [brute_pair([("assistant", "a"), ("assistant", "b"), ("user", "hi"), ("user", "hi")], [("assistant", "a"), ("assistant", long), ("assistant", long)])]
 
 
 # -- packing
@@ -213,6 +218,41 @@ def test_plans_use_every_piece_once_and_few_bins(capacity):
         assert ideal <= bins <= len(first_fit) + 1
 
 
+def plain_best_two_fit(lengths, capacity):
+    """One bin at a time, piece by piece: the longest that fits, then two for the smallest as long as they fill more of its gap."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        own, gap = [], capacity
+        while fit := next((n for n in left if n <= gap), None):
+            own.append(fit), left.remove(fit)
+            gap -= fit
+        while gap and len(own) > 1:
+            small = min(own)
+            room = gap + small
+            kinds = sorted(set(left))
+            pairs = [(a + b, -a, a, b) for a in kinds for b in kinds if a <= room and a + b <= room and (a != b or left.count(a) > 1)]
+            if not pairs or max(pairs)[0] <= small:
+                break
+            _, _, a, b = max(pairs)
+            own.remove(small), left.remove(a), left.remove(b)
+            own += [a, b]
+            left = sorted([*left, small], reverse=True)
+            gap = room - a - b
+        bins.append(tuple(sorted(own, reverse=True)))
+    return sorted(bins)
+
+
+@pytest.mark.parametrize("capacity", [9, 24])
+def test_plans_are_those_of_plain_best_two_fit(capacity):
+    rnd = np.random.default_rng(capacity)
+    for _ in range(60):
+        counts = np.zeros(capacity + 1, dtype=np.int64)
+        counts[1:] = rnd.integers(0, rnd.integers(1, 7), capacity)
+        lengths = [n for n in range(capacity + 1) for _ in range(counts[n])]
+        bins = sorted(tuple(p) for p, times in packing.best_two_fit(counts, capacity) for _ in range(times))
+        assert bins == plain_best_two_fit(lengths, capacity)
+
+
 def test_packing(spark, messy, nothing):
     from tokenizers import Tokenizer
 
@@ -375,6 +415,28 @@ def test_only_raw_text_without_an_end_lasts_to_the_end_of_the_page(page):
     assert [t for _, t in html_extract.parse(page).blocks] == ["one", "two"]
 
 
+def test_extraction_is_that_of_all_labellings(spark):
+    """The whole query on small pages against an enumeration of every labelling of their trees."""
+    model = html_extract.trained()
+    pages = [
+        "<nav><a href=x>Home</a></nav><article><h1>Title</h1><p>" + "words and more " * 12 + "<p>short</article><footer>&copy; us</footer>",
+        "<div class=sidebar><ul><li><a href=q>one</a></ul></div><div id=content><p>" + "some text here " * 9 + "</div>",
+        "<section class=comments><p>nice post</p></section><main><p>" + "the main part " * 20 + "</main>", "<p>alone", "",
+    ]
+    want = []
+    for t in pages:
+        page = html_extract.parse(t)
+        unary = [sum(model.weight[model.index[x]] for x in f if x in model.index) for f in html_extract.page_features(page)]
+        mass = np.zeros((len(unary), 2))
+        for y in itertools.product((0, 1), repeat=len(unary)):
+            p = math.exp(sum(u * b for u, b in zip(unary, y)) + sum(model.pair[y[q], y[i]] for i, q in enumerate(page.parent) if q >= 0))
+            for i, b in enumerate(y):
+                mass[i, b] += p
+        want.append("\n\n".join(text for k, text in page.blocks if mass[k, 1] >= mass[k, 0]))
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u"))
+    assert [r.text for r in html_extract.main_text(df).orderBy("page_id").collect()] == want and sum(map(bool, want)) >= 3
+
+
 @pytest.mark.parametrize("shape", ["unclosed", "odd", "nested", "chains", "ends", "paragraphs"])
 def test_long_pages_take_time_in_proportion(shape):
     """Unclosed quotes, deep trees, stray end tags: the times that a page four times as long takes stay near four."""
@@ -473,6 +535,36 @@ def test_marginals_are_those_of_all_labellings():
             assert got[list(place).index(t)] == pytest.approx(total[t - a, 1] / total[t - a].sum())
 
 
+def test_scores_are_those_of_a_plain_chain(spark):
+    """The whole query against forward-backward over every token, one by one, with a dictionary of weights."""
+    texts, toxic = corpus_of(400, 6)
+    texts += ["", None, "grumble " * 40, "x" * 5000 + " blotch"]
+    toxic += [0, 0, 1, 1]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    weight, a = dict(zip(model.keys.tolist(), model.weights.tolist())), np.exp(model.transition)
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    for i, t in list(enumerate(texts))[-60:]:
+        words = words_of(*text_buffers(pa.array([t], pa.string())), toxicity._LETTERS)
+        kinds = toxicity.features(words)
+        local = [np.array([1.0, math.exp(np.clip(model.background + sum(weight.get(int(f), 0.0) for f in kinds[:, k]), -50, 50))]) for k in range(kinds.shape[1])]
+        known = [any(int(f) in weight for f in kinds[:, k]) for k in range(kinds.shape[1])]
+        alpha, s = [], np.array([1.0, 0.0])
+        for e in local:
+            s = (s @ a) * e
+            s = s / s.sum()
+            alpha.append(s)
+        b, p = np.ones(2), [0.0] * len(local)
+        for k in range(len(local) - 1, -1, -1):
+            p[k] = alpha[k][1] * b[1] / (alpha[k] @ b)
+            b = a @ (local[k] * b)
+            b = b / b.sum()
+        own = [x for x, y in zip(p, known) if y]
+        evidence = np.array([1.0, math.log1p(sum(x for x in own if x > 0.05)), max(own, default=0.0)])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-np.clip(evidence @ model.calibration, -500, 500))), abs=1e-6)
+
+
 def test_toxicity_of_messy_and_empty_tables(spark, messy, nothing):
     df, rows = messy
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
