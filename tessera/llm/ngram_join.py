@@ -51,6 +51,7 @@ SCAN_COST = 3.0  # entries read in an inverted list for each one published
 LIST_BLOCK = 256  # sets of one list that are compared by bitmaps; a longer list is a group as it is
 BLOCK, BLOCK_BYTES = 256, 8 << 20  # sets, and bytes of sets, of one block of a group
 HUBS = 16
+BROADCAST_NODES = 500_000  # sets in groups up to which their numbers (24 bytes each) are broadcast
 SHORT_BITS, LONG_BITS, SHORT_SIZE = 512, 2048, 1024  # bitmaps in lists: for sets up to a size, and for larger ones
 MIN_BITS, MAX_BITS = 512, 1 << 16
 LEVELS = (1, 64, 4096)  # hits above which a shingle isn't one document's alone, is heavy, is the heaviest
@@ -352,7 +353,7 @@ class NgramJoin:
         return label.join(least, "component").select("sig", "component_id")
 
     def _groups(self) -> DataFrame:
-        """node, grp: sets that pairs which may link connect."""
+        """node, grp: sets that pairs which may link connect. A group's number is a hash: two groups that shared one would be compared, and no more."""
         heads = SharedTable(self.sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("by_heavy", "keys", "head")]), "heads").read()
         light = heads.where("NOT by_heavy").select(F.explode("keys").alias("key"), "head")  # lists of bounded length
         heavy = heads.where("by_heavy").select("node", F.explode("keys").alias("key"), "head")
@@ -360,7 +361,7 @@ class NgramJoin:
         dealt = light.unionByName(heavy.join(count, "key", "left_anti").select("key", "head")).repartition(self.parts, "key").sortWithinPartitions("key")
         pairs = dealt.mapInPandas(_maybe(self.t), "u binary, v binary")
         long = heavy.join(count, "key").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-        return SharedTable(components(pairs.unionByName(long)).select("node", F.col("component").alias("grp")), "groups").read()
+        return SharedTable(components(pairs.unionByName(long)).select("node", F.xxhash64("component").alias("grp")), "groups").read()
 
     def _compare(self, rows: DataFrame, name: str) -> DataFrame:
         """rows: grp, block, node, n, known, own, shingles."""
@@ -369,7 +370,8 @@ class NgramJoin:
 
     def _links(self, groups: DataFrame) -> DataFrame:
         first = [F.first(c).alias(c) for c in ("grp", "n", "shingles")]
-        sets = SharedTable(self.sets.select("node", "n", "shingles").join(groups, "node").groupBy("node").agg(*first), "sets").read()
+        few = F.broadcast(groups) if groups.count() <= BROADCAST_NODES else groups  # else both sides are dealt by node
+        sets = SharedTable(self.sets.select("node", "n", "shingles").join(few, "node").groupBy("node").agg(*first), "sets").read()
         hashed = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node")).alias(f"h{k}") for k in range(HUBS)]
         size = sets.groupBy("grp").agg(F.count("*").alias("c"), F.sum(F.octet_length("shingles")).alias("b"), *hashed)
         blocks = F.ceil(F.greatest(F.col("c") / self.block, F.col("b") / BLOCK_BYTES)).cast("int")
