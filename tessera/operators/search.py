@@ -10,20 +10,26 @@ from pyspark.sql.window import Window as W
 
 from ..contract import admits
 from .layouts import Cut, Tree, equal_size
+from .settled import settled
 
 
 def cut_statistics(events: DataFrame, selections: DataFrame, features: list[str], leaf: str = "leaf") -> DataFrame:
     """leaf, feature, value, n, k_total, touch and, by query, what scoring needs: one unpivot, one join, for every multi-way and equality cut."""
-    long = unpivoted(events, features, leaf)
-    n = long.groupBy(leaf, "feature", "value").agg(F.count("*").alias("n"))
-    per_query = long.join(selections, "record_id").groupBy(leaf, "feature", "value", "query_id").agg(F.count("*").alias("k"))
+    n = unpivoted(events, features, leaf).groupBy(leaf, "feature", "value").agg(F.count("*").alias("n"))
+    per_query = met(events, selections, features, leaf).groupBy(leaf, "feature", "value", "query_id").agg(F.count("*").alias("k"))
     k = per_query.groupBy(leaf, "feature", "value").agg(F.sum("k").alias("k_total"), F.count("*").alias("touch"))
-    return n.join(k, [leaf, "feature", "value"], "left").select(leaf, "feature", "value", "n", F.coalesce("k_total", F.lit(0)).alias("k_total"), F.coalesce("touch", F.lit(0)).alias("touch"))
+    return n.join(k.hint("merge"), [leaf, "feature", "value"], "left").select(leaf, "feature", "value", "n", F.coalesce("k_total", F.lit(0)).alias("k_total"), F.coalesce("touch", F.lit(0)).alias("touch"))
 
 
-def unpivoted(events: DataFrame, features: list[str], leaf: str = "leaf") -> DataFrame:
+def unpivoted(events: DataFrame, features: list[str], leaf: str = "leaf", key: str = "record_id") -> DataFrame:
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in features])
-    return events.select("record_id", leaf, F.inline(cells))
+    return events.select(key, leaf, F.inline(cells))
+
+
+def met(events: DataFrame, selections: DataFrame, features: list[str], leaf: str = "leaf") -> DataFrame:
+    """query_id, leaf, feature, value: a row for each selection and feature. Events are unpivoted after the join, and merged with the log: their file's size
+    tells little about their number, so a broadcast that is planned by it may not fit the driver."""
+    return unpivoted(selections.join(events.select("record_id", leaf, *features).hint("merge"), "record_id"), features, leaf, "query_id")
 
 
 def equality_gains(stats: DataFrame, n_queries: int, leaf: str = "leaf") -> DataFrame:
@@ -73,16 +79,15 @@ def query_gains(events: DataFrame, selections: DataFrame, features: list[str], n
     Queries that don't touch a value keep their leaf's term, so only pairs of a value and a query that meet are made.
     """
     q = F.lit(float(n_queries))
-    long = unpivoted(events, features, leaf)
-    n = long.groupBy(leaf, "feature", "value").agg(F.count("*").alias("n"))
-    of_leaf = selections.join(events.select("record_id", leaf), "record_id").groupBy(leaf, "query_id").agg(F.count("*").alias("kq"))
+    n = unpivoted(events, features, leaf).groupBy(leaf, "feature", "value").agg(F.count("*").alias("n"))
+    of_leaf = selections.join(events.select("record_id", leaf).hint("merge"), "record_id").groupBy(leaf, "query_id").agg(F.count("*").alias("kq"))
     base = of_leaf.groupBy(leaf).agg((q - F.count("*") + F.sum(F.exp(-F.col("kq").cast("double")))).alias("s_leaf"))
-    met = long.join(selections, "record_id").groupBy(leaf, "feature", "value", "query_id").agg(F.count("*").alias("k")).join(of_leaf, [leaf, "query_id"])
+    each = met(events, selections, features, leaf).groupBy(leaf, "feature", "value", "query_id").agg(F.count("*").alias("k")).join(of_leaf.hint("merge"), [leaf, "query_id"])
     k, kq = F.col("k").cast("double"), F.col("kq").cast("double")
-    sums = met.groupBy(leaf, "feature", "value").agg(F.count("*").alias("touch"), F.sum(F.exp(-k)).alias("inside"), F.sum(F.exp(k - kq) - F.exp(-kq)).alias("more"))
+    sums = each.groupBy(leaf, "feature", "value").agg(F.count("*").alias("touch"), F.sum(F.exp(-k)).alias("inside"), F.sum(F.exp(k - kq) - F.exp(-kq)).alias("more"))
     whole = W.partitionBy(leaf, "feature")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    s = n.withColumn("n_leaf", F.sum("n").over(whole)).join(sums, [leaf, "feature", "value"], "left").join(base, leaf, "left")
+    s = n.withColumn("n_leaf", F.sum("n").over(whole)).join(sums.hint("merge"), [leaf, "feature", "value"], "left").join(base, leaf, "left")
     s_leaf = F.coalesce("s_leaf", q)
     gain = (F.col("n") * (zero("inside") + q - zero("touch")) + (F.col("n_leaf") - F.col("n")) * (s_leaf + zero("more")) - F.col("n_leaf") * s_leaf) / q
     return s.where("n < n_leaf").select(leaf, "feature", "value", "n", gain.alias("gain"))
@@ -127,8 +132,8 @@ def greedy(events: DataFrame, selections: DataFrame, features: list[str], n_quer
 
 
 def beam(events: DataFrame, selections: DataFrame, features: list[str], n_queries: int, width: int = 3, bounds: Bounds | None = None) -> list[tuple[float, Tree, list]]:
-    """The ``width`` best trees, each with its total gain and its cuts."""
-    bounds = bounds or Bounds()
+    """The ``width`` best trees, each with its total gain and its cuts. The log is written once, so that a round doesn't derive it anew."""
+    bounds, selections = bounds or Bounds(), settled(selections)
     began, jobs = time.monotonic(), 0
     held: list[tuple[float, Tree, list]] = [(0.0, Tree(), [])]
     while True:
@@ -173,7 +178,7 @@ def holdout(events: DataFrame, validation: DataFrame, key, size: int, bar: float
     """n_containers, mean_skip, passed: the leaves of ``key`` packed in containers of ``size`` and replayed against queries that the search didn't see."""
     packed = equal_size(events.withColumn("leaf", key), "leaf", size)
     sizes = packed.groupBy("leaf", "container").agg(F.count("*").alias("n"))
-    opened = packed.join(validation, "record_id").select("leaf", "container", "query_id").distinct().join(sizes, ["leaf", "container"])
+    opened = packed.hint("merge").join(validation, "record_id").select("leaf", "container", "query_id").distinct().join(sizes, ["leaf", "container"])
     per_query = opened.groupBy("query_id").agg(F.sum("n").alias("m"))
     whole = sizes.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_all"))
     mean = per_query.join(F.broadcast(whole)).agg(F.avg(1 - F.col("m") / F.col("n_all")).alias("mean_skip"), F.max("n_containers").alias("n_containers"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import layouts, replay
 
 TRAINING_QUERIES = 200
+BROADCAST_ROWS = 200_000  # rows up to which a table may be broadcast; its file's size tells little about them
 
 
 class Workload:
@@ -18,6 +19,10 @@ class Workload:
         self.spark = spark
         self.table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+    def _merged(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, of at most the rows of table ``name``, to be merged in a join unless they are few."""
+        return df if self.table(name).count() <= BROADCAST_ROWS else df.hint("merge")
+
     @cached_property
     def events(self) -> DataFrame:
         size = 100 * F.col("p_size") + F.round(F.col("p_retailprice") * 10).cast("long")
@@ -32,7 +37,8 @@ class Workload:
         query = ((F.year("o_orderdate") - 1995) * 60 + (F.month("o_orderdate") - 1) * 5 + priority - 1).cast("long")
         orders = self.table("orders").select("o_orderkey", query.alias("query_id"), priority.alias("priority"))
         part = self.table("part").where("p_size <= 30").select("p_partkey", (F.substring("p_brand", 7, 10).cast("int") % 5).alias("fifth"))
-        joined = self.table("lineitem").select("l_orderkey", "l_partkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+        lines = self.table("lineitem").select("l_orderkey", "l_partkey")
+        joined = lines.join(self._merged(orders, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(self._merged(part, "part"), F.col("l_partkey") == F.col("p_partkey"))
         return joined.where(F.col("fifth") == F.col("priority") - 1).select(F.col("l_partkey").cast("long").alias("record_id"), "query_id").distinct()
 
     @cached_property

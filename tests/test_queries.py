@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
 from tessera.operators import bitmaps
 from tessera.plans import catalog
 from tessera.sources import synthetic
@@ -83,3 +84,16 @@ def test_synthetic_profile_is_of_the_default_corpus(spark, monkeypatch):
 def test_replay_plans_prune_columns(spark):
     plan = catalog.QUERIES["never_selected"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "p_comment" not in plan and "CartesianProduct" not in plan
+
+
+def test_no_table_of_events_is_broadcast(spark, monkeypatch):
+    """Small files can hold more rows than the driver: cuts merge events with the log, and so does the log itself beyond a number of rows."""
+    from tessera.operators import search
+    from tessera.plans import workload
+
+    monkeypatch.setattr(workload, "BROADCAST_ROWS", 0)
+    w = workload.Workload(spark, SF)
+    events = w.events.withColumn("leaf", F.lit("r"))
+    for df in (w.selections, search.cut_statistics(events, w.training, catalog.FEATURES), search.query_gains(events, w.training, catalog.FEATURES, 10).where("n > 0")):
+        joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "[leaf" not in x]
+        assert not joins
