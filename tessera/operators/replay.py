@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+CELL_QUERIES = 4096  # query ids that one array of a container's queries spans
+
 
 def stats(layout: DataFrame, events: DataFrame) -> DataFrame:
     """layout, container_id, n_events, compressed, decompressed."""
@@ -24,7 +26,7 @@ def size_range(layout: DataFrame, events: DataFrame) -> DataFrame:
 
 def activation(layout: DataFrame, selections: DataFrame) -> DataFrame:
     """layout, container_id, query_id, needed: which containers a query opens, and how many of their events it selects."""
-    return layout.join(selections, "record_id").groupBy("layout", "container_id", "query_id").agg(F.count("*").alias("needed"))
+    return layout.hint("merge").join(selections, "record_id").groupBy("layout", "container_id", "query_id").agg(F.count("*").alias("needed"))
 
 
 def breadth(activated: DataFrame, containers: DataFrame) -> DataFrame:
@@ -79,9 +81,15 @@ def net_advantage(base: DataFrame, other: DataFrame, extra_cost: Column | float
 
 
 def waste_cells(layout: DataFrame, selections: DataFrame, activated: DataFrame) -> DataFrame:
-    """layout, container_id, record_id, query_id read but not selected: the materialised matrix less the support. As many rows as waste."""
-    read = activated.select("layout", "container_id", "query_id").join(layout, ["layout", "container_id"])
-    return read.join(selections, ["record_id", "query_id"], "left_anti").select("layout", "container_id", "record_id", "query_id")
+    """layout, container_id, record_id, query_id read but not selected: the materialised matrix less the support. As many rows as waste.
+
+    An event's own queries go along with it as one array, and its container's come as arrays of bounded length; cells are made last, and none is shuffled."""
+    own = selections.groupBy("record_id").agg(F.collect_set("query_id").alias("own"))
+    placed = layout.select("layout", "container_id", "record_id").hint("merge").join(own.hint("merge"), "record_id", "left")
+    part = F.floor(F.col("query_id") / CELL_QUERIES)
+    read = activated.groupBy("layout", "container_id", part.alias("part")).agg(F.collect_list("query_id").alias("read")).drop("part")
+    left = F.when(F.col("own").isNull(), F.col("read")).otherwise(F.array_except("read", "own"))
+    return placed.join(read, ["layout", "container_id"]).select("layout", "container_id", "record_id", F.explode(left).alias("query_id"))
 
 
 def health(containers: DataFrame, least: int, most: int) -> DataFrame:

@@ -97,3 +97,17 @@ def test_no_table_of_events_is_broadcast(spark, monkeypatch):
     for df in (w.selections, search.cut_statistics(events, w.training, catalog.FEATURES), search.query_gains(events, w.training, catalog.FEATURES, 10).where("n > 0")):
         joins = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in x and "[leaf" not in x]
         assert not joins
+
+
+def test_cells_are_made_after_the_last_shuffle(spark, monkeypatch):
+    from tessera.operators import replay
+
+    monkeypatch.setattr(replay, "CELL_QUERIES", 2)  # a container's queries in several arrays
+    layout = spark.createDataFrame([("x", i % 2, i) for i in range(6)], "layout string, container_id long, record_id long")
+    log = {(0, 0), (0, 5), (2, 1), (1, 3), (3, 3), (5, 9)}
+    s = spark.createDataFrame(sorted(log), "record_id long, query_id long")
+    cells = replay.waste_cells(layout, s, replay.activation(layout, s))
+    opened = {(i % 2, q) for i, q in log}
+    assert sorted((r.record_id, r.query_id) for r in cells.collect()) == sorted((i, q) for i in range(6) for c, q in opened if i % 2 == c and (i, q) not in log)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and plan.index("Generate explode") < plan.index("Exchange")
