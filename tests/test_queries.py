@@ -111,3 +111,14 @@ def test_cells_are_made_after_the_last_shuffle(spark, monkeypatch):
     assert sorted((r.record_id, r.query_id) for r in cells.collect()) == sorted((i, q) for i in range(6) for c, q in opened if i % 2 == c and (i, q) not in log)
     plan = cells._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" not in plan and plan.index("Generate explode") < plan.index("Exchange")
+
+
+def test_supports_end_with_their_last_query(spark):
+    """4 kB for each event would be sorted and moved otherwise, whatever it holds."""
+    rows = [(i, q) for i in range(50) for q in {i, 3 * i, 40000 + i}]
+    s = spark.createDataFrame(rows * 2, "record_id long, query_id long")
+    got = {(r.record_id, r.bucket): bytes(r.bits) for r in bitmaps.support(s).collect()}
+    q = F.col("query_id") + 1
+    whole = s.groupBy("record_id", F.bitmap_bucket_number(q).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(q)).alias("bits"))
+    assert got == {(r.record_id, r.bucket): bytes(r.bits).rstrip(b"\0") for r in whole.collect()}
+    assert max(len(b) for (_, bucket), b in got.items() if bucket == 1) == 147 // 8 + 1
