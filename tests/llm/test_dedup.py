@@ -308,3 +308,21 @@ def test_empty_tables(nothing):
     assert exact_dedup.exact_groups(nothing).count() == 0
     assert substring_dedup.remove_repeats(nothing).count() == 0
     assert ngram_join.near_duplicates(nothing).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_components_of_few_edges_are_those_of_many(spark, monkeypatch, kind):
+    """Few edges are joined at once, without the steps; both ways name each component by its smallest node."""
+    from tessera.llm import components as c
+
+    rnd, steps, plain = random.Random(4), [], c._is_star
+    monkeypatch.setattr(c, "_is_star", lambda edges: steps.append(1) or plain(edges))
+    pairs = [(i, i + 1) for i in range(40)] + [(100 + rnd.randrange(40), 100 + rnd.randrange(40)) for _ in range(25)] + [(7, 7), (-5, 200), (-5, -128)]
+    node = (lambda i: i) if kind == "long" else (lambda i: (i & 255).to_bytes(1, "big") * 16)
+    edges = spark.createDataFrame([(node(a), node(b)) for a, b in pairs], f"u {kind}, v {kind}")
+    cell = lambda x: bytes(x) if kind == "binary" else x
+    found = lambda: sorted((cell(r.node), cell(r.component)) for r in c.components(edges).collect())
+    few = found()
+    assert not steps and c.components(edges.limit(0)).count() == 0
+    monkeypatch.setattr(c, "COLLECT_EDGES", 0)
+    assert few == found() and steps
